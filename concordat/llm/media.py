@@ -71,7 +71,7 @@ class PackWriter:
         self.store, top = open_fs(folder)
         self.path = f"{folder}/{name}"
         self.file = self.store.open_output_stream(f"{top}/{name}")
-        self.zip = zstandard.ZstdCompressor(level=3)
+        self.zip = zstandard.ZstdCompressor(level=9)
         self.written, self.raw = 0, bytearray()
         self.waiting: list[dict] = []
 
