@@ -174,10 +174,19 @@ def test_shared_keys_over_batches(monkeypatch):
     k, m = k[o], m[o]
     monkeypatch.setattr(ngram_join, "GATHER", 7)
     parts = [pa.RecordBatch.from_arrays([pa.array(k[i : i + 3]), pa.array(m[i : i + 3])], names=["k", "m"]) for i in range(0, 500, 3)]
-    rows = [x for a, b in ngram_join.gathered(iter(parts)) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    rows = [tuple(r) for x in ngram_join.gathered(iter(parts)) for r in x.tolist()]
     assert rows == sorted(set(zip(k.tolist(), m.tolist(), strict=True)))
 
 
+def test_words_longer_than_a_slice(monkeypatch):
+    data = b"  aB c" + b"x" * 100 + b" d\tE\n" + b"y" * 37 + b" f" * 50
+    want = ngram_join.word_hashes(data)
+    monkeypatch.setattr(ngram_join, "UP", ngram_join.UP[:16])
+    got = ngram_join.word_hashes(data)
+    assert len(want) == 55 and np.array_equal(got, want)
+    assert ngram_join.word_hashes(b"AB ")[0] == ngram_join.word_hashes(b"x ab")[1] != ngram_join.word_hashes(b"ba")[0]
+
+
 def test_language_id(odd, documents):
     protos = language_id.learn_prototypes(documents)
     got = {r["doc_id"]: r["_r"] for r in odd.select("doc_id", language_id.identify(F.col("text"), protos).alias("_r")).collect()}
