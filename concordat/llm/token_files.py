@@ -25,7 +25,7 @@ from .common import bounded_batches, open_fs, shared_folder, table_batch, writte
 from .tokens import word_tokenizer
 
 MAGIC, HEAD = b"CTOK", struct.Struct("<4sHHIQQQ")
-BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 22
+BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 21
 MANIFEST = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 ROWS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
@@ -159,12 +159,16 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 with store.open_input_file(file) as f:
                     s = Shard(f)
                     who = [None if x else int(d) for d, x in zip(s.doc_ids, s.null, strict=True)]
-                    crc = []
-                    for k in range(s.n_docs):
-                        first, n, c = int(s.ends[k] - s.sizes[k]), int(s.sizes[k]), 0
-                        for at in range(0, n, SHARD_IDS):
-                            c = zlib.crc32(s.ids(first + at, min(SHARD_IDS, n - at)).astype("<u4").tobytes(), c)
-                        crc.append(c)
+                    crc = np.zeros(s.n_docs, np.int64)
+                    k = 0  # documents in order, each stretch of blocks read and unpacked once
+                    while k < s.n_docs:
+                        first = int(s.ends[k] - s.sizes[k])
+                        last = max(k + 1, int(np.searchsorted(s.ends, first + SHARD_IDS, side="right")))
+                        ids = s.ids(first, int(s.ends[last - 1]) - first).astype("<u4", copy=False)
+                        for j in range(k, last):
+                            crc[j] = zlib.crc32(ids[s.ends[j] - s.sizes[j] - first : s.ends[j] - first])
+                        k = last
+                    crc = crc.tolist()
                     yield table_batch(ROWS, doc_id=who, start=(base + s.ends - s.sizes).tolist(), n_tokens=s.sizes.tolist(), ids_crc32=crc)
 
     rows = manifest.select("path", "base")
