@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkCache, bounded_batches, in_blocks, map_text, structs
+from .common import ChunkCache, bounded_batches, in_blocks, listed, map_text, structs
 
 #: Texts of these characters are cut here; for others the library's own pre-tokeniser tells the pieces (its Unicode tables count).
 PLAIN = re.compile("[\t-\r -~ -ɏ]*")
@@ -74,7 +74,7 @@ class ByteBPE:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pre = Tokenizer.from_file(path).pre_tokenizer
         self.as_byte = as_byte
-        self.cache = ChunkCache(lambda chunks: [self.encode_coarse(c) for c in chunks], limit)
+        self.cache = ChunkCache(lambda chunks: listed([self.encode_coarse(c) for c in chunks]), limit)
 
     def compatible(self, a: int, b: int) -> bool:
         """Would merging leave the boundary between tokens a and b? Undo the later of the two tokens' merges, step by step,
@@ -144,7 +144,6 @@ class ByteBPE:
                 parts.append(np.asarray([self.special[s]], np.uint32))
             elif PLAIN.fullmatch(s):
                 for chunks in in_blocks(COARSE, s):
-                    self.cache.admit(chunks)
                     parts.append(self.cache.values(chunks))
             elif s:
                 parts.append(np.asarray(self.encode_other(s), np.uint32))

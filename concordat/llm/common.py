@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -83,45 +84,46 @@ def table_batch(kind: T.StructType, **arrays) -> pa.RecordBatch:
 class ChunkCache:
     """Results of a pure function of short strings, kept by worker processes across tasks.
 
-    ``lookup(chunks)`` gives one slot per chunk; ``flat[first[slot]:first[slot] + size[slot]]`` are its values. When
-    ``limit`` strings are held, the older half (by arrival) goes; that costs time only.
+    compute(strings) gives (values, sizes): all values one after another, and how many belong to each string. When ``limit``
+    strings are held, the half that came first goes; that costs time only.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 600_000, dtype=np.uint32):
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, dtype=np.uint32):
         self.compute, self.limit, self.dtype = compute, limit, dtype
         self.slot: dict[str, int] = {}
-        self._reset(np.zeros(0, dtype), np.zeros(0, np.int64))
-
-    def _reset(self, flat: np.ndarray, size: np.ndarray) -> None:
-        self.flat, self.size = flat, size
-        self.first = np.cumsum(size) - size
-
-    def admit(self, chunks) -> None:
-        new = list(set(chunks).difference(self.slot))
-        if not new:
-            return
-        if len(self.slot) + len(new) > self.limit and self.slot:
-            wanted = set(chunks).intersection(self.slot)
-            old = list(self.slot)
-            keep = sorted({self.slot[c] for c in old[len(old) // 2 :]} | {self.slot[c] for c in wanted})
-            names = {s: c for c, s in self.slot.items()}
-            self.slot = {names[s]: i for i, s in enumerate(keep)}
-            keep = np.asarray(keep, np.int64)
-            self._reset(ragged(self.flat, self.first[keep], self.size[keep]), self.size[keep])
-        found = self.compute(new)
-        self.slot.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for v in found for x in v), self.dtype, int(size.sum()))
-        self._reset(np.concatenate([self.flat, flat]), np.concatenate([self.size, size]))
+        self.flat, self.size = np.zeros(0, dtype), np.zeros(0, np.int64)
+        self.first = self.size
 
     def lookup(self, chunks: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))
+        """A slot for each chunk; it holds until the next call."""
+        if len(self.slot) > self.limit:
+            names = list(self.slot)[len(self.slot) // 2 :]
+            keep = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
+            self.flat, self.size = ragged(self.flat, self.first[keep], self.size[keep]), self.size[keep]
+            self.first = np.cumsum(self.size) - self.size
+            self.slot = dict(zip(names, range(len(names)), strict=True))
+        got = np.fromiter(map(self.slot.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(got < 0).tolist()
+        if missing:
+            new = list({chunks[i] for i in missing})
+            flat, size = self.compute(new)
+            self.slot.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.flat, self.size = np.concatenate([self.flat, flat.astype(self.dtype)]), np.concatenate([self.size, size])
+            self.first = np.cumsum(self.size) - self.size
+            got[missing] = [self.slot[chunks[i]] for i in missing]
+        return got
 
     def values(self, chunks: list[str]) -> np.ndarray:
         s = self.lookup(chunks)
         return ragged(self.flat, self.first[s], self.size[s])
 
 
+def listed(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of a list of lists."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter((x for r in rows for x in r), np.int64, int(size.sum())), size
+
+
 def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The slices flat[first:first + size], one after another."""
     total = int(size.sum())

@@ -37,7 +37,7 @@ class PieceCounter:
                 raise ValueError(f"a piece spans words, so texts can't be cut there: {p!r}")
         order = {s: i for i, s in enumerate(sorted(set(pieces.values()), reverse=True))}
         self.rank = {p: order[s] for p, s in pieces.items()}
-        self.cache = ChunkCache(lambda chunks: [(self.merged(c),) for c in chunks])
+        self.cache = ChunkCache(lambda chunks: (np.asarray([self.merged(c) for c in chunks]), np.ones(len(chunks), np.int64)))
 
     def merged(self, chunk: str) -> int:
         """Tokens of one chunk, in which a space stands for the word mark."""
@@ -67,14 +67,25 @@ class PieceCounter:
         return count
 
     def count(self, texts: list[str]) -> list[int]:
-        out = []
-        for text in texts:
-            total = 0
+        """Texts are cut into chunks first; all chunks of a stretch of texts are looked up together."""
+        out, parts, owner, held = [0] * len(texts), [], [], 0
+
+        def add() -> None:
+            n = self.cache.values([c for p in parts for c in p])
+            for k, p in zip(owner, np.split(n, np.cumsum([len(p) for p in parts])[:-1]), strict=True):
+                out[k] += int(p.sum(dtype=np.int64))
+
+        for k, text in enumerate(texts):
             if text:
                 for part in in_blocks(CHUNKS, " " + text.replace(SPACE, " ")):
-                    self.cache.admit(part)
-                    total += int(self.cache.flat[self.cache.lookup(part)].sum(dtype=np.int64))
-            out.append(total)
+                    parts.append(part)
+                    owner.append(k)
+                    held += len(part)
+                    if held > 1 << 18:
+                        add()
+                        parts, owner, held = [], [], 0
+        if parts:
+            add()
         return out
 
 

@@ -8,16 +8,19 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import ChunkCache, in_blocks
+from .common import ChunkCache, in_blocks, listed, ragged
 
 #: For texts of these characters alone (composed, no control characters), lower-casing and cutting at white space is exactly
 #: what the vocabulary's normaliser and pattern do; other texts go to the library whole.
-PLAIN = re.compile("[\t-\r -~ -ɏ‘-”–—…]*")
+PLAIN = re.compile("[\t-\r -~\xa0-\u024f\u2018-\u201d\u2013\u2014\u2026]*")
 WORD = re.compile(r"\S+")
+#: The vocabulary's own pattern (fixed value) for what lower-casing makes of those characters.
+LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
 
 class WordTokenizer:
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -29,40 +32,58 @@ class WordTokenizer:
         #: the same tokeniser without its normaliser, for words that are normalised already
         self.word = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None}))
         self.vocabulary = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.cache = ChunkCache(lambda words: [e.ids for e in self.word.encode_batch(words, add_special_tokens=False)], limit)
+        self.cache = ChunkCache(self.encode_words, limit)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words by one call: their pieces stand apart, and each id comes with the number of its piece."""
+        parts = [PIECE.findall(w) for w in words]
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        got = self.word.encode(" ".join(p for ps in parts for p in ps), add_special_tokens=False)
+        ids = np.asarray(got.ids, np.int64)
+        per_piece = np.bincount(np.asarray(got.word_ids, np.int64), minlength=int(n.sum())) if len(ids) else np.zeros(int(n.sum()), np.int64)
+        if len(per_piece) != n.sum() or (per_piece == 0).any():  # the library cuts a word in another way
+            return listed([e.ids for e in self.word.encode_batch(words, add_special_tokens=False)])
+        total = np.concatenate([[0], np.cumsum(per_piece)])
+        end = np.cumsum(n)
+        return ids, total[end] - total[end - n]
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if not self.plain(text):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        text = text.lower()
-        parts = []
-        for words in [text.split()] if len(text) <= 1 << 20 else in_blocks(WORD, text):
-            self.cache.admit(words)
-            parts.append(self.cache.values(words))
-        return np.concatenate(parts)
+        return np.concatenate([np.zeros(0, np.uint32), *(self.cache.values(words) for words in in_blocks(WORD, text.lower()))])
 
     def encode_batch(self, texts: list) -> list[np.ndarray]:
-        """Like encode() of each, with the new words of all texts sent to the library at once."""
-        plain = [bool(t) and len(t) <= 1 << 20 and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        words = [t.lower().split() if p else None for t, p in zip(texts, plain, strict=True)]
-        every = [w for ws in words if ws for w in ws]
-        self.cache.admit(every)
-        flat, size = self.cache.lookup(every), [len(ws) if ws is not None else 0 for ws in words]
-        out, at = [], 0
-        for t, p, n in zip(texts, plain, size, strict=True):
-            if p:
-                s = flat[at : at + n]
-                at += n
-                out.append(s)
-            else:
-                out.append(None)
-        slots = [(self.cache.first[s], self.cache.size[s]) if s is not None else None for s in out]
-        from .common import ragged
+        """Like encode() of each, with the words of many texts looked up at once."""
+        out: list = [None] * len(texts)
+        owner, words, sizes = [], [], []
 
-        done = [ragged(self.cache.flat, *fs) if fs is not None else None for fs in slots]
-        return [self.encode(t) if d is None else d for t, d in zip(texts, done, strict=True)]
+        def add() -> None:
+            slots = self.cache.lookup(words)
+            size = self.cache.size[slots]
+            ids = ragged(self.cache.flat, self.cache.first[slots], size)
+            end = np.concatenate([[0], np.cumsum(size)])[np.cumsum(sizes)]
+            for k, part in zip(owner, np.split(ids, end[:-1]), strict=True):
+                out[k] = part
+
+        for k, t in enumerate(texts):
+            if t and len(t) <= 1 << 20 and self.plain(t):
+                own = t.lower().split()
+                owner.append(k)
+                sizes.append(len(own))
+                words += own
+                if len(words) > 1 << 18:
+                    add()
+                    owner, words, sizes = [], [], []
+            else:
+                out[k] = self.encode(t)
+        if owner:
+            add()
+        return out
 
 
 @lru_cache(2)
