@@ -86,8 +86,8 @@ SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 OP3_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS a FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(a) >= 5 THEN list_distinct(list_transform(range(1, len(a) - 3), i -> array_to_string(a[i:i+4], ' ')))
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(a) >= 5 THEN list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i+4], ' ')))
                           WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END AS g FROM w),
 n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
 u AS (SELECT g, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
