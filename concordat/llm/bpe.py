@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkCache, bounded_batches, in_blocks, listed, map_text, structs
+from .common import ChunkCache, bounded_batches, in_blocks, listed, map_text, ragged, structs
 
+#: Pieces whose ids a worker remembers.
+PIECES = 400_000
 #: Texts of these characters are cut here; for others the library's own pre-tokeniser tells the pieces (its Unicode tables count).
 PLAIN = re.compile("[\t-\r -~ -ɏ]*")
 #: Runs without white space, each with the space before it: the pieces of the full pattern never cross these.
@@ -66,6 +69,7 @@ class ByteBPE:
         self.automaton.make_automaton()
         self.length = {i: len(s) for i, s in self.bytes_of.items()}
         self.fits: dict[int, bool] = {}
+        self.pieces: dict[str, array] = {}
         table = self.bytes_of | {i: s.encode() for s, i in self.special.items()}
         n = max(table) + 1
         self.table = np.frombuffer(b"".join(table.get(i, b"") for i in range(n)), np.uint8)
@@ -104,18 +108,19 @@ class ByteBPE:
     def encode_piece(self, piece: bytes) -> list[int]:
         n = len(piece)
         longest: list[int] = [-1] * n
-        reach = [0] * n
         for end, (size, token) in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - size
-            if size > reach[start]:
-                reach[start], longest[start] = size, token
+            longest[end + 1 - size] = token  # a longer token from the same start ends later
+        fits, length = self.fits, self.length
         out: list[int] = []
         open_ = bytearray(b"\x01") * (n + 1)
         at, token = 0, longest[0]
         while token >= 0:
             while True:
-                end = at + self.length[token]
-                if open_[end] and (not out or self.compatible(out[-1], token)):
+                end = at + length[token]
+                fit = open_[end] and (not out or fits.get(out[-1] << 20 | token))
+                if fit is None:
+                    fit = self.compatible(out[-1], token)
+                if fit:
                     out.append(token)
                     at, token = end, longest[end] if end < n else -1
                     break
@@ -123,12 +128,21 @@ class ByteBPE:
                 if token < 0:
                     open_[at] = 0
                     token = out.pop()
-                    at -= self.length[token]
+                    at -= length[token]
                     break
         return out
 
     def encode_coarse(self, chunk: str) -> list[int]:
-        return [i for p in FINE.findall(chunk) for i in self.encode_piece(p.encode())]
+        """A chunk's pieces in turn; pieces recur under other punctuation, so they are remembered too."""
+        out: list[int] = []
+        for p in FINE.findall(chunk):
+            ids = self.pieces.get(p)
+            if ids is None:
+                if len(self.pieces) > PIECES:
+                    self.pieces.clear()
+                ids = self.pieces[p] = array("I", self.encode_piece(p.encode()))
+            out += ids
+        return out
 
     def encode_other(self, text: str) -> list[int]:
         out: list[int] = []
@@ -137,17 +151,40 @@ class ByteBPE:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids as uint32. Special strings inside a text become their ids, as the library does by default."""
-        parts = []
-        for s in self.split.split(text) if self.split else [text]:
-            if s in self.special:
-                parts.append(np.asarray([self.special[s]], np.uint32))
-            elif PLAIN.fullmatch(s):
-                for chunks in in_blocks(COARSE, s):
-                    parts.append(self.cache.values(chunks))
-            elif s:
-                parts.append(np.asarray(self.encode_other(s), np.uint32))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids as uint32. Special strings inside a text become their ids, as the library does by default. The chunks of many
+        texts are looked up at once."""
+        done: list[list[np.ndarray]] = [[] for _ in texts]
+        places, chunks, sizes = [], [], []
+
+        def add() -> None:
+            slots = self.cache.lookup(chunks)
+            size = self.cache.size[slots]
+            ids = ragged(self.cache.flat, self.cache.first[slots], size)
+            end = np.concatenate([[0], np.cumsum(size)])[np.cumsum(sizes)]
+            for (parts, k), part in zip(places, np.split(ids, end[:-1]), strict=True):
+                parts[k] = part
+
+        for parts, text in zip(done, texts, strict=True):
+            for s in self.split.split(text) if self.split else [text]:
+                if s in self.special:
+                    parts.append(np.asarray([self.special[s]], np.uint32))
+                elif PLAIN.fullmatch(s):
+                    for own in in_blocks(COARSE, s):
+                        places.append((parts, len(parts)))
+                        parts.append(np.zeros(0, np.uint32))
+                        chunks += own
+                        sizes.append(len(own))
+                        if len(chunks) > 1 << 18:
+                            add()
+                            places, chunks, sizes = [], [], []
+                elif s:
+                    parts.append(np.asarray(self.encode_other(s), np.uint32))
+        if places:
+            add()
+        return [np.concatenate([np.zeros(0, np.uint32), *p]) for p in done]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; broken UTF-8 becomes U+FFFD. Special tokens stay."""
@@ -171,7 +208,7 @@ def encode_ids(text: Column, path: str) -> Column:
     import pyarrow as pa
 
     def run(texts: list):
-        rows = [codec(path).encode(t or "").astype(np.int32) for t in texts]
+        rows = [ids.astype(np.int32) for ids in codec(path).encode_batch([t or "" for t in texts])]
         off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
 
@@ -191,8 +228,7 @@ def round_trip(text: Column, path: str) -> Column:
     def run(texts: list):
         bpe = codec(path)
         n, a, b = [], [], []
-        for t in texts:
-            ids = bpe.encode(t or "")
+        for ids in bpe.encode_batch([t or "" for t in texts]):
             n.append(len(ids))
             a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
             b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

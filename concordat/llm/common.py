@@ -89,27 +89,36 @@ class ChunkCache:
     """
 
     def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, dtype=np.uint32):
-        self.compute, self.limit, self.dtype = compute, limit, dtype
+        self.compute, self.limit = compute, limit
         self.slot: dict[str, int] = {}
-        self.flat, self.size = np.zeros(0, dtype), np.zeros(0, np.int64)
-        self.first = self.size
+        self.flat, self.held = np.zeros(1024, dtype), 0  # arrays with room to grow; held: values in use
+        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def _append(self, flat: np.ndarray, size: np.ndarray, at: int) -> None:
+        while self.held + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + len(size) > len(self.size):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.flat[self.held : self.held + len(flat)] = flat
+        self.size[at : at + len(size)] = size
+        self.first[at : at + len(size)] = self.held + np.cumsum(size) - size
+        self.held += len(flat)
 
     def lookup(self, chunks: list[str]) -> np.ndarray:
         """A slot for each chunk; it holds until the next call."""
         if len(self.slot) > self.limit:
             names = list(self.slot)[len(self.slot) // 2 :]
             keep = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
-            self.flat, self.size = ragged(self.flat, self.first[keep], self.size[keep]), self.size[keep]
-            self.first = np.cumsum(self.size) - self.size
+            flat, size = ragged(self.flat, self.first[keep], self.size[keep]), self.size[keep]
+            self.held = 0
+            self._append(flat, size, 0)
             self.slot = dict(zip(names, range(len(names)), strict=True))
         got = np.fromiter(map(self.slot.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(got < 0).tolist()
         if missing:
-            new = list({chunks[i] for i in missing})
-            flat, size = self.compute(new)
-            self.slot.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.flat, self.size = np.concatenate([self.flat, flat.astype(self.dtype)]), np.concatenate([self.size, size])
-            self.first = np.cumsum(self.size) - self.size
+            new, at = list({chunks[i] for i in missing}), len(self.slot)
+            self._append(*self.compute(new), at)
+            self.slot.update(zip(new, range(at, at + len(new)), strict=True))
             got[missing] = [self.slot[chunks[i]] for i in missing]
         return got
 
