@@ -13,14 +13,13 @@ import hashlib
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkCache, bounded_batches, in_blocks, listed, map_text, ragged, structs
+from .common import ChunkCache, bounded_batches, in_blocks, kept_state, listed, map_text, ragged, structs
 
 #: Pieces whose ids a worker remembers.
 PIECES = 400_000
@@ -198,9 +197,8 @@ class ByteBPE:
         return b"".join(parts).decode("utf-8", "replace")
 
 
-@lru_cache(2)
 def codec(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    return kept_state(ByteBPE, path)
 
 
 def encode_ids(text: Column, path: str) -> Column:

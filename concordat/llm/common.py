@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -81,6 +84,35 @@ def table_batch(kind: T.StructType, **arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_struct_array(structs(kind, **arrays))
 
 
+_STATES: dict[tuple, list] = {}
+#: Seconds after which a worker's large state may go when another operator needs its memory.
+IDLE = 2.0
+
+
+def release_idle() -> None:
+    """Drop what other operators keep in this worker, once they have not used it for a while; give the memory back."""
+    now = time.monotonic()
+    idle = [k for k, (_, used) in _STATES.items() if now - used > IDLE]
+    for k in idle:
+        del _STATES[k]
+    if idle:
+        gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+def kept_state(make: Callable, *key):
+    """make(*key), kept in this worker for the tasks to come."""
+    found = _STATES.get((make, *key))
+    if found is None:
+        release_idle()
+        found = _STATES[(make, *key)] = [make(*key), 0.0]
+    found[1] = time.monotonic()
+    return found[0]
+
+
 class ChunkCache:
     """Results of a pure function of short strings, kept by worker processes across tasks.
 

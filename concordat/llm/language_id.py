@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_text, structs, table_batch
+from .common import bounded_batches, kept_state, map_text, structs, table_batch
 
 DIMS, GRAM, SEED = 1024, 3, 4
 #: n-gram vectors that a worker remembers (1 KB each); others are made again each time.
@@ -110,9 +110,8 @@ class GramVectors:
         return total
 
 
-@lru_cache(1)
 def vectors(dims: int = DIMS, seed: int = SEED) -> GramVectors:
-    return GramVectors(dims, seed)
+    return kept_state(GramVectors, dims, seed)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_text, structs, table_batch
+from .common import bounded_batches, map_text, release_idle, structs, table_batch
 from .language_id import held_out
 
 #: Weights of the pooled diagonal in each class's covariance, and of a unit ridge after standardising.
@@ -139,6 +139,7 @@ def quality(text: Column, model: Discriminant | None) -> Column:
     """struct<score, predicted>; null texts count as empty. Without a model every score is 0.5."""
 
     def run(texts: list):
+        release_idle()
         if not texts or model is None:
             s = np.full(len(texts), 0.5)
         else:

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkCache, bounded_batches, in_blocks, map_text, structs
+from .common import ChunkCache, bounded_batches, in_blocks, kept_state, map_text, structs
 
 SPACE = "▁"
 #: A run of spaces belongs to what follows it; a line feed stands alone.
@@ -89,9 +88,8 @@ class PieceCounter:
         return out
 
 
-@lru_cache(2)
 def counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return kept_state(PieceCounter, path)
 
 
 def token_counts(text: Column, path: str, limit: int = 4096) -> Column:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-from .common import ChunkCache, in_blocks, listed, ragged
+from .common import ChunkCache, in_blocks, kept_state, listed, ragged
 
 #: For texts of these characters alone (composed, no control characters), lower-casing and cutting at white space is exactly
 #: what the vocabulary's normaliser and pattern do; other texts go to the library whole.
@@ -86,9 +86,6 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokenizer(path)
+    return kept_state(WordTokenizer, path)
