@@ -63,10 +63,12 @@ def map_text(fn: Callable[[list], pa.StructArray], kind: T.StructType, *columns:
     """A struct column made from whole batches: fn gets one Python list per column."""
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        release_idle()
         for arrays in batches:
             yield fn(*(a.to_pylist() for a in arrays))
 
     def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release_idle()
         for a in batches:
             yield fn(a.to_pylist())
 
