@@ -66,11 +66,13 @@ def map_text(fn: Callable[[list], pa.StructArray], kind: T.StructType, *columns:
         release_idle()
         for arrays in batches:
             yield fn(*(a.to_pylist() for a in arrays))
+        give_back()
 
     def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         release_idle()
         for a in batches:
             yield fn(a.to_pylist())
+        give_back()
 
     return F.arrow_udf(run if len(columns) > 1 else run_one, kind)(*columns)
 
@@ -99,12 +101,30 @@ def release_idle() -> None:
         del _STATES[k]
     if idle:
         gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, for the other workers of this executor."""
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except OSError:
         pass
 
 
+def tidy(run: Callable) -> Callable:
+    """run(batches), with idle state dropped before and freed memory given back after."""
+
+    def tidied(batches):
+        release_idle()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def kept_state(make: Callable, *key):
     """make(*key), kept in this worker for the tasks to come."""
     found = _STATES.get((make, *key))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, kept_state, map_text, structs, table_batch
+from .common import bounded_batches, kept_state, map_text, structs, table_batch, tidy
 
 DIMS, GRAM, SEED = 1024, 3, 4
 #: n-gram vectors that a worker remembers (1 KB each); others are made again each time.
@@ -147,7 +147,7 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             yield table_batch(kind, lang=list(sums), bundle=[v.tolist() for v in sums.values()])
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).alias("lang"))
-    parts = rows.mapInArrow(run, kind).select("lang", F.posexplode("bundle").alias("k", "v"))
+    parts = rows.mapInArrow(tidy(run), kind).select("lang", F.posexplode("bundle").alias("k", "v"))
     total = parts.groupBy("lang", "k").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("b"))
     return {r["lang"]: np.asarray([x["v"] for x in r["b"]], np.float64) for r in total.collect()}
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, open_fs, shared_folder, table_batch, written
+from .common import bounded_batches, open_fs, shared_folder, table_batch, tidy, written
 
 SAMPLE_BLOCK, FILL = 576, b"\xff"
 LEAST, MOST, MASK = 512, 16384, np.uint32((1 << 11) - 1 << 21)
@@ -164,7 +164,7 @@ def list_chunks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         cols = dict(zip([f.name for f in LISTED.fields[:8]], zip(*(r[:8] for r in rows), strict=True), strict=True))
         return table_batch(LISTED, **cols, **{f.name: [r[8][f.name] for r in rows] for f in PLACE})
 
-    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, LISTED), f"{folder}/listed")
+    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), LISTED), f"{folder}/listed")
 
 
 def store_chunks(listed: DataFrame, folder: str) -> DataFrame:
@@ -198,7 +198,7 @@ def store_chunks(listed: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield moved()
 
-    final = written(chosen.repartition("pack").sortWithinPartitions("pack", "at", "skip").mapInArrow(run, MOVED), f"{folder}/stored")
+    final = written(chosen.repartition("pack").sortWithinPartitions("pack", "at", "skip").mapInArrow(tidy(run), MOVED), f"{folder}/stored")
     fs, root = open_fs(f"{folder}/raw")
     fs.delete_dir(root)
     return final
@@ -257,7 +257,7 @@ def read_media(listed: DataFrame, stored: DataFrame) -> DataFrame:
     where = listed.select("home", "row", "doc_id", "n_bytes", "seq", "n_chunks", "digest", "size").join(stored, "digest")
     # documents of one input partition stay near each other, as their chunks do in the packs; blocks of 256 rows spread a large one
     near = where.repartition("home", (F.col("row") / 256).cast("long"))
-    return near.sortWithinPartitions("home", "row", "seq").mapInArrow(run, ROWS)
+    return near.sortWithinPartitions("home", "row", "seq").mapInArrow(tidy(run), ROWS)
 
 
 def media_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

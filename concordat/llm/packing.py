@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table_batch
+from .common import bounded_batches, table_batch, tidy
 from .tokens import word_tokenizer
 
 #: Documents per group on average, the seed of the dealing, and the most sequences one tree holds (a group with more starts
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, id_c
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield table_batch(kind, **dict(zip(kind.names, cols, strict=True)))
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, kind)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), kind)
 
 
 def pack(parts: DataFrame, groups: int, length: int = 4096, id_col: str = "doc_id") -> DataFrame:
@@ -98,7 +98,7 @@ def pack(parts: DataFrame, groups: int, length: int = 4096, id_col: str = "doc_i
 
     deal = F.pmod(F.xxhash64(F.col(id_col), "start", "ids_crc32", "doc_tokens", F.lit(SEED)), F.lit(groups))
     dealt = parts.withColumn("_group", deal.cast("long")).repartition("_group")
-    return dealt.sortWithinPartitions("_group", F.desc("length"), id_col, "start", "ids_crc32").mapInArrow(run, kind)
+    return dealt.sortWithinPartitions("_group", F.desc("length"), id_col, "start", "ids_crc32").mapInArrow(tidy(run), kind)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_text, structs, table_batch
+from .common import bounded_batches, map_text, structs, table_batch, tidy
 from .language_id import held_out
 
 #: Weights of the pooled diagonal in each class's covariance, and of a unit ridge after standardising.
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if sums:
             yield table_batch(kind, y=list(sums), m=[v.tolist() for v in sums.values()])
 
-    total = rows.mapInArrow(run, kind).select("y", F.posexplode("m").alias("k", "v")).groupBy("y", "k").agg(F.sum("v").alias("v"))
+    total = rows.mapInArrow(tidy(run), kind).select("y", F.posexplode("m").alias("k", "v")).groupBy("y", "k").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
     for r in total.collect():
         out.setdefault(r["y"], np.zeros(wide))[r["k"]] = r["v"]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, open_fs, shared_folder, table_batch, written
+from .common import bounded_batches, open_fs, shared_folder, table_batch, tidy, written
 from .tokens import word_tokenizer
 
 MAGIC, HEAD = b"CTOK", struct.Struct("<4sHHIQQQ")
@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
             yield close()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = written(ordered.mapInArrow(run, MANIFEST), f"{folder}/manifest")
+    made = written(ordered.mapInArrow(tidy(run), MANIFEST), f"{folder}/manifest")
     # one long per partition comes to the driver; within a partition a window adds its shards up
     before, bases = 0, {}
     for r in made.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").toLocalIterator():
@@ -172,7 +172,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     yield table_batch(ROWS, doc_id=who, start=(base + s.ends - s.sizes).tolist(), n_tokens=s.sizes.tolist(), ids_crc32=crc)
 
     rows = manifest.select("path", "base")
-    return rows.repartition(F.col("path")).mapInArrow(run, ROWS)
+    return rows.repartition(F.col("path")).mapInArrow(tidy(run), ROWS)
 
 
 def token_file_rows(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,6 +19,10 @@ LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66",
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
 
+#: Words per call of the library.
+CALL = 8192
+
+
 class WordTokenizer:
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -35,7 +39,11 @@ class WordTokenizer:
         self.cache = ChunkCache(self.encode_words, limit)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many words by one call: their pieces stand apart, and each id comes with the number of its piece."""
+        """Ids of many words by one call for some thousands: their pieces stand apart, and each id comes with the number of
+        its piece."""
+        if len(words) > CALL:
+            found = [self.encode_words(words[k : k + CALL]) for k in range(0, len(words), CALL)]
+            return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         parts = [PIECE.findall(w) for w in words]
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         got = self.word.encode(" ".join(p for ps in parts for p in ps), add_special_tokens=False)
@@ -76,7 +84,7 @@ class WordTokenizer:
                 owner.append(k)
                 sizes.append(len(own))
                 words += own
-                if len(words) > 1 << 18:
+                if len(words) > 1 << 17:
                     add()
                     owner, words, sizes = [], [], []
             else:
