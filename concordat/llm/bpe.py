@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkCache, bounded_batches, in_blocks, kept_state, listed, map_text, ragged, structs
+from .common import END, ChunkCache, bounded_batches, in_blocks, kept_state, listed, map_text, structs
 
-#: Pieces whose ids a worker remembers.
-PIECES = 400_000
+#: Pieces whose ids a worker remembers, characters whose chunks are looked up at once.
+PIECES, STRETCH = 400_000, 1 << 22
 #: Texts of these characters are cut here; for others the library's own pre-tokeniser tells the pieces (its Unicode tables count).
 PLAIN = re.compile("[\t-\r -~ -ɏ]*")
 #: Runs without white space, each with the space before it: the pieces of the full pattern never cross these.
@@ -134,6 +134,8 @@ class ByteBPE:
     def encode_coarse(self, chunk: str) -> list[int]:
         """A chunk's pieces in turn; pieces recur under other punctuation, so they are remembered too."""
         out: list[int] = []
+        if chunk == END:
+            return out
         for p in FINE.findall(chunk):
             ids = self.pieces.get(p)
             if ids is None:
@@ -156,29 +158,27 @@ class ByteBPE:
         """Ids as uint32. Special strings inside a text become their ids, as the library does by default. The chunks of many
         texts are looked up at once."""
         done: list[list[np.ndarray]] = [[] for _ in texts]
-        places, chunks, sizes = [], [], []
+        places, held, size = [], [], 0
 
         def add() -> None:
-            slots = self.cache.lookup(chunks)
-            size = self.cache.size[slots]
-            ids = ragged(self.cache.flat, self.cache.first[slots], size)
-            end = np.concatenate([[0], np.cumsum(size)])[np.cumsum(sizes)]
-            for (parts, k), part in zip(places, np.split(ids, end[:-1]), strict=True):
-                parts[k] = part
+            for (parts, k), ids in zip(places, self.cache.split(held), strict=True):
+                parts[k] = ids
 
         for parts, text in zip(done, texts, strict=True):
             for s in self.split.split(text) if self.split else [text]:
                 if s in self.special:
                     parts.append(np.asarray([self.special[s]], np.uint32))
-                elif PLAIN.fullmatch(s):
-                    for own in in_blocks(COARSE, s):
-                        places.append((parts, len(parts)))
-                        parts.append(np.zeros(0, np.uint32))
-                        chunks += own
-                        sizes.append(len(own))
-                        if len(chunks) > 1 << 18:
-                            add()
-                            places, chunks, sizes = [], [], []
+                elif s and PLAIN.fullmatch(s):
+                    if len(s) > STRETCH or "\xa0" in s:
+                        parts += [self.cache.values(own) for own in in_blocks(COARSE, s)]
+                        continue
+                    places.append((parts, len(parts)))
+                    parts.append(np.zeros(0, np.uint32))
+                    held.append(s)
+                    size += len(s)
+                    if size > STRETCH:
+                        add()
+                        places, held, size = [], [], 0
                 elif s:
                     parts.append(np.asarray(self.encode_other(s), np.uint32))
         if places:

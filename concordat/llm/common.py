@@ -176,6 +176,19 @@ class ChunkCache:
             got[missing] = [self.slot[chunks[i]] for i in missing]
         return got
 
+    def column(self, chunks: pa.StringArray) -> np.ndarray:
+        """lookup() of an Arrow column, each distinct chunk once."""
+        coded = chunks.dictionary_encode()
+        return self.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+
+    def split(self, texts: list[str]) -> list[np.ndarray]:
+        """The values of each text of cut(), one array per text."""
+        chunks, ends = cut(texts)
+        slots = self.column(chunks)
+        size = self.size[slots]
+        found = ragged(self.flat, self.first[slots], size)
+        return np.split(found, np.cumsum(size)[ends][:-1])
+
     def values(self, chunks: list[str]) -> np.ndarray:
         s = self.lookup(chunks)
         return ragged(self.flat, self.first[s], self.size[s])
@@ -196,6 +209,28 @@ def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.arange(total) + np.repeat(first - (end - size), size)]
 
 
+#: Stands after each text in cut(); texts that hold it, or white space other than tab to carriage return and space, can't be cut.
+END = "\0"
+
+
+def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """Chunks of all texts in turn, and the place of each text's end mark among them.
+
+    Chunks are what `` ?\\S+|\\s+(?!\\S)|\\s+`` finds: runs without white space with the space before them, and white space.
+    """
+    data = (END.join(texts) + END).encode()
+    byte = np.frombuffer(data, np.uint8)
+    space, end = (byte == 32) | ((byte - np.uint8(9)) < 5), byte == 0
+    after_space = np.concatenate([[False], space[:-1]])
+    before_word = np.concatenate([~(space | end)[1:], [False]])
+    start = end | (space & (~after_space | before_word))
+    start[1:] |= end[:-1] | (after_space[1:] & ~space[1:] & (byte[:-1] != 32))
+    start[0] = True
+    at = np.flatnonzero(start)
+    offsets = np.append(at, len(byte)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), np.flatnonzero(end[at])
+
+
 def in_blocks(pattern, text: str, most: int = 1 << 20) -> Iterator[list[str]]:
     """findall() in lists of bounded length, so that a very long text needs no list of all its parts."""
     if len(text) <= most:

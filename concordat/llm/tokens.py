@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-from .common import ChunkCache, in_blocks, kept_state, listed, ragged
+from .common import END, ChunkCache, in_blocks, kept_state, listed
 
 #: For texts of these characters alone (composed, no control characters), lower-casing and cutting at white space is exactly
 #: what the vocabulary's normaliser and pattern do; other texts go to the library whole.
@@ -19,13 +19,16 @@ LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66",
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
 
-#: Words per call of the library.
-CALL = 8192
+#: What words hold besides ASCII: the other characters of PLAIN, and of their lower-case forms.
+OTHER = [*range(0xA1, 0x2B0), 0x307, 0x2C65, 0x2C66, *range(0x2010, 0x2030)]
+#: Pieces a worker remembers, characters whose words are looked up at once.
+PIECES, STRETCH = 300_000, 1 << 22
 
 
 class WordTokenizer:
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -33,27 +36,28 @@ class WordTokenizer:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.special = tuple(t["content"] for t in spec["added_tokens"])
-        #: the same tokeniser without its normaliser, for words that are normalised already
-        self.word = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None}))
+        #: the byte-level pre-tokeniser's characters for the bytes of each other character
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in OTHER}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.vocabulary = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.cache = ChunkCache(self.encode_words, limit)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many words by one call for some thousands: their pieces stand apart, and each id comes with the number of
-        its piece."""
-        if len(words) > CALL:
-            found = [self.encode_words(words[k : k + CALL]) for k in range(0, len(words), CALL)]
-            return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        parts = [PIECE.findall(w) for w in words]
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        got = self.word.encode(" ".join(p for ps in parts for p in ps), add_special_tokens=False)
-        ids = np.asarray(got.ids, np.int64)
-        per_piece = np.bincount(np.asarray(got.word_ids, np.int64), minlength=int(n.sum())) if len(ids) else np.zeros(int(n.sum()), np.int64)
-        if len(per_piece) != n.sum() or (per_piece == 0).any():  # the library cuts a word in another way
-            return listed([e.ids for e in self.word.encode_batch(words, add_special_tokens=False)])
-        total = np.concatenate([[0], np.cumsum(per_piece)])
-        end = np.cumsum(n)
-        return ids, total[end] - total[end - n]
+        """Ids of many words; white space and end marks have none. The library's model is asked once for each piece."""
+        rows, known, tokenize = [], self.pieces, self.whole.model.tokenize
+        if len(known) > PIECES:
+            known.clear()
+        for w in words:
+            row: tuple[int, ...] = ()
+            if w != END:
+                for p in PIECE.findall(w):
+                    ids = known.get(p)
+                    if ids is None:
+                        ids = known[p] = tuple([t.id for t in tokenize(p if p.isascii() else p.translate(self.as_bytes))])
+                    row = row + ids if row else ids
+            rows.append(row)
+        return listed(rows)
 
     def plain(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
@@ -68,29 +72,18 @@ class WordTokenizer:
     def encode_batch(self, texts: list) -> list[np.ndarray]:
         """Like encode() of each, with the words of many texts looked up at once."""
         out: list = [None] * len(texts)
-        owner, words, sizes = [], [], []
-
-        def add() -> None:
-            slots = self.cache.lookup(words)
-            size = self.cache.size[slots]
-            ids = ragged(self.cache.flat, self.cache.first[slots], size)
-            end = np.concatenate([[0], np.cumsum(size)])[np.cumsum(sizes)]
-            for k, part in zip(owner, np.split(ids, end[:-1]), strict=True):
-                out[k] = part
-
+        owner, held, size = [], [], 0
         for k, t in enumerate(texts):
-            if t and len(t) <= 1 << 20 and self.plain(t):
-                own = t.lower().split()
+            if t and len(t) <= STRETCH and "\xa0" not in t and self.plain(t):
                 owner.append(k)
-                sizes.append(len(own))
-                words += own
-                if len(words) > 1 << 17:
-                    add()
-                    owner, words, sizes = [], [], []
+                held.append(t.lower())
+                size += len(t)
             else:
                 out[k] = self.encode(t)
-        if owner:
-            add()
+            if held and (size > STRETCH or k == len(texts) - 1):
+                for j, ids in zip(owner, self.cache.split(held), strict=True):
+                    out[j] = ids
+                owner, held, size = [], [], 0
         return out
 
 
