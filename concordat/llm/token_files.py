@@ -171,8 +171,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     crc = crc.tolist()
                     yield table_batch(ROWS, doc_id=who, start=(base + s.ends - s.sizes).tolist(), n_tokens=s.sizes.tolist(), ids_crc32=crc)
 
-    rows = manifest.select("path", "base")
-    return rows.repartition(F.col("path")).mapInArrow(tidy(run), ROWS)
+    # a number given keeps adaptive execution from reading all shards in one task, as their paths are small
+    tasks = min(max(1, manifest.count()), 4 * manifest.sparkSession.sparkContext.defaultParallelism)
+    return manifest.select("path", "base").repartition(tasks, "path").mapInArrow(tidy(run), ROWS)
 
 
 def token_file_rows(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
