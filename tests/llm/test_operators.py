@@ -394,3 +394,21 @@ def test_pipeline_stages(spark, small, documents):
     packed = corpus_pipeline.run(spark, small)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids[3]
     assert set(queries()) >= {"pipeline", "op1_token_counts", "op10_quality"}
+
+
+def test_cut_finds_what_the_pattern_finds():
+    import random
+    import re
+
+    from concordat.llm.common import END, cut
+
+    pattern, rng = re.compile(r" ?\S+|\s+(?!\S)|\s+"), random.Random(5)
+    for _ in range(2000):
+        texts = ["".join(rng.choice(" \n\té\tab  ") for _ in range(rng.randrange(9))) for _ in range(4)]
+        chunks, ends = cut(texts)
+        at, found = 0, []
+        for e in ends:
+            assert chunks[int(e)].as_py() == END
+            found.append(chunks[at : int(e)].to_pylist())
+            at = int(e) + 1
+        assert found == [pattern.findall(t) for t in texts]
