@@ -10,7 +10,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +139,7 @@ class ChunkCache:
     """Results of a pure function of short strings, kept by worker processes across tasks.
 
     compute(strings) gives (values, sizes): all values one after another, and how many belong to each string. When ``limit``
-    strings are held, the half that came first goes; that costs time only.
+    strings are held, the half that was asked for least goes, of equals the older; that costs time only.
     """
 
     def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, dtype=np.uint32):
@@ -147,12 +147,13 @@ class ChunkCache:
         self.slot: dict[str, int] = {}
         self.flat, self.held = np.zeros(1024, dtype), 0  # arrays with room to grow; held: values in use
         self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.asked = np.zeros(1024, np.uint16)  # calls that asked for a string, halved whenever strings go
 
     def _append(self, flat: np.ndarray, size: np.ndarray, at: int) -> None:
         while self.held + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while at + len(size) > len(self.size):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            self.first, self.size, self.asked = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.asked))
         self.flat[self.held : self.held + len(flat)] = flat
         self.size[at : at + len(size)] = size
         self.first[at : at + len(size)] = self.held + np.cumsum(size) - size
@@ -161,11 +162,14 @@ class ChunkCache:
     def lookup(self, chunks: list[str]) -> np.ndarray:
         """A slot for each chunk; it holds until the next call."""
         if len(self.slot) > self.limit:
-            names = list(self.slot)[len(self.slot) // 2 :]
-            keep = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
-            flat, size = ragged(self.flat, self.first[keep], self.size[keep]), self.size[keep]
+            names, n = list(self.slot), len(self.slot)  # in the order of their slots
+            keep = np.sort(np.argsort(self.asked[:n], kind="stable")[n // 2 :])
+            names = [names[i] for i in keep.tolist()]
+            flat, size, asked = ragged(self.flat, self.first[keep], self.size[keep]), self.size[keep], self.asked[keep] >> 1
             self.held = 0
             self._append(flat, size, 0)
+            self.asked[:] = 0
+            self.asked[: len(keep)] = asked
             self.slot = dict(zip(names, range(len(names)), strict=True))
         got = np.fromiter(map(self.slot.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(got < 0).tolist()
@@ -174,6 +178,7 @@ class ChunkCache:
             self._append(*self.compute(new), at)
             self.slot.update(zip(new, range(at, at + len(new)), strict=True))
             got[missing] = [self.slot[chunks[i]] for i in missing]
+        self.asked[got] = np.minimum(self.asked[got], 60_000) + 1
         return got
 
     def column(self, chunks: pa.StringArray) -> np.ndarray:
@@ -197,7 +202,7 @@ class ChunkCache:
 def listed(rows: list) -> tuple[np.ndarray, np.ndarray]:
     """Values and sizes of a list of lists."""
     size = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((x for r in rows for x in r), np.int64, int(size.sum())), size
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(size.sum())), size
 
 
 def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:

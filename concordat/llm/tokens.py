@@ -26,7 +26,7 @@ PIECES, STRETCH = 300_000, 1 << 22
 
 
 class WordTokenizer:
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 900_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -51,7 +51,8 @@ class WordTokenizer:
         for w in words:
             row: tuple[int, ...] = ()
             if w != END:
-                for p in PIECE.findall(w):
+                bare = w.strip()
+                for p in (bare,) if bare.isalpha() and bare.isascii() else PIECE.findall(w):
                     ids = known.get(p)
                     if ids is None:
                         ids = known[p] = tuple([t.id for t in tokenize(p if p.isascii() else p.translate(self.as_bytes))])
