@@ -114,9 +114,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, words = TaskContext.get(), word_tokenizer(path)
+        task, shard = TaskContext.get(), 0
+        bits = bits_for(word_tokenizer(path).vocabulary)
         store, top = open_fs(folder)
-        bits, shard = bits_for(words.vocabulary), 0
         who, sizes, held, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -126,6 +126,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
             return table_batch(MANIFEST, part=[task.partitionId()], shard=[shard], path=[f"{folder}/{name}"], n_docs=[len(who)], n_ids=[total])
 
         for batch in batches:
+            words = word_tokenizer(path)  # asked for again with each batch, so that it counts as in use when the next task starts
             for d, ids in zip(batch.column(0).to_pylist(), words.encode_batch(batch.column(1).to_pylist()), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 who.append(d)
