@@ -377,10 +377,11 @@ def folded(sketch: Column) -> Column:
 def cross_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) of groups in different components that share a shingle and that size and folded sketch let pass.
 
-    rows: token, gid, root, tag, n, place (of the token in the prefix), e0.. (its first shingles), s, blocks. The pairs are compared where they meet and only those that pass are handed on.
+    rows: token, gid, root, tag, n, place (of the token in the prefix), e0.. (its first shingles), several (1 if the group holds
+    several sets, of which s tells nothing), s, blocks. The pairs are compared where they meet and only those that pass are handed on.
     A long list is cut into blocks; each two blocks meet in a task of their own.
     """
-    names = ("token", "bi", "bj", "block", "gid", "root", "tag", "n", "place", *(f"e{i}" for i in range(EARLY)))
+    names = ("token", "bi", "bj", "block", "gid", "root", "tag", "n", "place", *(f"e{i}" for i in range(EARLY)), "several")
 
     def passing(g: np.ndarray, s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """g: columns of names, in rows. Which of the pairs (i, j) pass?"""
@@ -389,7 +390,8 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
         # if this is the first shingle they share, they share no more than what stands from here on in either
         need = -(-3 * (ni + nj) // 7)
         k = np.flatnonzero(ok & (g[i, 8] <= ni - need) & (g[j, 8] <= nj - need))
-        k = k[7 * np.bitwise_count(s[i[k]] ^ s[j[k]]).sum(1, dtype=np.int64) <= ni[k] + nj[k]]
+        near = 7 * np.bitwise_count(s[i[k]] ^ s[j[k]]).sum(1, dtype=np.int64) <= ni[k] + nj[k]
+        k = k[near | (g[i[k], -1] | g[j[k], -1]).astype(bool)]
         met = np.zeros(len(k), bool)  # at an earlier shingle
         for a in range(EARLY):
             for b in range(EARLY):
@@ -519,8 +521,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # remaining pairs: groups of different components that share a prefix shingle
     # (tag tells a group whose members lie in several components from any other)
-    spread = root_of.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("n"))
-    placed = live.select(F.col("k").alias("token"), F.col("m").alias("gid"), F.col("p").alias("place")).join(spread, "gid").select("token", "gid", "place", F.col("lo").alias("root"), F.when(F.col("lo") == F.col("hi"), F.lit(0).cast("long")).otherwise(F.col("gid")).alias("tag"), "n")
+    spread = root_of.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("n"), (F.count("*") > 1).cast("long").alias("several"))
+    placed = live.select(F.col("k").alias("token"), F.col("m").alias("gid"), F.col("p").alias("place")).join(spread, "gid").select("token", "gid", "place", F.col("lo").alias("root"), F.when(F.col("lo") == F.col("hi"), F.lit(0).cast("long")).otherwise(F.col("gid")).alias("tag"), "n", "several")
     open_tokens = placed.groupBy("token").agg(F.min(F.struct("root", "tag")).alias("x"), F.max(F.struct("root", "tag")).alias("y"), F.count("*").alias("c")).where("x <> y")
     placed = written(placed.join(open_tokens.select("token", F.ceil(F.col("c") / LIST).alias("blocks")), "token"), f"{folder}/placed")
     cross = written(cross_pairs(placed.join(sketch.select("gid", *(f"e{i}" for i in range(EARLY)), folded(F.col("s")).alias("s")), "gid")), f"{folder}/cross")

@@ -164,6 +164,22 @@ def test_ngram_join_families(spark):
     assert got == brute_components(dict(rows))
 
 
+def test_ngram_join_groups_of_unlike_sets(spark, monkeypatch):
+    """Two sets of one size and prefix that share little: what links with one only must not be judged by the other."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)  # shingles in the order of their hashes
+    rows, k = [], 0
+    while len(rows) < 60:
+        k += 1
+        base = " ".join(f"u{k}x{i}" for i in range(5))
+        head, other, larger = f"{base} p{k} q{k}", f"{base} r{k} s{k}", f"{base} r{k} s{k} t{k}"
+        a, b, c = (ngram_join.shingles(t) for t in (head, other, larger))
+        if a[0] == b[0] and a[0] in c[:2]:
+            rows += [(len(rows), head), (len(rows) + 1, other), (len(rows) + 2, larger)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == brute_components(dict(rows)) and got[2][1] == 1
+
+
 def test_shared_keys_over_batches(monkeypatch):
     import pyarrow as pa
 
