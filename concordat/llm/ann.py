@@ -177,7 +177,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
     held = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # at most CENTROIDS^2 rows
     blocks = {c: -(-n // BLOCK) for c, n in held.items()}
 
-    trials = {r["vec_id"]: r["v"] for r in few(base.where(F.col("vec_id") % every == 0), TRIALS)}
+    queries = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    trials = {r["vec_id"]: r["v"] for r in queries.orderBy(chance, "vec_id").limit(TRIALS).collect()}  # all, if there are fewer
     if not trials:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     true = exact(base, np.asarray(sorted(trials)), np.asarray([trials[q] for q in sorted(trials)], np.float64), k)
@@ -193,8 +194,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
         return pa.array([cells_in_order(np.asarray(r, np.float64), halves, held, need) for r in rows], pa.list_(pa.int32()))
 
     n_blocks = F.create_map(*(F.lit(x) for cb in sorted(blocks.items()) for x in cb))
-    asked = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asked = asked.select("vec_id", "v", F.explode(map_text(cells_of, T.ArrayType(T.IntegerType()), F.col("v"))).alias("cell"))
+    asked = queries.select("vec_id", "v", F.explode(map_text(cells_of, T.ArrayType(T.IntegerType()), F.col("v"))).alias("cell"))
     # a large cell lies in several blocks, each of which every query of the cell meets
     asked = asked.select("vec_id", "v", "cell", F.explode(F.sequence(F.lit(0), n_blocks[F.col("cell")] - 1)).alias("block"), F.lit(True).alias("asks"))
     found = indexed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), n_blocks[F.col("cell")]).cast("int").alias("block"), F.lit(False).alias("asks"))

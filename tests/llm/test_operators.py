@@ -283,6 +283,16 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(df.where("false")).count() == 0
 
 
+def test_nearest_trials(spark, monkeypatch):
+    """TRIALS queries calibrate the walk, or all of them if there are fewer; few queries get their neighbours too."""
+    rng, seen, exact = np.random.default_rng(4), [], ann.exact
+    monkeypatch.setattr(ann, "exact", lambda base, qids, qs, k: (seen.append(len(qids)), exact(base, qids, qs, k))[1])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(4000, 4)).tolist())], "vec_id long, embedding array<double>")
+    assert {r["query_id"] for r in ann.nearest(df, every=1000).collect()} == {0, 1000, 2000, 3000}
+    assert len({r["query_id"] for r in ann.nearest(df).collect()}) == 200
+    assert seen == [4, ann.TRIALS]
+
+
 def test_token_files(odd, documents):
     for df in both(odd, documents):
         ids, at = word_ids(texts_of(df), 1), 0
