@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import kernels
 from concordat.operators import graph
-from concordat.plans import catalog
+from concordat.plans import catalog, frames
 from concordat.plans.roles import TABLES
 from concordat.sources import catalogue
 from concordat.streaming import incremental
@@ -55,6 +55,17 @@ def test_kernels():
     assert kernels.transliterate("Ünï ﬁ") == "Uni fi"
 
 
+def test_evidence_score(spark, small):
+    rows = [(1, 2, "ball valve steel", "steel valve ball", 3, 4, 0, False, False), (1, 3, "ball valve steel", "zzz", 3, 4, 0, False, False), (1, 4, "bolt", "bolt", 0, 0, 0, False, False), (1, 5, "bolt", "bolt", 4, 4, 1, False, True)]
+    df = spark.createDataFrame(rows, "item_a long, item_b long, text_a string, text_b string, matched long, compared long, vetoes long, other_maker boolean, anchor boolean")
+    got = {r["item_b"]: r for r in frames.scored(df).collect()}
+    assert [got[b]["verdict"] for b in (2, 3, 4, 5)] == ["duplicate", "distinct", "duplicate", "conflict"]
+    assert got[2]["score"] == pytest.approx((0.34 + 0.42 * 0.75) / 0.76) and got[4]["score"] == 1
+    assert got[3]["score"] == pytest.approx((0.34 * kernels.token_set_ratio("ball valve steel", "zzz") + 0.42 * 0.75) / 0.76)
+    found = catalog.queries()["evidence_score"](spark, small)
+    assert found.count() == catalog.queries()["score_pairs"](spark, small).count() and found.where("fuzzy < 1").count() > 0
+
+
 def test_catalogue_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('MATNR,MAKTX,MEINS\n1,"bolt, hex",EA\n1,again,EA\n,none,EA\n2,,EA\n3,nut,EA\n', encoding="utf-8-sig")
     df = catalogue.map_headers(catalogue.read_csv(spark, str(tmp_path / "a.csv")))
