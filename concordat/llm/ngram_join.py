@@ -18,6 +18,7 @@ pairs per copy, not all pairs, and no link between different components is misse
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, map_text, shared_folder, table_batch, tidy, written
+from .common import bounded_batches, drop, fresh, map_text, shared_folder, table_batch, tidy, written
 
 WORDS, SEED = 5, 3
 #: Frequent shingles that are put last in the order (8 bytes each in every task), how often a task must meet one to report it.
@@ -40,15 +41,13 @@ SET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.
 
 U = np.uint64
 MIX, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
-#: A random 64-bit value per byte, and powers of an odd base and of its inverse: a word's hash is the sum of value * base^place,
-#: taken from running sums over the whole batch.
-VALUE = np.random.default_rng(SEED).integers(0, 1 << 63, 256, np.uint64) * U(2) + U(1)
-for _c in range(65, 91):
-    VALUE[_c] = VALUE[_c + 32]  # A-Z count as a-z
 GAP = np.zeros(256, bool)
 GAP[[32, 9, 10, 11, 12, 13]] = True
-BASE = 0xD1342543DE82EF95
-INVERSE = pow(BASE, -1, 1 << 64)
+GAPS, WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(r"[^\x20\x09-\x0D]+")
+#: Keeps the low k bytes of a 64-bit value.
+LOW = np.asarray([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of text hashed at once; words longer than LONG are hashed one by one.
+SLICE, LONG = 1 << 18, 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,55 +56,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    while len(out) < n:
-        out = np.concatenate([out, out * U(pow(base, len(out), 1 << 64))])
-    return out
-
-
-UP, DOWN = powers(BASE, 1 << 18), powers(INVERSE, 1 << 18)
 #: Odd weights of a shingle's words.
 WEIGHT = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | U(1)
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """One hash per word of a text, A-Z lowered. Long texts go by slices that end between words."""
-    out, at = [], 0
+def slices(data: bytes) -> Iterator[bytes]:
+    """A text in parts that end between words."""
+    at = 0
     while at < len(data):
-        b = np.frombuffer(data, np.uint8, min(len(data) - at, len(UP)), at)
-        gap = GAP[b]
-        if at + len(b) < len(data):  # leave the last, unfinished word to the next slice
-            stop = np.flatnonzero(gap)
-            if not len(stop):
-                return np.concatenate([*out, long_word_hashes(data[at:])])
-            b, gap = b[: stop[-1] + 1], gap[: stop[-1] + 1]
-        edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
-        start, end = edge[0::2], edge[1::2]
-        run = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(VALUE[b] * UP[: len(b)], out=run[1:])
-        out.append(mix((run[end] - run[start]) * DOWN[start] + (end - start).astype(np.uint64) * MIX))
-        at += len(b)
-    return np.concatenate(out) if len(out) != 1 else out[0]
-
+        end = min(len(data), at + SLICE)
+        if end < len(data):
+            gap = GAPS.search(data, end)
+            end = gap.start() if gap else len(data)
+        yield data[at:end]
+        at = end
 
-def long_word_hashes(data: bytes) -> np.ndarray:
-    """The same where a word is longer than a slice: byte sums of each word in turn."""
-    out = []
-    for w in re.findall(rb"[^\x20\x09-\x0D]+", data):
-        total, scale = 0, 1
-        for k in range(0, len(w), len(UP)):
-            b = np.frombuffer(w, np.uint8, min(len(w) - k, len(UP)), k)
-            total += scale * int((VALUE[b] * UP[: len(b)]).sum(dtype=np.uint64))
-            scale = scale * pow(BASE, len(UP), 1 << 64) % (1 << 64)
-        out.append((total + len(w) * int(MIX)) % (1 << 64))
-    return mix(np.asarray(out, np.uint64))
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """Two keyed 64-bit hashes per word of a text, A-Z lowered: shape (2, words).
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text; with fewer words than WORDS, the whole sequence is one shingle."""
-    data = (text or "").encode("utf-8", "replace")
-    w = word_hashes(data) if data else np.zeros(0, np.uint64)
+    A word's eight-byte lanes go one after another through a mixing step that isn't linear, with all words at once.
+    """
+    out = []
+    for part in slices(data.lower()):
+        gap = GAP[np.frombuffer(part, np.uint8)]
+        edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+        start, size = edge[0::2], edge[1::2] - edge[0::2]
+        lanes = np.ndarray(len(part) + 1, "<u8", part + bytes(8), strides=(1,))
+        h = mix(size.astype(np.uint64) * MIX + U(SEED))
+        g = h * MIX2
+        live, at, left = np.flatnonzero(size <= LONG), start, size
+        at, left = start[live], size[live]
+        while len(live):
+            x = lanes[at] & LOW[np.minimum(left, 8)]
+            h[live] = mix(h[live] ^ x)
+            y = (g[live] + x) * MIX
+            g[live] = y ^ (y >> U(29))
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        for k in np.flatnonzero(size > LONG).tolist():
+            both = hashlib.blake2b(part[start[k] : start[k] + size[k]], digest_size=16, key=SEED.to_bytes(8, "little")).digest()
+            h[k], g[k] = np.frombuffer(both, np.uint64)
+        out.append(np.stack([h, g]))
+    return np.concatenate(out, 1) if out else np.zeros((2, 0), np.uint64)
+
+
+def shingle_hashes(w: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingle hashes of a row of word hashes; with fewer words than WORDS, the whole sequence is one shingle."""
     if not len(w):
         return w
     k = min(WORDS, len(w))
@@ -116,12 +113,49 @@ def shingles(text: str | None) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_hashes(word_hashes((text or "").encode("utf-8", "replace"))[0])
+
+
+def coded(texts: list[list[str]]) -> list[np.ndarray]:
+    """Each word list's distinct shingles as numbers that are equal just where the words themselves are."""
+    code: dict[str, int] = {}
+    rows = [np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words)) for words in texts]
+    sizes = [max(0, len(r) - min(WORDS, len(r)) + 1) if len(r) else 0 for r in rows]
+    k = [min(WORDS, len(r)) for r in rows]
+    out = []
+    if len(code) < 1 << 12:  # five words fit one number; shorter sequences are negative
+        for r, n, m in zip(rows, sizes, k, strict=True):
+            h = r[:n].copy()
+            for j in range(1, m):
+                h = h << 12 | r[j : j + n]
+            out.append(np.unique(h) if m == WORDS else -1 - (h * 8 + m))
+        return out
+    flat = [np.stack([r[j : j + n] for j in range(m)] + [np.full(n, -1)] * (WORDS - m), 1) for r, n, m in zip(rows, sizes, k, strict=True) if n]
+    every = np.concatenate(flat) if flat else np.zeros((0, WORDS), np.int64)
+    h = every[:, 0]
+    for j in range(1, WORDS):  # pairs of numbers become numbers again
+        h = np.unique((h << 31) + every[:, j] + 1, return_inverse=True)[1]
+    at = 0
+    for n in sizes:
+        out.append(np.unique(h[at : at + n]))
+        at += n
+    return out
+
+
+def words_link(a: list[str], b: list[str]) -> bool:
+    """100 * intersection >= 75 * union of the shingle sets, on the words themselves."""
+    x, y = coded([a, b])
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= 75 * (len(x) + len(y) - both)
+
+
 def prefix_size(n: int) -> int:
     """Least shared shingles with any set that links: 3/4 of n, rounded up; one of the others must be in the prefix."""
     return n - -(-3 * n // 4) + 1
 
 
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, text_col: str, folder: str) -> np.ndarray:
     """The most frequent shingles, rarest first. They shape the order only: any order finds all links.
 
     Each task counts the shingles of all its texts and reports those met REPORTED times; Spark adds the reports up.
@@ -147,30 +181,38 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray
         if pending:
             yield report()
 
-    counts = docs.select(F.col(text_col)).mapInArrow(tidy(run), kind).groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
-    return np.asarray([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    counts = written(docs.select(F.col(text_col)).mapInArrow(tidy(run), kind).groupBy("h").agg(F.sum("c").alias("c")), folder)
+    # the least count that at most FREQUENT shingles reach, from a table of how many have each count
+    w = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+    least = counts.groupBy("c").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(w)).where(F.col("n") <= FREQUENT).agg(F.min("c")).first()[0]
+    top = counts.where(F.col("c") >= least).toArrow() if least is not None else None  # at most FREQUENT rows
+    drop(folder)
+    if top is None:
+        return np.zeros(0, np.uint64)
+    h, c = top.column("h").to_numpy(), top.column("c").to_numpy()
+    return h[np.lexsort((h, c))].view(np.uint64)
 
 
-def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_table(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n, set_id (digest of the set), gid (hash of prefix and size), prefix and how many of it are not frequent, sketch;
     all from the whole text.
 
-    A task gives the prefix and sketch of a group once only; further members of the group have null there. The sketch holds
+    A task gives the prefix of a group and the sketch of a set once only; further rows have null there. The sketch holds
     the parity of the shingles in each of its bins, so two sketches differ in no more bins than the sets differ in shingles.
+    A set's digest is taken over two independent 64-bit hashes of its shingles.
     """
-    import hashlib
-
-    frequent = frequent_shingles(docs, id_col, text_col)
+    frequent = frequent_shingles(docs, text_col, folder)
     order = np.argsort(frequent)
     known, rank = frequent[order], order.astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
+        drawn: set[bytes] = set()
         for batch in batches:
             cols: list[list] = [[] for _ in SET.names]
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text)
+                w = word_hashes((text or "").encode("utf-8", "replace"))
+                s = shingle_hashes(w[0])
                 n = len(s)
                 row = [d, n, None, None, None, None, None]
                 if n:
@@ -185,13 +227,18 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         own = at[late]
                         first = np.concatenate([first, known[own[np.argsort(rank[own])]][: keep - len(first)]])
                     gid = int.from_bytes(hashlib.blake2b(n.to_bytes(8, "little") + np.sort(first).tobytes(), digest_size=8).digest(), "little", signed=True)
-                    row[2:4] = hashlib.blake2b(s.tobytes(), digest_size=16).digest(), gid
+                    own_set = hashlib.blake2b(s.tobytes() + shingle_hashes(w[1]).tobytes(), digest_size=16).digest()
+                    row[2:4] = own_set, gid
                     if gid not in given:
                         given.add(gid)
-                        if len(given) > 1_000_000:
-                            given.clear()
+                        row[4:6] = first.view(np.int64), rare
+                    if own_set not in drawn:
+                        drawn.add(own_set)
                         bins = np.bincount((s >> U(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-                        row[4:] = first.view(np.int64), rare, np.packbits(bins.astype(np.uint8)).tobytes()
+                        row[6] = np.packbits(bins.astype(np.uint8)).tobytes()
+                    if len(drawn) > 500_000:  # what was given longer ago is given again
+                        given.clear()
+                        drawn.clear()
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             yield table_batch(SET, **dict(zip(SET.names, cols, strict=True)))
@@ -304,6 +351,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_low.select("a", F.col("m").alias("b")))
         e = written(small.where("a <> b").distinct(), f"{folder}/e{k}")
+        drop(f"{folder}/e{k - 1}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
@@ -322,29 +370,27 @@ def squeezed(text: Column) -> Column:
 
 
 def linked(a: Column, b: Column) -> Column:
-    """Do two squeezed texts link: 100 * intersection >= 75 * union of their shingle sets?"""
+    """Do two squeezed texts link? The words are compared, not their hashes."""
     import zstandard
 
     def run(left: list, right: list):
         unzip = zstandard.ZstdDecompressor()
-        of = lambda z: shingles(unzip.decompress(z).decode("utf-8", "replace"))
+        of = lambda z: WORD.findall(unzip.decompress(z).lower().decode())
         out, last, one = [], None, None
         for x, y in zip(left, right, strict=True):
             if x != last:
                 last, one = x, of(x)
-            other = of(y)
-            both = len(np.intersect1d(one, other, assume_unique=True))
-            out.append(100 * both >= 75 * (len(one) + len(other) - both))
+            out.append(words_link(one, of(y)))
         return pa.array(out, pa.bool_())
 
     return map_text(run, T.BooleanType(), a, b)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids whose texts link. texts: (id, t) of at least these documents."""
+    """The pairs (a, b) of document ids of which a text links. texts: (id, t) of at least these documents, one or several an id."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return two.where(linked(F.col("ta"), F.col("tb"))).select("a", "b")
+    return two.where(linked(F.col("ta"), F.col("tb"))).select("a", "b").distinct()
 
 
 def apart(x: Column, y: Column) -> Column:
@@ -464,87 +510,121 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     return dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInArrow(tidy(run), CROSS).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_column: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id (the smallest id that links reach).
 
     Null texts, empty texts and texts without words have no shingles and link with nothing; their component is their own id.
-    Equal sets always link. Repeated rows of one id belong to one document, repeated with it; rows with a null id are left
-    out. Extra columns are ignored, an empty table gives an empty one. Texts are whole, however long.
+    Equal sets always link. An id is one document: repeated rows stay, each with the n_shingles of its own text, and rows that
+    share an id share its component, to which every text of the id adds its links. Rows with a null id are left out. Extra
+    columns are ignored, an empty table gives an empty one. Texts are whole, however long.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    folder = shared_folder(spark, "near")
+    return joined(docs, shared_folder(docs.sparkSession, "near"), id_col, text_col)
+
+
+def joined(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates() with its tables in a folder; each goes when no later step reads it."""
+    bounded_batches(docs.sparkSession)
     docs = docs.where(F.col(id_col).isNotNull())
-    sets = written(shingle_table(docs, id_col, text_col), f"{folder}/sets")
+    sets = written(shingle_table(docs, f"{folder}/counts", id_col, text_col), f"{folder}/sets")
     # one row per distinct set, one per group
     classes = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("n"))
     classes = written(classes, f"{folder}/classes")
-    groups = written(classes.groupBy("gid").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.min("n").alias("n")), f"{folder}/groups")
+    groups = written(classes.groupBy("gid").agg(F.min("rep").alias("head"), (F.count("*") > 1).alias("several"), F.min("n").alias("n")), f"{folder}/groups")
     tokens = sets.where("prefix is not null").select("gid", "rare", F.posexplode("prefix").alias("place", "token")).select(F.col("token").alias("k"), F.col("gid").alias("m"), F.col("place").cast("long").alias("p"), (F.col("place") >= F.col("rare")).alias("hot"))
     live = shared_keys(tokens.where("not hot")).withColumn("hot", F.lit(False)).unionByName(tokens.where("hot").select("k", "m", "p", "hot").distinct())
     live = written(live, f"{folder}/live")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
     def text_of(pairs: DataFrame, name: str) -> DataFrame:
+        """(id, t): every text of the ids in the pairs."""
         wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{folder}/{name}_wanted")
         if wanted.count() <= BROADCAST_IDS:  # else both sides are shuffled
             wanted = F.broadcast(wanted)
-        return written(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")).select("id", squeezed(F.col("t")).alias("t")), f"{folder}/{name}")
+        return written(texts.join(wanted, "id", "left_semi").select("id", squeezed(F.col("t")).alias("t")).distinct(), f"{folder}/{name}")
 
-    many = groups.where("head < last").select("gid")
+    many = groups.where("several").select("gid")
     fits = "4 * na >= 3 * nb and 4 * nb >= 3 * na"
     size = lambda c: groups.select(F.col("gid").alias(c), F.col("n").alias(f"n{c}"))
-    drawn = sets.where("sketch is not null").select("gid", F.struct("sketch", F.slice("prefix", 1, EARLY).alias("e")).alias("s")).groupBy("gid").agg(F.min("s").alias("s"))
-    sketch = drawn.join(live.select(F.col("m").alias("gid")).distinct(), "gid", "left_semi")
-    early = (F.coalesce(F.try_element_at("s.e", F.lit(i + 1)), F.xxhash64("gid", F.lit(i))).alias(f"e{i}") for i in range(EARLY))
-    sketch = written(sketch.select("gid", F.col("s.sketch").alias("s"), *early), f"{folder}/sketches")
+    # sketches of the groups that share a token; of a group of several sets (of which it tells nothing) any one
+    first = sets.where("prefix is not null").groupBy("gid").agg(F.min(F.slice("prefix", 1, EARLY)).alias("e"))
+    drawn = sets.where("sketch is not null").groupBy("gid").agg(F.min("sketch").alias("s")).join(live.select(F.col("m").alias("gid")).distinct(), "gid", "left_semi")
+    early = (F.coalesce(F.try_element_at("e", F.lit(i + 1)), F.xxhash64("gid", F.lit(i))).alias(f"e{i}") for i in range(EARLY))
+    sketch = written(drawn.join(first, "gid").select("gid", "s", *early), f"{folder}/sketches")
+
+    def near_sketches(df: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
+        """The pairs (a, b, na, nb) whose sketches are near enough for sets that link."""
+        both = df.join(drawn.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(drawn.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
+        return both.where(7 * apart(F.col("sa"), F.col("sb")) <= F.col("na") + F.col("nb")).select("a", "b").distinct()
 
     def close(df: DataFrame) -> DataFrame:
-        """Of group pairs (a, b, na, nb), those that may link. A sketch tells of one set, so groups of several sets pass."""
-        drawn = df.join(sketch.select(F.col("gid").alias("a"), F.col("s").alias("sa")), "a").join(sketch.select(F.col("gid").alias("b"), F.col("s").alias("sb")), "b")
-        near = drawn.where(7 * apart(F.col("sa"), F.col("sb")) <= F.col("na") + F.col("nb")).select("a", "b")
+        """Of group pairs (a, b, na, nb), those that may link. Groups of several sets pass; their members are tested one by one."""
         left = df.join(many.select(F.col("gid").alias("a")), "a", "left_semi").select("a", "b")
         right = df.join(many.select(F.col("gid").alias("b")), "b", "left_semi").select("a", "b")
-        return near.unionByName(left).unionByName(right).distinct()
+        return near_sketches(df, sketch, "gid").unionByName(left).unionByName(right).distinct()
 
     # first pairs, of the groups' heads and of the members of a group
     rare = live.where("not hot").withColumn("_k", F.row_number().over(Window.partitionBy("m").orderBy("p"))).where(F.col("_k") <= FIRST).drop("_k")
     near = written(first_pairs(rare.unionByName(live.where("hot"))).join(size("a"), "a").join(size("b"), "b").where(fits), f"{folder}/near")
     head = lambda c: groups.select(F.col("gid").alias(c), F.col("head").alias(f"h{c}"))
     heads = close(near).join(head("a"), "a").join(head("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    crowded = classes.join(groups.where("head < last").select("gid"), "gid", "left_semi").select(F.col("gid").alias("k"), F.col("rep").alias("m"), F.lit(True).alias("hot"))
+    crowded = classes.join(many, "gid", "left_semi").select(F.col("gid").alias("k"), F.col("rep").alias("m"), F.lit(True).alias("hot"))
     inside = first_pairs(crowded)
-    pairs = written(heads.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{folder}/first")
+    pairs = heads.unionByName(inside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, f"{folder}/first")
+    drop(f"{folder}/near")
     links = written(verified(pairs, text_of(pairs, "first_texts")), f"{folder}/first_links")
-    roots = components(links, f"{folder}/first_roots")
+    drop(f"{folder}/first_texts", f"{folder}/first_texts_wanted")
+    # rows that share an id share its node, with every set they hold
+    twofold = sets.where("n > 0").groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id")
+    same_id = sets.where("n > 0").join(twofold, "doc_id", "left_semi").join(classes, "set_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    roots = components(links.unionByName(same_id), f"{folder}/first_roots")
+    # (rep, gid) is one row per distinct set, unless one id is the smallest of several
     root_of = written(classes.select("rep", "gid", "n").join(roots, classes.rep == roots.node, "left").select("rep", "gid", "n", F.coalesce("root", "rep").alias("root")), f"{folder}/root_of")
+    drop(f"{folder}/first_roots", f"{folder}/first_links")
 
     # remaining pairs: groups of different components that share a prefix shingle
     # (tag tells a group whose members lie in several components from any other)
-    spread = root_of.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("n"), (F.count("*") > 1).cast("long").alias("several"))
-    placed = live.select(F.col("k").alias("token"), F.col("m").alias("gid"), F.col("p").alias("place")).join(spread, "gid").select("token", "gid", "place", F.col("lo").alias("root"), F.when(F.col("lo") == F.col("hi"), F.lit(0).cast("long")).otherwise(F.col("gid")).alias("tag"), "n", "several")
+    spread = root_of.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("n"), F.count("*").alias("c"), (F.count("*") > 1).cast("long").alias("several"))
+    placed = live.select(F.col("k").alias("token"), F.col("m").alias("gid"), F.col("p").alias("place")).join(spread.drop("c"), "gid").select("token", "gid", "place", F.col("lo").alias("root"), F.when(F.col("lo") == F.col("hi"), F.lit(0).cast("long")).otherwise(F.col("gid")).alias("tag"), "n", "several")
     open_tokens = placed.groupBy("token").agg(F.min(F.struct("root", "tag")).alias("x"), F.max(F.struct("root", "tag")).alias("y"), F.count("*").alias("c")).where("x <> y")
     placed = written(placed.join(open_tokens.select("token", F.ceil(F.col("c") / LIST).alias("blocks")), "token"), f"{folder}/placed")
+    drop(f"{folder}/live")
     cross = written(cross_pairs(placed.join(sketch.select("gid", *(f"e{i}" for i in range(EARLY)), folded(F.col("s")).alias("s")), "gid")), f"{folder}/cross")
-    met = close(cross)
-    member = lambda c: root_of.select(F.col("gid").alias(c), F.col("rep").alias(f"r{c}"), F.col("root").alias(f"t{c}"))
-    expanded = met.join(member("a"), "a").join(member("b"), "b").where("ta <> tb").select("ra", "rb")
-    own = root_of.join(spread.where("lo < hi").select("gid"), "gid", "left_semi").select("gid", "rep", "root")
-    within = own.select("gid", F.col("rep").alias("ra"), F.col("root").alias("ta")).join(own.select("gid", F.col("rep").alias("rb"), F.col("root").alias("tb")), "gid").where("ra < rb and ta <> tb").select("ra", "rb")
-    rest = expanded.unionByName(within).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    drop(f"{folder}/placed")
+    met = written(close(cross), f"{folder}/met")
+    drop(f"{folder}/cross", f"{folder}/sketches")
+    # members of the group pairs, and of one group among themselves, each by the sketch of its own set
+    member = lambda c: root_of.select(F.col("gid").alias(c), F.col("rep").alias(f"r{c}"), F.col("root").alias(f"t{c}"), F.col("n").alias(f"n{c}"))
+    expanded = met.join(member("a"), "a").join(member("b"), "b").where("ta <> tb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb")
+    torn = spread.where("lo < hi").select("gid", "c")
+    set_sketch = sets.where("sketch is not null").groupBy("set_id").agg(F.min("sketch").alias("s")).join(classes, "set_id").select("rep", "gid", "s")
+    own = root_of.join(torn, "gid").join(set_sketch.join(torn, "gid", "left_semi").select("rep", "gid", "s"), ["rep", "gid"])
+    own = own.select(F.col("gid").alias("token"), F.col("rep").alias("gid"), F.lit(0).cast("long").alias("place"), "root", F.lit(0).cast("long").alias("tag"), "n", *(F.xxhash64("rep", "gid", F.lit(i)).alias(f"e{i}") for i in range(EARLY)), F.lit(0).cast("long").alias("several"), folded(F.col("s")).alias("s"), F.ceil(F.col("c") / LIST).alias("blocks"))
+    within = cross_pairs(own).select("a", "b", "na", "nb")
+    rest = expanded.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), f"{folder}/rest")
-    more = verified(rest, text_of(rest, "rest_texts"))
+    unlike = written(near_sketches(rest, set_sketch, "rep"), f"{folder}/unlike")
+    more = written(verified(unlike, text_of(unlike, "rest_texts")), f"{folder}/more")
+    drop(*(f"{folder}/{x}" for x in ("rest", "unlike", "rest_texts", "rest_texts_wanted", "met", "first")))
     ties = root_of.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    final = components(ties.unionByName(more), f"{folder}/roots")
+    final = components(ties.unionByName(more).unionByName(same_id), f"{folder}/roots")
 
     whole = classes.select("set_id", "rep").join(final, classes.rep == final.node, "left").select("set_id", F.coalesce("root", "rep").alias("component_id"))
-    done = sets.select("doc_id", "n", "set_id").join(whole, "set_id", "left")
+    done = written(sets.select("doc_id", "n", "set_id").join(whole, "set_id", "left").drop("set_id"), f"{folder}/done")
+    drop(*(f"{folder}/{x}" for x in ("sets", "classes", "groups", "root_of", "more", "roots")))
     return done.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id, and of rows with that id one. Columns stay."""
+    """One document of each component: the one with the smallest id. Columns stay, whatever their names.
+
+    An id whose rows are repeated keeps one of equal rows; rows of one id that differ in text are one document with several
+    texts and all stay. Rows with a null id belong to no component and stay, as do documents without words. An empty table
+    gives an empty one.
+    """
     found = near_duplicates(docs, id_col, text_col)
-    heads = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(heads, F.col(id_col) == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates([id_col])
+    kept_id = fresh("keep", docs)
+    heads = found.groupBy(id_col).agg(F.min("component_id").alias("c"), F.count("*").alias("rows")).where(F.col(id_col) == F.col("c")).select(F.col(id_col).alias(kept_id), "rows")
+    chosen = lambda ids: docs.join(ids.select(kept_id), F.col(id_col) == F.col(kept_id), "left_semi")
+    once, more = chosen(heads.where("rows = 1")), chosen(heads.where("rows > 1")).dropDuplicates([id_col, text_col])
+    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))

@@ -195,12 +195,71 @@ def test_shared_keys_over_batches(monkeypatch):
 
 
 def test_words_longer_than_a_slice(monkeypatch):
-    data = b"  aB c" + b"x" * 100 + b" d\tE\n" + b"y" * 37 + b" f" * 50
+    data = b"  aB c" + b"x" * 100 + b" d\tE\n" + b"y" * 3700 + b" f" * 50
     want = ngram_join.word_hashes(data)
-    monkeypatch.setattr(ngram_join, "UP", ngram_join.UP[:16])
+    monkeypatch.setattr(ngram_join, "SLICE", 16)
     got = ngram_join.word_hashes(data)
-    assert len(want) == 55 and np.array_equal(got, want)
-    assert ngram_join.word_hashes(b"AB ")[0] == ngram_join.word_hashes(b"x ab")[1] != ngram_join.word_hashes(b"ba")[0]
+    assert want.shape == (2, 55) and np.array_equal(got, want)
+    of = lambda t: ngram_join.word_hashes(t).T.tolist()
+    assert of(b"AB ")[0] == of(b"x ab")[1] != of(b"ba")[0]
+
+
+def test_word_hashes_tell_words_apart():
+    """Among them words that every power sum modulo 2^64 takes for equal, and words that differ by zero bytes or length."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    words = [a, b, "x", "x\0", "x" * 8, "x" * 9, "x" * 8 + "\0", *(f"w{i}" for i in range(500)), "\0", "\0\0"]
+    got = ngram_join.word_hashes(" ".join(words).encode())
+    assert len(np.unique(got[0])) == len(np.unique(got[1])) == len(words)
+
+
+def test_links_are_of_words():
+    """The compared sets against sets of word tuples, for few and for many distinct words and for short texts."""
+    rng = np.random.default_rng(4)
+    for vocabulary in (3, 40, 9000):
+        for _ in range(60):
+            base = [f"w{i}" for i in rng.integers(0, vocabulary, int(rng.integers(0, 5 if vocabulary < 9000 else 7000)))]
+            other = [w if rng.random() > 0.03 else "z" for w in base][: len(base) - int(rng.integers(0, 2))]
+            sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in (base, other)]
+            got = ngram_join.coded([base, other])
+            assert [len(x) for x in got] == [len(x) for x in sets] and len(np.intersect1d(*got)) == len(sets[0] & sets[1])
+            assert ngram_join.words_link(base, other) == (100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1]) > 0)
+
+
+def test_ngram_join_families_of_one_group(spark):
+    """Two texts of equal prefix and size whose last word differs, a copy near the first only and one near the second only."""
+    rows = []
+    for f in range(40):
+        base = [f"f{f}w{i}" for i in range(14)]
+        first, second = [*base[:11], f"f{f}a", "x", f"f{f}b"], [*base[:11], f"f{f}c", "y", f"f{f}d"]
+        rows += [" ".join(x) for x in (first, second, [*first, f"f{f}e"], [*second, f"f{f}g"])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == brute_components(dict(enumerate(rows)))
+
+
+def test_one_group_of_many_unlike_sets(spark, monkeypatch):
+    """Short texts with one shingle in common, whose group is cut into blocks."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "LIST", 4)
+    texts = [f"one two three four five {w} {v}" for w in "abcdefgh" for v in ("p", "q")] + [f"one two three four five {w} p tail" for w in "abcdefgh"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == brute_components(dict(enumerate(texts)))
+
+
+def test_ngram_join_repeated_ids(spark):
+    """An id whose rows hold different texts is one document that all their links reach."""
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(5, a), (5, b), (5, b), (7, a + " end"), (9, b + " end"), (11, "alone"), (None, a), (12, None), (12, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect())
+    assert got == [(5, 26, 5), (5, 26, 5), (5, 26, 5), (7, 27, 5), (9, 27, 5), (11, 1, 11), (12, 0, 12), (12, 0, 12)]
+    clash = df.withColumn("keep", F.lit(1)).withColumn("_keep", F.lit(2)).withColumn("component_id", F.lit(3))
+    kept = ngram_join.keep_one(clash)
+    assert kept.columns == clash.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == sorted([(-1, a), (5, a), (5, b), (11, "alone"), (12, ""), (12, "  ")])
 
 
 def test_language_id(odd, documents):
