@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_text, structs, table_batch, tidy
+from .common import bounded_batches, drop, map_text, shared_folder, structs, table_batch, tidy, written
 from .language_id import held_out
 
 #: Weights of the pooled diagonal in each class's covariance, and of a unit ridge after standardising.
@@ -33,23 +33,28 @@ def odds(part: float, whole: float) -> float:
 
 
 def statistics(text: str) -> list[float]:
-    """The statistics of NAMES; an empty text has all of them too. Works by slices, so long texts need little memory."""
+    """The statistics of NAMES; an empty text has all of them too. Works by slices, which change no value."""
     hist = np.zeros(256, np.int64)
     n_words = total = square = short = 0
     distinct: set[str] = set()
     lines: set[str] = set()
     n_lines = 0
+    word = line = ""  # what the slice before left unfinished
     for k in range(0, len(text), SLICE):
         part = text[k : k + SLICE]
         hist += np.bincount(np.frombuffer(part.encode("utf-8", "replace"), np.uint8), minlength=256)
-        words = part.split()
+        last = k + SLICE >= len(text)
+        words = (word + part).split()
+        word = "" if last or part[-1].isspace() else words.pop()
         n_words += len(words)
         distinct.update(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
         total += int(size.sum())
         square += int((size * size).sum())
         short += int((size <= 3).sum())
-        own = [x for x in part.split("\n") if x]
+        own = (line + part).split("\n")
+        line = "" if last else own.pop()
+        own = [x for x in own if x]
         n_lines += len(own)
         lines.update(own)
     n = int(hist.sum())
@@ -128,10 +133,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if sums:
             yield table_batch(kind, y=list(sums), m=[v.tolist() for v in sums.values()])
 
-    total = rows.mapInArrow(tidy(run), kind).select("y", F.posexplode("m").alias("k", "v")).groupBy("y", "k").agg(F.sum("v").alias("v"))
+    # written, so that one Python worker at a time serves a task
+    folder = shared_folder(docs.sparkSession, "statistics")
+    total = written(rows, folder).mapInArrow(tidy(run), kind).select("y", F.posexplode("m").alias("k", "v")).groupBy("y", "k").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
     for r in total.collect():
         out.setdefault(r["y"], np.zeros(wide))[r["k"]] = r["v"]
+    drop(folder)
     return fit({c: (v[0], v[1 : dims + 1], v[dims + 1 :].reshape(dims, dims)) for c, v in out.items()}, dims)
 
 
@@ -156,7 +164,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that the classifier takes for label 1. Columns stay as they are."""
+    """The rows that the classifier takes for label 1. Columns stay as they are, whatever their names.
+
+    Null texts are judged as empty ones. If nothing could be learned (no labelled rows of both classes) every row stays. Repeated
+    rows are judged alike and stay; an empty table gives an empty one.
+    """
     model = learn(docs, labels, id_col, text_col)
     judged = docs.select(F.struct(*docs.columns).alias("_d"), quality(F.col(text_col), model).alias("_r"))
     return judged.where(F.col("_r.predicted") == 1).select("_d.*")
