@@ -23,6 +23,8 @@ DIMS, GRAM, SEED = 1024, 3, 4
 #: n-gram vectors that a worker remembers (1 KB each); others are made again each time.
 REMEMBERED = 60_000
 UNKNOWN = "und"
+#: Labels that a model may have; each is 8 KB in every task.
+LABELS = 4096
 KIND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -149,6 +151,8 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).alias("lang"))
     parts = rows.mapInArrow(tidy(run), kind).select("lang", F.posexplode("bundle").alias("k", "v"))
     total = parts.groupBy("lang", "k").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("b"))
+    if len(total.select("lang").limit(LABELS + 1).collect()) > LABELS:
+        raise ValueError(f"more than {LABELS} labels: {lang_col} is no column of languages")
     return {r["lang"]: np.asarray([x["v"] for x in r["b"]], np.float64) for r in total.collect()}
 
 
@@ -183,8 +187,24 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), identify(F.col(text_col), protos).alias("_r")).select(id_col, "held_out", "_r.*")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text resembles a learned language: not ``und``, cosine at least ``least``. Columns stay as they are."""
+def noise_level(dims: int = DIMS) -> float:
+    """Three standard deviations of a random vector's cosine."""
+    return 3 / dims**0.5
+
+
+def keep_identified(docs: DataFrame, least: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose text resembles a learned language: not ``und``, cosine at least ``least`` (the noise level by default).
+
+    Columns stay as they are, whatever their names. Null texts and texts without letters go. If no language could be learned
+    (no labelled row outside the held-out third), all texts with letters stay. Repeated rows are judged alike and stay; an
+    empty table gives an empty one.
+    """
     protos = learn_prototypes(docs.where(~held_out(id_col)), text_col, lang_col)
-    judged = docs.select(F.struct(*docs.columns).alias("_d"), identify(F.col(text_col), protos).alias("_r"))
-    return judged.where((F.col("_r.lang_pred") != UNKNOWN) & (F.col("_r.score") >= least)).select("_d.*")
+    if not protos:
+        return docs.where(has_letter(F.col(text_col)))
+    judged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"), identify(F.col(text_col), protos).alias("_r"))
+    return judged.where((F.col("_r.lang_pred") != UNKNOWN) & (F.col("_r.score") >= (noise_level() if least is None else least))).select("_d.*")
+
+
+def has_letter(text: Column) -> Column:
+    return map_text(lambda texts: pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()), T.BooleanType(), text)
