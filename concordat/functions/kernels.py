@@ -44,13 +44,64 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
 
 
 def transliterate(text: str | None) -> str:
-    """NFKC, then accents off: letters keep their base form."""
+    """Compatibility form with Latin accents off; marks of other scripts, which are letters there, stay."""
     out = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text or ""))
-    return "".join(c for c in out if not unicodedata.combining(c))
+    return unicodedata.normalize("NFC", "".join(c for c in out if not "\u0300" <= c <= "\u036f"))
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """The largest indel ratio of the shorter text with any window of its length in the longer, windows cut by its ends too."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return float(not b)
+    return max(indel_ratio(a, b[max(0, k) : k + len(a)]) for k in range(1 - len(a), len(b)))
+
+
+def best_match(word: str, choices: list[str], least: float = 0.0) -> tuple[str, float] | None:
+    """The choice of highest ratio, of equals the first; None below ``least``."""
+    scored = [(indel_ratio(word, c), -k) for k, c in enumerate(choices)]
+    best = max(scored, default=(0.0, 0))
+    return (choices[-best[1]], best[0]) if choices and best[0] >= least else None
+
+
+def jaro(a: str, b: str) -> float:
+    """Shared letters within half the longer length, less half of those out of order."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    taken, mine = [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not taken[j] and b[j] == c:
+                taken[j] = True
+                mine.append(c)
+                break
+    m = len(mine)
+    if not m:
+        return 0.0
+    theirs = [c for c, t in zip(b, taken, strict=True) if t]
+    turned = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
+    return (m / len(a) + m / len(b) + (m - turned) / m) / 3
+
+
+def jaro_winkler(a: str | None, b: str | None, weight: float = 0.1) -> float:
+    """jaro(), raised by up to four shared first letters where it exceeds 0.7."""
+    a, b = a or "", b or ""
+    s = jaro(a, b)
+    if s <= 0.7:
+        return s
+    same = 0
+    while same < min(4, len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    return s + same * weight * (1 - s)
 
 
 def bloom_positions(features: list[str], key: bytes, bits: int = 512, hashes: int = 30) -> list[int]:
-    """Set bit numbers of a keyed Bloom filter: double hashing with the two halves of an HMAC-SHA256."""
+    """Set bit numbers of a keyed Bloom filter by double hashing: place k is start + k * step, both from one HMAC-SHA256. Two
+    parties' filters can be compared only if every bit agrees, so halves, byte order and the odd step are fixed values."""
     found: set[int] = set()
     for f in features:
         d = hmac.new(key, f.encode(), hashlib.sha256).digest()
@@ -68,12 +119,28 @@ def similarity(a, b):
     return run(a, b)
 
 
-def plain_text(text):
+def jaro_winkler_of(a, b):
+    @F.pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in parts:
+            yield pd.Series([jaro_winkler(u, v) for u, v in zip(x, y, strict=True)])
+
+    return run(a, b)
+
+
+def pseudonym(value, key: bytes):
+    """The first 16 hex digits of an HMAC-SHA256; null stays null."""
+
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(transliterate)
+        return x.map(lambda v: None if v is None else hmac.new(key, v.encode(), hashlib.sha256).hexdigest()[:16])
+
+    return run(value)
+
 
-    return run(text)
+def dice(a, b):
+    """Dice of two arrays of set bits: twice the shared over all; 0 where both are empty."""
+    return F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)), F.lit(0.0))
 
 
 def bloom(features, key: bytes, bits: int = 512, hashes: int = 30):

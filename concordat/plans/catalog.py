@@ -38,13 +38,13 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import frames
+    from . import frames, materials
 
     out = {name: (lambda spark, sf_dir, sql=pair[0]: run_sql(spark, sf_dir, sql)) for name, pair in statements().items()}
-    return out | frames.queries()
+    return out | frames.queries() | materials.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import frames
+    from . import frames, materials
 
-    return {name: pair[1] for name, pair in statements().items()} | frames.oracle_sql()
+    return {name: pair[1] for name, pair in statements().items()} | frames.oracle_sql() | materials.oracle_sql()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, numbers
+from ..functions.normalise import normal_text
 from ..operators import graph
 from ..session import ship
 from ..streaming import incremental
@@ -75,34 +76,17 @@ def bloom_dice_overlap(spark: SparkSession, sf_dir: str, key: bytes = b"shared k
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = F.upper(kernels.plain_text(F.col("text")))
-    clean = F.trim(F.regexp_replace(F.regexp_replace(clean, r"[,;:|()\[\]{}\"'`~]+", " "), r"\s+", " "))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean, 256).alias("norm_hash"), F.length(clean).cast("long").alias("norm_length"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", normal_text("text").alias("norm"))
+    return docs.select("doc_id", F.sha2("norm", 256).alias("norm_hash"), F.length("norm").cast("long").alias("norm_length"))
 
 
 def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractions, mixed fractions, ranges, tolerances and plain numbers, made from the parts' sizes."""
     s = F.col("p_size").cast("string")
-    text = F.when(F.col("p_size") % 5 == 0, F.concat(s, F.lit(" 1/2"))).when(F.col("p_size") % 5 == 1, F.concat(s, F.lit("-"), (F.col("p_size") + 3).cast("string"))).when(F.col("p_size") % 5 == 2, F.concat(F.lit("1,"), F.lpad(s, 3, "0"))).when(F.col("p_size") % 5 == 3, F.concat(s, F.lit("/4"))).otherwise(F.concat(s, F.lit(" +/- 0.5")))
-    t = F.col("t")
-    got = lambda pattern, k: F.regexp_extract(t, pattern, k).try_cast("double")
-    mixed, frac, span, tol = r"^(\d+) (\d+)/(\d+)$", r"^(\d+)/(\d+)$", r"^([\d.]+)-([\d.]+)$", r"^([\d.]+) \+/- ([\d.]+)$"
-    value = F.when(t.rlike(mixed), got(mixed, 1) + got(mixed, 2) / got(mixed, 3)).when(t.rlike(frac), F.try_divide(got(frac, 1), got(frac, 2))).when(t.rlike(span), (got(span, 1) + got(span, 2)) / 2).when(t.rlike(tol), got(tol, 1)).otherwise(F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
-    kind = F.when(t.rlike(mixed) | t.rlike(frac), "fraction").when(t.rlike(span), "range").when(t.rlike(tol), "tolerance").otherwise("plain")
-    return table(spark, sf_dir, "part").select("p_partkey", text.alias("t")).select("p_partkey", value.alias("value"), kind.alias("kind"))
-
-
-def ledger_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user a hash chain over the events; each link is checked against its predecessor, and the first break is told."""
-    from pyspark.sql.window import Window
-
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("props").alias("payload"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = e.withColumn("seq", F.row_number().over(w) - 1).withColumn("link", F.sha2(F.concat_ws("|", "user_id", "seq", "payload"), 256))
-    chained = rows.withColumn("prev", F.coalesce(F.lag("link").over(w), F.lit("genesis")))
-    sealed = chained.withColumn("hash", F.sha2(F.concat_ws("|", "seq", "prev", "payload"), 256))
-    ok = (F.col("hash") == F.sha2(F.concat_ws("|", "seq", F.coalesce(F.lag("link").over(w), F.lit("genesis")), "payload"), 256))
-    return sealed.withColumn("ok", ok).groupBy("user_id").agg(F.count("*").alias("links"), F.min(F.when(~F.col("ok"), F.col("seq"))).cast("long").alias("first_break"))
+    text = F.when(F.col("p_size") % 5 == 0, F.concat(s, F.lit(" 1/2"))).when(F.col("p_size") % 5 == 1, F.concat(s, F.lit(" to "), (F.col("p_size") + 3).cast("string"))).when(F.col("p_size") % 5 == 2, F.concat(F.lit("1,"), F.lpad(s, 3, "0"))).when(F.col("p_size") % 5 == 3, F.concat(s, F.lit("/4"))).otherwise(F.concat(s, F.lit(" +/- 0.5")))
+    read = table(spark, sf_dir, "part").select("p_partkey", numbers.parse_number(text).alias("n"))
+    kind = F.when(F.col("n.is_range"), "range").when(F.col("n.tolerance").isNotNull(), "tolerance").otherwise("point")
+    return read.select("p_partkey", F.col("n.value").alias("value"), F.col("n.low").alias("low"), F.col("n.high").alias("high"), kind.alias("kind"))
 
 
 def ext_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +94,7 @@ def ext_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (connected_components, refine_components, token_set_similarity, evidence_score, bloom_dice_overlap, normalize_text, parse_number, ledger_verify, ext_sliding)}
+    return {f.__name__: f for f in (connected_components, refine_components, token_set_similarity, evidence_score, bloom_dice_overlap, normalize_text, parse_number, ext_sliding)}
 
 
 def oracle_sql():
@@ -118,7 +102,8 @@ def oracle_sql():
         c AS (SELECT item AS x, item AS y FROM items UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x) SELECT x AS item, MIN(y) AS component FROM c GROUP BY x""")
     return {
         "connected_components": components.replace("WITH items AS", "WITH RECURSIVE items AS").replace(", RECURSIVE e AS", ", e AS"),
-        "parse_number": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_size + 0.5E0 WHEN 1 THEN (2 * p_size + 3) / 2.0E0 WHEN 2 THEN 1000.0E0 + p_size WHEN 3 THEN p_size / 4.0E0 ELSE CAST(p_size AS DOUBLE) END AS value,
-            CASE p_size % 5 WHEN 0 THEN 'fraction' WHEN 1 THEN 'range' WHEN 2 THEN 'plain' WHEN 3 THEN 'fraction' ELSE 'tolerance' END AS kind FROM part""",
-        "ledger_verify": "SELECT user_id, COUNT(*) AS links, CAST(NULL AS BIGINT) AS first_break FROM events GROUP BY user_id",
+        "parse_number": """SELECT p_partkey, v AS value, CASE k WHEN 1 THEN v - 1.5E0 WHEN 4 THEN v - 0.5E0 ELSE v END AS low, CASE k WHEN 1 THEN v + 1.5E0 WHEN 4 THEN v + 0.5E0 ELSE v END AS high, CASE k WHEN 1 THEN 'range' WHEN 4 THEN 'tolerance' ELSE 'point' END AS kind
+            FROM (SELECT p_partkey, p_size % 5 AS k, CASE p_size % 5 WHEN 0 THEN p_size + 0.5E0 WHEN 1 THEN (2 * p_size + 3) / 2.0E0 WHEN 2 THEN 1000.0E0 + p_size WHEN 3 THEN p_size / 4.0E0 ELSE CAST(p_size AS DOUBLE) END AS v FROM part)""",
+        "ext_sliding": """WITH e AS (SELECT ts, event_type FROM events WHERE ts IS NOT NULL), w AS (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS s, event_type FROM e, (VALUES (0), (1)) t(k))
+            SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS n FROM w GROUP BY s, event_type""",
     }
