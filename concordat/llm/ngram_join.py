@@ -622,9 +622,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts and all stay. Rows with a null id belong to no component and stay, as do documents without words. An empty table
     gives an empty one.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    folder = shared_folder(docs.sparkSession, "near")
+    found = joined(docs, folder, id_col, text_col)
     kept_id = fresh("keep", docs)
     heads = found.groupBy(id_col).agg(F.min("component_id").alias("c"), F.count("*").alias("rows")).where(F.col(id_col) == F.col("c")).select(F.col(id_col).alias(kept_id), "rows")
-    chosen = lambda ids: docs.join(ids.select(kept_id), F.col(id_col) == F.col(kept_id), "left_semi")
+    heads = written(heads, f"{folder}/heads")
+    few = heads.count() <= BROADCAST_IDS  # else both sides are shuffled
+
+    def chosen(ids: DataFrame) -> DataFrame:
+        ids = ids.select(kept_id)
+        return docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col(kept_id), "left_semi")
+
     once, more = chosen(heads.where("rows = 1")), chosen(heads.where("rows > 1")).dropDuplicates([id_col, text_col])
     return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
