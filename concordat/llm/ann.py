@@ -18,11 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, map_text, table_batch
+from .common import bounded_batches, map_text, shared_folder, table_batch, written
 
-#: Rows that train the centroids, centroids per half, k-means rounds; queries that calibrate the walk, the share of their true
-#: neighbours it must reach; vectors of one cell that one task multiplies; pairs a task holds before it keeps the best only.
-SAMPLE, CENTROIDS, ROUNDS, TRIALS, REACH, BLOCK, PENDING, SEED = 20_000, 16, 15, 100, 0.97, 4096, 1 << 20, 6
+#: Rows that train the centroids, k-means rounds; queries that calibrate the walk, the share of their true neighbours it must
+#: reach; vectors of one cell that one task multiplies; pairs a task holds before it keeps the best only.
+SAMPLE, ROUNDS, TRIALS, REACH, BLOCK, PENDING, SEED = 20_000, 15, 100, 0.97, 4096, 1 << 20, 6
+#: Centroids per half: as many as give cells of PER_CELL vectors, between these two. The most bounds the driver's list of cells.
+LEAST, MOST, PER_CELL = 16, 256, 50
+
+
+def centroids_for(total: int) -> int:
+    return int(min(MOST, max(LEAST, round((total / PER_CELL) ** 0.5))))
 
 
 def usable(vector: Column) -> Column:
@@ -149,55 +155,65 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
     force, and the walk is made just long enough to pass the share ``reach`` of them. On data without structure that is most
     of the index; on clustered data it is little.
 
-    Rows with a null id, or a vector that is null, empty, zero, or has a null or non-finite component, take no part; neither
-    do rows whose vector is longer than the shortest. A row is its id: of repeated rows with one id, none is its own
-    neighbour, and others meet it once. Fewer than k candidates: all of them. Ties go to the smaller id. Extra columns are
-    ignored; an empty table gives no rows.
+    Rows with a null id, or a vector that is null, empty, zero, or has a null or non-finite component, take no part. An inner
+    product needs equal widths: vectors of the most frequent width (of two, the larger) are indexed, those of any other width
+    meet all vectors of their own width, each width as one cell. A row is its id: of repeated rows with one id, none is its own
+    neighbour, and others meet the largest of its vectors, which also asks. Fewer than k candidates: all of them. Ties go to
+    the smaller id. Extra columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    about = base.agg(F.min(F.size("v")).alias("d"), F.count("*").alias("n")).first()
-    if not about["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, total = about["d"], about["n"]
-    base = base.where(F.size("v") == dims)
+    base = base.groupBy("vec_id").agg(F.max("v").alias("v"))
+    widths = {r["d"]: r["n"] for r in base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    none = "query_id long, rank int, vec_id long, score double"
+    if not widths:
+        return spark.createDataFrame([], none)
+    dims = max(widths, key=lambda d: (widths[d], d))
+    total = widths[dims]
+    wide = base.where(F.size("v") == dims)
     # bounded samples, chosen by a hash of the id, so alike at every run
     chance = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30))
     few = lambda rows, n: rows.where(chance < min(1 << 30, int(2 * n / total * (1 << 30)) + 64)).orderBy(chance, "vec_id").limit(n).collect()
-    x = np.asarray([r["v"] for r in few(base, SAMPLE)] or [base.first()["v"]], np.float64)
+    x = np.asarray([r["v"] for r in few(wide, SAMPLE)] or [wide.first()["v"]], np.float64)
     rng, cut = np.random.default_rng(SEED), dims // 2
-    halves = tuple(kmeans(h, CENTROIDS, rng) if h.shape[1] else np.zeros((1, 0)) for h in (x[:, :cut], x[:, cut:]))
+    halves = tuple(kmeans(h, centroids_for(total), rng) if h.shape[1] else np.zeros((1, 0)) for h in (x[:, :cut], x[:, cut:]))
     width = len(halves[1])
 
     def cells(a: np.ndarray) -> np.ndarray:
         return nearest_center(a[:, :cut], halves[0]) * width + nearest_center(a[:, cut:], halves[1])
 
-    indexed = base.withColumn("cell", map_text(lambda rows: pa.array(cells(np.asarray(rows, np.float64).reshape(-1, dims)), pa.int32()), T.IntegerType(), F.col("v")))
-    held = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # at most CENTROIDS^2 rows
-    blocks = {c: -(-n // BLOCK) for c, n in held.items()}
-
-    queries = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    trials = {r["vec_id"]: r["v"] for r in queries.orderBy(chance, "vec_id").limit(TRIALS).collect()}  # all, if there are fewer
-    if not trials:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    true = exact(base, np.asarray(sorted(trials)), np.asarray([trials[q] for q in sorted(trials)], np.float64), k)
-    near = true.join(indexed.select("vec_id", "cell").dropDuplicates(["vec_id"]), "vec_id").select("query_id", "cell").collect()  # TRIALS * k rows
-    passed = {}
-    for q, v in trials.items():
-        order = cells_in_order(np.asarray(v, np.float64), halves, held, total + 1)
-        passed[q] = dict(zip(order, np.cumsum([held[c] for c in order]).tolist(), strict=True))
-    reached = sorted(passed[r["query_id"]][r["cell"]] for r in near)
+    def cell_of(rows: list):
+        out = np.asarray([-len(r) for r in rows], np.int64)
+        own = np.flatnonzero(out == -dims)
+        if len(own):
+            out[own] = cells(np.asarray([rows[i] for i in own.tolist()], np.float64))
+        return pa.array(out, pa.int32())
+
+    indexed = written(base.withColumn("cell", map_text(cell_of, T.IntegerType(), F.col("v"))), shared_folder(spark, "index"))
+    counts = indexed.groupBy("cell").agg(F.count("*").alias("n"))
+    held = {r["cell"]: r["n"] for r in counts.where("cell >= 0").collect()}  # at most MOST^2 rows
+
+    queries = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    trials = {r["vec_id"]: r["v"] for r in queries.where(F.size("v") == dims).orderBy(chance, "vec_id").limit(TRIALS).collect()}  # all, if there are fewer
+    passed, reached = {}, []
+    if trials:
+        true = exact(indexed.where("cell >= 0"), np.asarray(sorted(trials)), np.asarray([trials[q] for q in sorted(trials)], np.float64), k)
+        near = true.join(indexed.select("vec_id", "cell"), "vec_id").select("query_id", "cell").collect()  # TRIALS * k rows
+        for q, v in trials.items():
+            order = cells_in_order(np.asarray(v, np.float64), halves, held, total + 1)
+            passed[q] = dict(zip(order, np.cumsum([held[c] for c in order]).tolist(), strict=True))
+        reached = sorted(passed[r["query_id"]][r["cell"]] for r in near)
     need = reached[min(len(reached) - 1, int(reach * len(reached)))] if reached else 1
 
     def cells_of(rows: list):
-        return pa.array([cells_in_order(np.asarray(r, np.float64), halves, held, need) for r in rows], pa.list_(pa.int32()))
+        return pa.array([cells_in_order(np.asarray(r, np.float64), halves, held, need) if len(r) == dims else [-len(r)] for r in rows], pa.list_(pa.int32()))
 
-    n_blocks = F.create_map(*(F.lit(x) for cb in sorted(blocks.items()) for x in cb))
-    asked = queries.select("vec_id", "v", F.explode(map_text(cells_of, T.ArrayType(T.IntegerType()), F.col("v"))).alias("cell"))
     # a large cell lies in several blocks, each of which every query of the cell meets
-    asked = asked.select("vec_id", "v", "cell", F.explode(F.sequence(F.lit(0), n_blocks[F.col("cell")] - 1)).alias("block"), F.lit(True).alias("asks"))
-    found = indexed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), n_blocks[F.col("cell")]).cast("int").alias("block"), F.lit(False).alias("asks"))
+    blocks = counts.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    asked = queries.select("vec_id", "v", F.explode(map_text(cells_of, T.ArrayType(T.IntegerType()), F.col("v"))).alias("cell")).join(blocks, "cell")
+    asked = asked.select("vec_id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
+    found = indexed.join(blocks, "cell").select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
@@ -208,20 +224,21 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
             if not batch.num_rows:
                 continue
             cell, block, asks, who = (np.asarray(batch.column(c).to_pylist()) for c in ("cell", "block", "asks", "vec_id"))
-            v = matrix(batch.column("v"), dims)
+            v = batch.column("v")
             ends = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(int)) != 0)) + 1).tolist(), len(cell)]
             for a, b in zip(ends, ends[1:], strict=False):
                 key = (int(cell[a]), int(block[a]))
+                own = matrix(v.slice(a, b - a), dims if key[0] >= 0 else -key[0])
                 if key != now:
                     now, held_ids, held_v, m = key, [], [], None
                 if not asks[a]:
                     held_ids += who[a:b].tolist()
-                    held_v.append(v[a:b])
+                    held_v.append(own)
                 elif held_ids:
                     if m is None:
                         ids, first = np.unique(np.asarray(held_ids), return_index=True)
                         m = np.concatenate(held_v)[first]
-                    best.add(ids, m, who[a:b], v[a:b])
+                    best.add(ids, m, who[a:b], own)
         q, i, s = best.rows()
         for a in range(0, len(q), 50_000):
             yield table_batch(PAIR, query_id=q[a : a + 50_000].tolist(), vec_id=i[a : a + 50_000].tolist(), score=s[a : a + 50_000].tolist())
