@@ -1,10 +1,13 @@
 """Media columns: payloads cut into content-defined chunks that are stored once.
 
 A rolling gear hash over 32 bytes cuts a payload where its low bits are zero, so equal stretches of different payloads give
-equal chunks. Every map task writes its own chunks to one pack file and lists them; a Spark join on the SHA-256 digests picks
-one place for each chunk, a second job moves the chosen chunks to the final packs, and each document keeps an ordered list of
-digests. Reading takes a document's chunks from the packs by byte range, verifies every digest, and joins them up. Chunk bytes
-never pass through a shuffle; only digests and places do.
+equal chunks. Each chunk is stored as a zstandard frame of its own, so its stored bytes depend on the chunk alone. Every map
+task writes its own frames to one pack file and lists them; a Spark join on the SHA-256 digests picks one place for each chunk,
+a second job moves the chosen frames to the final packs as they are, and each document keeps an ordered list of digests.
+
+A document's stored form is its chunk list and its chunks' frames, in order; frames that documents share lie on disk once.
+Reading takes the frames from the packs by byte range, hashes them as the stored form, decodes them, verifies every digest, and
+joins the payload up. Chunk bytes never pass through a shuffle; only digests and places do.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from .common import bounded_batches, open_fs, shared_folder, table_batch, tidy,
 SAMPLE_BLOCK, FILL = 576, b"\xff"
 LEAST, MOST, MASK = 512, 16384, np.uint32((1 << 11) - 1 << 21)
 WINDOW, SEED = 32, 8
-#: Raw bytes per compressed block of a pack, and blocks that a reader keeps.
-BLOCK, KEPT = 1 << 18, 24
+#: Bytes of a pack that a reader fetches at once, windows and open files that it keeps.
+BLOCK, KEPT, LEVEL = 1 << 18, 24, 9
 GEAR = np.random.default_rng(SEED).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 MAGIC = b"CMED"
-PLACE = [T.StructField("pack", T.StringType()), T.StructField("at", T.LongType()), T.StructField("held", T.LongType()), T.StructField("skip", T.LongType())]
+PLACE = [T.StructField("pack", T.StringType()), T.StructField("at", T.LongType()), T.StructField("held", T.LongType())]
 LISTED = T.StructType([T.StructField("home", T.LongType()), T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("n_chunks", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), *PLACE])
 MOVED = T.StructType([T.StructField("digest", T.BinaryType()), *PLACE])
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "payload_bytes")), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("n_chunks", T.LongType())])
@@ -63,63 +66,58 @@ def cuts(data: bytes) -> list[int]:
 
 
 class PackWriter:
-    """Chunks one after another in zstandard blocks. add() gives a ticket; places are known once its block is written."""
+    """Frames one after another."""
 
     def __init__(self, folder: str, name: str):
-        import zstandard
-
         self.store, top = open_fs(folder)
         self.path = f"{folder}/{name}"
-        self.file = self.store.open_output_stream(f"{top}/{name}")
-        self.zip = zstandard.ZstdCompressor(level=9)
-        self.written, self.raw = 0, bytearray()
-        self.waiting: list[dict] = []
-
-    def add(self, chunk: bytes, ticket: dict) -> None:
-        ticket["skip"] = len(self.raw)
-        self.raw += chunk
-        self.waiting.append(ticket)
-        if len(self.raw) >= BLOCK:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.raw:
-            data = self.zip.compress(bytes(self.raw))
-            self.file.write(data)
-            for t in self.waiting:
-                t.update(pack=self.path, at=self.written, held=len(data))
-            self.written += len(data)
-            self.raw, self.waiting = bytearray(), []
+        self.file = self.store.open_output_stream(f"{top}/{name}", buffer_size=BLOCK)
+        self.written = 0
+
+    def add(self, frame: bytes) -> dict:
+        """The frame's place."""
+        place = {"pack": self.path, "at": self.written, "held": len(frame)}
+        self.file.write(frame)
+        self.written += len(frame)
+        return place
 
     def close(self) -> None:
-        self.flush()
         self.file.close()
 
 
 class PackReader:
-    """Chunks by place. A few decompressed blocks and open files stay at hand."""
+    """Frames by place. A few windows of the packs and open files stay at hand."""
 
     def __init__(self):
-        import zstandard
-
-        self.unzip = zstandard.ZstdDecompressor()
-        self.blocks: OrderedDict = OrderedDict()
+        self.windows: OrderedDict = OrderedDict()
         self.files: OrderedDict = OrderedDict()
 
-    def read(self, pack: str, at: int, held: int, skip: int, size: int) -> bytes:
-        block = self.blocks.get((pack, at))
-        if block is None:
+    def window(self, pack: str, k: int) -> bytes:
+        found = self.windows.get((pack, k))
+        if found is None:
             if pack not in self.files:
                 store, path = open_fs(pack)
                 self.files[pack] = store.open_input_file(path)
                 if len(self.files) > KEPT:
                     self.files.popitem(last=False)[1].close()
-            block = self.blocks[pack, at] = self.unzip.decompress(self.files[pack].read_at(held, at))
-            if len(self.blocks) > KEPT:
-                self.blocks.popitem(last=False)
+            found = self.windows[pack, k] = self.files[pack].read_at(BLOCK, k * BLOCK)
+            if len(self.windows) > KEPT:
+                self.windows.popitem(last=False)
         else:
-            self.blocks.move_to_end((pack, at))
-        return block[skip : skip + size]
+            self.windows.move_to_end((pack, k))
+        return found
+
+    def read(self, pack: str, at: int, held: int) -> bytes:
+        first, last = at // BLOCK, (at + held - 1) // BLOCK
+        whole = self.window(pack, first) if first == last else b"".join([self.window(pack, k) for k in range(first, last + 1)])
+        return whole[at - first * BLOCK : at - first * BLOCK + held]
+
+
+def decoded(unzip, frame: bytes, digest: bytes) -> bytes:
+    chunk = unzip.decompress(frame)
+    if hashlib.sha256(chunk).digest() != digest:
+        raise ValueError("a stored chunk doesn't match its digest")
+    return chunk
 
 
 def list_chunks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,9 +128,10 @@ def list_chunks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     store.create_dir(f"{root}/packs", recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
-        task = TaskContext.get()
+        task, zip_ = TaskContext.get(), zstandard.ZstdCompressor(level=LEVEL)
         pack, rows, row = None, [], 0
         known: dict[bytes, dict] = {}
         for batch in batches:
@@ -145,14 +144,12 @@ def list_chunks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                     place = known.get(digest)
                     if place is None:
                         pack = pack or PackWriter(f"{folder}/raw", f"{task.partitionId():06d}-{task.taskAttemptId()}.pack")
-                        place = known[digest] = {}
-                        pack.add(chunk, place)
+                        place = known[digest] = pack.add(zip_.compress(chunk))
                         if len(known) > 200_000:  # a digest seen longer ago is stored again here; the join removes it
                             known = {digest: place}
                     rows.append((task.partitionId(), row, d, n, k, len(ends), digest, b - a, place))
                 row += 1
-            if pack is not None and len(rows) >= 4000:
-                pack.flush()
+            if len(rows) >= 4000:
                 yield listed(rows)
                 rows = []
         if pack is not None:
@@ -169,28 +166,25 @@ def list_chunks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
 def store_chunks(listed: DataFrame, folder: str) -> DataFrame:
     """Second job: one place per digest; its bytes move to a final pack, and the raw packs go. Returns digest and place."""
-    place = F.struct("pack", "at", "skip", "held", "size")
+    place = F.struct("pack", "at", "held")
     chosen = listed.groupBy("digest").agg(F.min(place).alias("p")).select("digest", "p.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
-        task, reader, pack, rows = TaskContext.get(), PackReader(), None, []
+        task, reader, unzip, pack, rows = TaskContext.get(), PackReader(), zstandard.ZstdDecompressor(), None, []
 
         def moved() -> pa.RecordBatch:
             return table_batch(MOVED, digest=[r[0] for r in rows], **{f.name: [r[1][f.name] for r in rows] for f in PLACE})
 
         for batch in batches:
-            for digest, *where in zip(*(batch.column(c).to_pylist() for c in ("digest", "pack", "at", "held", "skip", "size")), strict=True):
-                chunk = reader.read(*where)
-                if hashlib.sha256(chunk).digest() != digest:
-                    raise ValueError("a stored chunk doesn't match its digest")
+            for digest, *where in zip(*(batch.column(c).to_pylist() for c in ("digest", "pack", "at", "held")), strict=True):
+                frame = reader.read(*where)
+                decoded(unzip, frame, digest)
                 pack = pack or PackWriter(f"{folder}/packs", f"{task.partitionId():06d}-{task.taskAttemptId()}.pack")
-                ticket: dict = {}
-                pack.add(chunk, ticket)
-                rows.append((digest, ticket))
+                rows.append((digest, pack.add(frame)))
             if len(rows) >= 4000:
-                pack.flush()
                 yield moved()
                 rows = []
         if pack is not None:
@@ -198,16 +192,32 @@ def store_chunks(listed: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield moved()
 
-    final = written(chosen.repartition("pack").sortWithinPartitions("pack", "at", "skip").mapInArrow(tidy(run), MOVED), f"{folder}/stored")
+    final = written(chosen.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(tidy(run), MOVED), f"{folder}/stored")
     fs, root = open_fs(f"{folder}/raw")
     fs.delete_dir(root)
     return final
 
 
-def stored_form(payload: bytes, digests: list[bytes], sizes: list[int]) -> bytes:
-    """The canonical form of one payload: magic, its length, the ordered chunk list, the 8-bit samples."""
-    head = MAGIC + struct.pack("<QI", len(payload), len(digests))
-    return head + b"".join(d + struct.pack("<I", s) for d, s in zip(digests, sizes, strict=True)) + payload
+def stored_form(n_bytes: int, digests: list[bytes], sizes: list[int], frames: list[bytes]) -> bytes:
+    """One document's stored form: magic, payload length, the ordered chunk list (digest, size, stored size), the frames."""
+    head = MAGIC + struct.pack("<QI", n_bytes, len(digests))
+    return head + b"".join(d + struct.pack("<II", s, len(f)) for d, s, f in zip(digests, sizes, frames, strict=True)) + b"".join(frames)
+
+
+def parse_form(form: bytes) -> bytes:
+    """The payload of a stored form, verified."""
+    import zstandard
+
+    n, count = struct.unpack("<QI", form[4:16])
+    unzip, at, out = zstandard.ZstdDecompressor(), 16 + 40 * count, []
+    for k in range(count):
+        digest, (_, held) = form[16 + 40 * k : 48 + 40 * k], struct.unpack("<II", form[48 + 40 * k : 56 + 40 * k])
+        out.append(decoded(unzip, form[at : at + held], digest))
+        at += held
+    payload = b"".join(out)
+    if form[:4] != MAGIC or len(payload) != n or at != len(form):
+        raise ValueError("no stored form")
+    return payload
 
 
 def features(payload: bytes, n_chunks: int) -> str:
@@ -222,18 +232,26 @@ def features(payload: bytes, n_chunks: int) -> str:
 
 
 def read_media(listed: DataFrame, stored: DataFrame) -> DataFrame:
-    """Third job: each document's chunks, in order, from the final packs, verified; digests and features of what was read."""
+    """Third job: each document's frames, in order, from the final packs; digests and features of what was read.
+
+    A digest that very many documents share makes one large join partition; adaptive execution splits it, since the other side
+    has one row per digest and nothing after the join needs its partitioning.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, now, parts, out = PackReader(), None, [], []
-        names = ("home", "row", "doc_id", "n_bytes", "n_chunks", "digest", "pack", "at", "held", "skip", "size")
+        import zstandard
+
+        reader, unzip, now, parts, out = PackReader(), zstandard.ZstdDecompressor(), None, [], []
+        names = ("home", "row", "doc_id", "n_bytes", "n_chunks", "digest", "pack", "at", "held")
 
         def done() -> None:
-            (_, _, d, n, count), chunks = now, [x[1] for x in parts]
-            payload = b"".join(chunks)
-            if len(chunks) != count:
+            _, _, d, n, count = now
+            digests, frames = [x[0] for x in parts], [x[1] for x in parts]
+            if len(parts) != count:
                 raise ValueError("a chunk list is incomplete")
-            form = stored_form(payload, [x[0] for x in parts], [len(c) for c in chunks])
+            chunks = [decoded(unzip, f, x) for x, f in parts]
+            payload = b"".join(chunks)
+            form = stored_form(len(payload), digests, [len(c) for c in chunks], frames)
             out.append((d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), features(payload, count), count))
 
         for batch in batches:
@@ -242,10 +260,7 @@ def read_media(listed: DataFrame, stored: DataFrame) -> DataFrame:
                     done()
                     parts = []
                 now = (home, row, d, n, count)
-                chunk = reader.read(*where)
-                if hashlib.sha256(chunk).digest() != digest:
-                    raise ValueError("a stored chunk doesn't match its digest")
-                parts.append((digest, chunk))
+                parts.append((digest, reader.read(*where)))
             if len(out) >= 500:
                 yield table_batch(ROWS, **dict(zip(ROWS.names, zip(*out, strict=True), strict=True)))
                 out = []
@@ -254,7 +269,7 @@ def read_media(listed: DataFrame, stored: DataFrame) -> DataFrame:
         if out:
             yield table_batch(ROWS, **dict(zip(ROWS.names, zip(*out, strict=True), strict=True)))
 
-    where = listed.select("home", "row", "doc_id", "n_bytes", "seq", "n_chunks", "digest", "size").join(stored, "digest")
+    where = listed.select("home", "row", "doc_id", "n_bytes", "seq", "n_chunks", "digest").join(stored, "digest")
     # documents of one input partition stay near each other, as their chunks do in the packs; blocks of 256 rows spread a large one
     near = where.repartition("home", (F.col("row") / 256).cast("long"))
     return near.sortWithinPartitions("home", "row", "seq").mapInArrow(tidy(run), ROWS)
