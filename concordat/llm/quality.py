@@ -22,6 +22,8 @@ from .language_id import held_out
 
 #: Weights of the pooled diagonal in each class's covariance, and of a unit ridge after standardising.
 SHRINK, RIDGE = 0.1, 0.02
+#: The least variance a statistic is taken to have: one that is the same in all labelled rows must not be divided by rounding noise.
+FLAT = 1e-6
 NAMES = ("length", "words", "word_length", "word_spread", "distinct", "upper", "digits", "symbols", "stops", "exclaims", "spaces", "lines", "same_lines", "short_words", "entropy", "bars")
 KIND = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 SLICE = 1 << 20
@@ -95,7 +97,7 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], dims: int) ->
         return None
     n = sum(m[0] for m in moments.values())
     center = sum(m[1] for m in moments.values()) / n
-    scale = np.sqrt(np.maximum(np.diag(sum(m[2] for m in moments.values())) / n - center**2, 1e-12))
+    scale = np.sqrt(np.maximum(np.diag(sum(m[2] for m in moments.values())) / n - center**2, FLAT))
     means, covs = [], []
     for c in (0, 1):
         k, s, q = moments[c]

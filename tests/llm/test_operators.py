@@ -108,6 +108,20 @@ def test_first_fit_decreasing_is_first_fit():
         bins[k].append(s)
 
 
+def test_equal_rows_are_packed_apart(spark):
+    """Many copies of one row: none is lost, and they go to many groups; a document's pieces stay in one."""
+    rows = [(1, "word " * 20)] * 500 + [(2, "many words " * 6000), (None, None), (None, "x")]
+    parts = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("word_bpe_49k.json"))
+    got = packing.pack(parts, 8).collect()
+    assert sum(r["doc_id"] == 1 for r in got) == 500 and len({r["sequence_id"] >> 32 for r in got if r["doc_id"] == 1}) == 8
+    assert len({r["sequence_id"] >> 32 for r in got if r["doc_id"] == 2}) == 1 and sum(r["doc_id"] is None for r in got) == 2
+    used = defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for p in used.values():
+        assert [o for o, _ in sorted(p)] == [0, *np.cumsum([n for _, n in sorted(p)])[:-1].tolist()] and sum(n for _, n in p) <= 4096
+
+
 def brute_components(texts: dict) -> dict:
     sets = {}
     for d, t in texts.items():
@@ -342,6 +356,21 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("odd_width", [1, 3, 16])
+def test_nearest_of_other_widths(spark, odd_width):
+    """A vector of another width loses no row of the rest; vectors of one width meet each other."""
+    rng = np.random.default_rng(1)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(200, 8)).tolist())] + [(1000 + i, [1.0 + i] * odd_width) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    assert {q: len(f) for q, f in got.items()} == {**dict.fromkeys(range(0, 200, 20), 20), 1000: 2}
+    assert sorted(got[1000]) == [(1, 1002), (2, 1001)]
+    alone = spark.createDataFrame([*rows[:200], (2000, [1.0])], "vec_id long, embedding array<double>")
+    assert ann.nearest(alone).count() == 200
+
+
 def test_nearest_trials(spark, monkeypatch):
     """TRIALS queries calibrate the walk, or all of them if there are fewer; few queries get their neighbours too."""
     rng, seen, exact = np.random.default_rng(4), [], ann.exact
@@ -374,6 +403,8 @@ def test_bit_packing(bits):
 
 
 def test_media(odd, documents):
+    import zstandard
+
     for df in both(odd, documents):
         got, seen = rows_of(media.media_rows(df)), {}
         for d, t in texts_of(df).items():
@@ -381,7 +412,14 @@ def test_media(odd, documents):
             data = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
             r = got[d]
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
-            assert r["media_bytes"] == len(data) + 16 + 36 * r["n_chunks"]
+            ends = media.cuts(data)
+            chunks = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            frames = [zstandard.ZstdCompressor(level=media.LEVEL).compress(c) for c in chunks]
+            form = media.stored_form(len(data), [hashlib.sha256(c).digest() for c in chunks], [len(c) for c in chunks], frames)
+            assert (r["media_bytes"], r["media_sha256"], r["n_chunks"]) == (len(form), hashlib.sha256(form).hexdigest(), len(chunks))
+            assert media.parse_form(form) == data and r["feature"] == media.features(data, len(chunks))
+            mean, power = sum(data) * 1000 // len(data), sum(c * c for c in data) * 1000 // len(data)
+            assert r["feature"].startswith(f"chunks={len(chunks)};mean_milli={mean};power_milli={power};")
             assert seen.setdefault(t or "", r[5:]) == r[5:]
         assert len(got) == len(texts_of(df))
 
@@ -456,12 +494,76 @@ def test_discriminant_is_the_density_ratio():
     assert np.allclose(m.score(xs[1]), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
+def all_operators(labels) -> dict:
+    word, piece, byte = (tokenizer_path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"))
+    return {
+        "counts": lambda d: token_counts.count_documents(d, piece), "packing": lambda d: packing.pack_documents(d, word), "near": ngram_join.near_duplicates,
+        "language": language_id.identify_documents, "bpe": lambda d: bpe.round_trip_documents(d, byte), "files": lambda d: token_files.token_file_rows(d, word),
+        "media": media.media_rows, "quality": lambda d: quality.score_documents(d, labels),
+    }
+
+
 def test_empty_tables(spark, odd):
     none = odd.where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    word, piece, byte = (tokenizer_path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"))
-    for df in (token_counts.count_documents(none, piece), packing.pack_documents(none, word), ngram_join.near_duplicates(none), language_id.identify_documents(none), bpe.round_trip_documents(none, byte), token_files.token_file_rows(none, word), media.media_rows(none), quality.score_documents(none, labels)):
-        assert df.count() == 0
+    for name, run in all_operators(labels).items():
+        assert run(none).count() == 0, name
+    assert url_filter.judge_pages(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
+    for stage in (language_id.keep_identified, lambda d: quality.keep_good(d, labels), ngram_join.keep_one):
+        assert stage(none).count() == 0 and stage(none).columns == none.columns
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Each row that is there twice gives its result twice; columns with the operators' own names change nothing."""
+    rows = [(i, t) for i, t in enumerate(odd_texts()) if t is None or len(t) < 6000] + [(None, "no id"), (None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("score", "predicted", "lang_pred", "held_out", "component_id", "n_shingles", "keep", "_keep", "_d", "_r", "_group", "_copy", "n", "set_id", "gid", "id", "t", "a", "b", "start", "length", "n_tokens", "digest", "pack", "home", "row", "part")
+    clash = plain.withColumn("lang", F.lit("en"))
+    for c in names:
+        clash = clash.withColumn(c, F.lit(7))
+    twice = clash.unionByName(clash).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").withColumn("score", F.lit(1)).withColumn("_id", F.lit(1))
+    with_lang = plain.withColumn("lang", F.lit("en"))
+    for name, run in all_operators(labels).items():
+        drop = {"packing": ["sequence_id", "offset"], "files": ["start"]}.get(name, [])
+        flat = lambda df: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.drop(*drop).collect())  # noqa: E731, B023
+        assert flat(run(twice)) == sorted(2 * flat(run(with_lang))), name
+    pages = spark.createDataFrame([(1, "http://example.com/en/7"), (1, "http://example.com/en/7"), (2, None), (None, "x")], "page_id long, url string").withColumn("host", F.lit("c")).withColumn("_r", F.lit(1))
+    assert sorted(map(repr, url_filter.judge_pages(pages, RULES).collect())) == sorted(map(repr, [*2 * url_filter.judge_pages(pages.where("page_id = 1").limit(1), RULES).collect(), *url_filter.judge_pages(pages.where("page_id is null or page_id = 2"), RULES).collect()]))
+
+
+def test_stages_on_odd_rows(spark):
+    """The pipeline's stages on nulls, repeated rows and columns with names of their own; every clean row of them stays."""
+    rows = [(1, "some words that people write every day in the town", "en"), (1, "some words that people write every day in the town", "en"), (2, None, None), (3, "", "en"), (4, "12 34 --", "en"), (None, "other words that nobody ever wrote before this morning", None), (5, "the same town and the same people as on every other day", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("score", "_d", "_r", "keep", "_keep", "component_id", "lang_pred"):
+        df = df.withColumn(c, F.lit(1))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    kept = lambda d: sorted((r["doc_id"] or -1, r["text"] or "") for r in d.collect())
+    every = kept(df)
+    lang = language_id.keep_identified(df)
+    assert lang.columns == df.columns and kept(lang) == [x for x in every if any(map(str.isalpha, x[1]))]
+    nothing_learned = language_id.keep_identified(df.withColumn("lang", F.lit(None).cast("string")))
+    assert kept(nothing_learned) == kept(lang)
+    good = quality.keep_good(df, labels)
+    assert good.columns == df.columns and kept(good) == every  # nothing learned: nothing goes
+    one = ngram_join.keep_one(df)
+    assert one.columns == df.columns and kept(one) == sorted(set(every))
+
+
+def test_statistics_do_not_depend_on_slices(monkeypatch):
+    text = "".join(odd_texts()[k] or "" for k in (9, 16, 19, 22, 26)) + "\n\nLast line and a word" + "y" * 50
+    want = quality.statistics(text)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(quality, "SLICE", size)
+        assert quality.statistics(text[:20_000]) == (want if len(text) <= 20_000 else quality_of(text[:20_000], monkeypatch, size))
+
+
+def quality_of(text, monkeypatch, size):
+    monkeypatch.setattr(quality, "SLICE", 1 << 20)
+    out = quality.statistics(text)
+    monkeypatch.setattr(quality, "SLICE", size)
+    return out
 
 
 def test_pipeline_stages(spark, small, documents):
