@@ -1,6 +1,7 @@
 """Entity resolution and its evaluation: blocking, comparison under a veto, clusters, fusion, substitutes, review."""
 
-TRUTH = """p AS (SELECT doc_id, dense_rank() OVER (ORDER BY norm) AS grp, dense_rank() OVER (ORDER BY substr(norm, 1, 40)) AS cl FROM texts)"""
+#: Groups are equal texts, clusters are texts that are equal without their spaces.
+TRUTH = "p AS (SELECT doc_id, sha256_hex(norm) AS grp, sha256_hex(replace(norm, ' ', '')) AS cl FROM texts)"
 
 SQL = {
     "exact_text_duplicates": "SELECT norm_hash, COUNT(*) AS copies, MIN(doc_id) AS first_doc FROM (SELECT doc_id, sha256_hex(norm) AS norm_hash FROM texts) GROUP BY norm_hash HAVING COUNT(*) > 1",
@@ -37,8 +38,8 @@ SQL = {
     "threshold_sweep": """WITH s AS (SELECT l.quality, CAST(floor(least(d.n_chars, 9999) / 357.0) AS BIGINT) AS cut FROM labels l JOIN documents d ON l.doc_id = d.doc_id), h AS (SELECT cut, count_if(quality = 1) AS pos, COUNT(*) AS n FROM s GROUP BY cut),
         r AS (SELECT cut, SUM(pos) OVER (ORDER BY cut DESC) AS tp, SUM(n) OVER (ORDER BY cut DESC) AS called, SUM(pos) OVER () AS allpos FROM h)
         SELECT cut, CAST(tp AS DOUBLE) / CAST(called AS DOUBLE) AS prec, CAST(tp AS DOUBLE) / CAST(allpos AS DOUBLE) AS recall, 2 * CAST(tp AS DOUBLE) / (CAST(called AS DOUBLE) + CAST(allpos AS DOUBLE)) AS f1 FROM r""",
-    "auc_rank": """WITH s AS (SELECT l.quality, d.n_chars AS x FROM labels l JOIN documents d ON l.doc_id = d.doc_id), r AS (SELECT quality, rank() OVER (ORDER BY x) + (COUNT(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM s),
-        t AS (SELECT CAST(SUM(CASE WHEN quality = 1 THEN CAST(r AS DOUBLE) ELSE 0.0 END) AS DOUBLE) AS ranks, CAST(count_if(quality = 1) AS DOUBLE) AS p, CAST(count_if(quality = 0) AS DOUBLE) AS n FROM r) SELECT p, n, (ranks - p * (p + 1) / 2) / (p * n) AS auc FROM t""",
+    "auc_rank": """WITH s AS (SELECT d.n_chars AS x, CAST(SUM(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS p, CAST(SUM(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.n_chars),
+        r AS (SELECT p, n, coalesce(SUM(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS below FROM s), t AS (SELECT SUM(p) AS p, SUM(n) AS n, SUM(p * (below + n / 2)) AS good FROM r) SELECT p, n, good / (p * n) AS auc FROM t""",
     "fuse_attributes": """WITH v AS (SELECT c.cluster, i.size_mm AS v, COUNT(*) AS n, MAX(i.item) AS latest FROM clusters c JOIN items i ON c.item = i.item GROUP BY c.cluster, i.size_mm),
         k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, latest DESC) AS place, COUNT(*) OVER (PARTITION BY cluster) AS kinds, SUM(n) OVER (PARTITION BY cluster) AS members FROM v)
         SELECT cluster, CAST(v AS BIGINT) AS size_mm, CASE WHEN members = 1 THEN 'sole_value' WHEN kinds = 1 THEN 'unanimous' WHEN 2 * n > members THEN 'majority_vote' ELSE 'most_recent_purchase' END AS rule FROM k WHERE place = 1""",
@@ -63,7 +64,7 @@ SQL = {
     "code_lookup": """WITH c AS (SELECT 7 AS probe UNION ALL SELECT 12 UNION ALL SELECT 999999999), h AS (SELECT probe, item, 1 AS method FROM c JOIN items ON item = probe UNION ALL SELECT probe, item, 2 FROM c JOIN items ON size_mm = probe), m AS (SELECT probe, MIN(method) AS method FROM h GROUP BY probe)
         SELECT CAST(h.probe AS BIGINT) AS probe, h.item, CAST(h.method AS BIGINT) AS method FROM h JOIN m ON h.probe = m.probe AND h.method = m.method""",
     "pending_rows": "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL",
-    "ingest_validate": """WITH r AS (SELECT doc_id AS row_no, substr(norm, 1, 24) AS code, norm, row_number() OVER (PARTITION BY substr(norm, 1, 24) ORDER BY doc_id) AS k FROM texts)
+    "ingest_validate": """WITH r AS (SELECT doc_id AS row_no, norm AS code, norm, row_number() OVER (PARTITION BY norm ORDER BY doc_id) AS k FROM texts)
         SELECT row_no, CASE WHEN code = '' THEN 'missing code' WHEN length(norm) < 60 THEN 'missing description' WHEN k > 1 THEN 'duplicate in file' ELSE 'accepted' END AS outcome FROM r""",
     "band_counts": "SELECT CASE WHEN vetoes > 0 THEN 'low' WHEN matched = compared THEN 'high' ELSE 'grey' END AS band, COUNT(*) AS pairs FROM verdicts GROUP BY 1",
     "queue_facets": "WITH f AS (SELECT item_a, item_b, brand_a AS brand FROM pairs UNION SELECT item_a, item_b, brand_b FROM pairs) SELECT brand, COUNT(*) AS tasks FROM f GROUP BY brand",

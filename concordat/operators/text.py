@@ -9,6 +9,8 @@ SQL = {
 }
 
 #: name: (Spark, DuckDB)
+#: Bounded tables whose every value counts, with their columns.
+FINGERPRINTED = (("region", "r_regionkey, r_name"), ("nation", "n_nationkey, n_name, n_regionkey"))
 PAIRS = {
     "vocabulary": (
         "SELECT w, COUNT(*) AS docs FROM (SELECT doc_id, explode(array_distinct(split(norm, ' +'))) AS w FROM texts) WHERE length(w) >= 4 AND w RLIKE '^[a-z]+$' GROUP BY w HAVING COUNT(*) >= 5",
@@ -31,7 +33,13 @@ PAIRS = {
         "SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS figures FROM documents",
     ),
     "cosine_pairs": (
-        "SELECT a.vec_id AS a, b.vec_id AS b, floor(1e6 * aggregate(zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x) + 0.5) / 1e6 AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id",
-        "SELECT a.vec_id AS a, b.vec_id AS b, floor(1e6 * list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])) + 0.5) / 1e6 AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id",
+        """WITH v AS (SELECT vec_id, label, transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, e, sqrt(aggregate(e, 0D, (s, x) -> s + x * x)) AS size FROM v)
+        SELECT a.vec_id AS a, b.vec_id AS b, floor(1e6 * aggregate(zip_with(a.e, b.e, (x, y) -> x * y), 0D, (s, x) -> s + x) / (a.size * b.size) + 0.5) / 1e6 AS cosine FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id""",
+        """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v)
+        SELECT a.vec_id AS a, b.vec_id AS b, floor(1e6 * list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) / (a.size * b.size) + 0.5) / 1e6 AS cosine FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id""",
+    ),
+    "table_fingerprint": (
+        " UNION ALL ".join(f"SELECT '{t}' AS tab, COUNT(*) AS n, sha256_hex(array_join(array_sort(collect_list(concat_ws('|', {c}))), '#')) AS fingerprint FROM {t}" for t, c in FINGERPRINTED).replace("sha256_hex(", "sha2(").replace(", '#'))", ", '#'), 256)"),
+        " UNION ALL ".join(f"SELECT '{t}' AS tab, COUNT(*) AS n, sha256(array_to_string(list_sort(list(concat_ws('|', {c}))), '#')) AS fingerprint FROM {t}" for t, c in FINGERPRINTED),
     ),
 }

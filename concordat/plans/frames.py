@@ -25,10 +25,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def size_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one class and brand whose sizes follow each other within one."""
+    """Parts of one class and brand whose sizes follow each other within one: equal sizes meet, and each size meets the next."""
     i = items(spark, sf_dir)
-    a, b = i.select("class", "brand", F.col("item").alias("a"), F.col("size_mm").alias("x")), i.select("class", "brand", F.col("item").alias("b"), F.col("size_mm").alias("y"))
-    return a.join(b, ["class", "brand"]).where("a < b and abs(x - y) <= 1").select("a", "b")
+    a, b = i.select("class", "brand", F.col("item").alias("a"), F.col("size_mm").alias("size")), i.select("class", "brand", F.col("item").alias("b"), F.col("size_mm").alias("size"))
+    same = a.join(b, ["class", "brand", "size"]).where("a < b")
+    return same.unionByName(a.join(b.withColumn("size", F.col("size") - 1), ["class", "brand", "size"])).select("a", "b")
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:

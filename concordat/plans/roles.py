@@ -48,7 +48,7 @@ ROLES = {
     "verdicts": """SELECT item_a, item_b, COUNT(*) AS compared, count_if(outcome IN ('match', 'in_band')) AS matched,
         count_if((role = 'identity' AND outcome = 'mismatch') OR (role = 'performance' AND outcome = 'out_of_band')) AS vetoes,
         count_if(role = 'identity' AND outcome = 'mismatch') AS identity_vetoes, count_if(outcome = 'in_band') AS in_band FROM compared GROUP BY item_a, item_b""",
-    "log": "SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, event_id, ts, CAST(ts AS DATE) AS day, user_id, event_type AS action, value AS seconds, props FROM events",
+    "log": "SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id, event_type AS action, value AS seconds, props FROM events",
     "texts": "SELECT doc_id, trim(lower(replace(replace(text, chr(10), ' '), chr(13), ' '))) AS norm, text, source, lang FROM documents",
 }
 
