@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, kernels, numbers
-from ..functions.normalise import normalise_rows
-from ..operators import blocking, chain, embedding, extraction, learning, linkage, matching, reports, search, standardise
+from ..functions.normalise import normalise_rows, vendor_key
+from ..operators import blocking, chain, embedding, extraction, learning, linkage, matching, migration, reports, search, standardise
 from ..session import ship
 from ..sources import synthetic
 from . import pipeline
@@ -144,6 +144,60 @@ def golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardise.golden_records(rows.join(heads, "cluster").drop("cluster").withColumnRenamed("head", "cluster")).select("cluster", "class_code", "std_description", "conflicts", "status", "representative", "n_members")
 
 
+def vendor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers under three spellings each, folded into one key."""
+    spelled = F.explode(F.array(F.concat("s_name", F.lit(" Ltd.")), F.concat(F.lit("M/s "), "s_name", F.lit(" Pvt. Limited")), F.col("s_name"))).alias("name")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", spelled).withColumn("vendor_key", vendor_key("name"))
+    return rows.groupBy("vendor_key").agg(F.count("*").alias("spellings"), F.count_distinct("s_suppkey").alias("vendors"))
+
+
+def issued_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the parts ask for serials of their brand, of which another third holds some already."""
+    p = table(spark, sf_dir, "part")
+    asks = p.where("p_partkey % 3 = 1").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("request"))
+    return codes.issue_serials(asks, p.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("family"), F.col("p_size").alias("serial")))
+
+
+def masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, name = table(spark, sf_dir, "part"), F.lit(None).cast("string")
+    value = (F.col("p_size") * F.col("p_retailprice") * 200).cast("double")
+    return p.select(F.concat_ws("/", "p_brand", "p_size").alias("cluster"), F.concat(F.lit("C-"), "p_brand").alias("code"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("key"), (F.col("p_partkey") % 7).cast("double").alias("on_hand"), value.alias("stock_value"), F.when(F.col("p_partkey") % 11 == 0, 1).otherwise(0).alias("open_lines"), name.alias("old_code"), F.lit(False).alias("blocked"), name.alias("old_survivor"))
+
+
+def change_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan applied, applied again, and the first batch rolled back: states and what the masters say in the end."""
+    m = masters(spark, sf_dir)
+    plan = migration.plan(m)
+    now = m.select("key", F.col("old_code").alias("code"), "blocked", F.col("old_survivor").alias("survivor"))
+    after, first = migration.apply(now, plan, "first")
+    again, second = migration.apply(after, plan, "second")
+    back, undone = migration.rollback(again, first, "first")
+    return migration.batches(undone.unionByName(second)).join(back.agg(F.count_if("blocked").alias("left_blocked")), how="cross")  # one row
+
+
+def planted_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one class whose identity differs, by class: how many the matcher refuses to merge."""
+    rows = items(spark, sf_dir)
+    known = rows.select("id", "class_code", extraction.identity_signature(F.col("class_code"), F.col("attrs")).alias("s"))
+    a, b = known.select(F.col("id").alias("a"), F.col("class_code").alias("kind"), F.col("s").alias("sa")), known.select((F.col("id") - 8).alias("a"), F.col("id").alias("b"), F.col("s").alias("sb"))
+    traps = a.join(b, "a").where("sa <> sb").select("a", "b", "kind", F.lit("distinct").alias("expected"))
+    return learning.veto_metrics(traps, matching.score_pairs(traps.select("a", "b"), rows))
+
+
+def signature_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs whose true identity agrees, those that the blocking passes on band and identity make."""
+    rows = items(spark, sf_dir)
+    found = blocking.candidate_pairs(blocking.key_rows(rows).where("pass in ('class_band', 'identity')"), None)
+    truth = rows.sparkSession.sql(f"SELECT id, signature FROM ({synthetic.TRUTH.replace('FROM part', 'FROM {part}')}) WHERE signature IS NOT NULL", part=table(spark, sf_dir, "part"))
+    true = truth.select("signature", F.col("id").alias("a")).join(truth.select("signature", F.col("id").alias("b")), "signature").where("a < b")
+    return blocking.recall(true, found)
+
+
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir).withColumn("legacy_code", F.concat(F.lit("L"), F.col("id")))
+    return search.page(search.search(rows, "vlv kitz", company="south"), 0, 25)[0].select("id", "norm_text", "phrase_miss", "code_miss")
+
+
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "piece", "text")
 
@@ -182,7 +236,7 @@ def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def queries() -> dict:
-    own = (normalise_catalogue, classify_text, extract_attributes, identity_blocks, block_rare_token, identity_pairs, damm_check, convert_units, ledger_verify, ledger_tampered, text_auc, identity_prf, match_pairs, pair_features, uncertainty_queue, fs_match_weight, knn_pairs, tfidf_topk, retrieve_topk, golden_records, chunk_documents, relations, bloom_encode, company_report, executive_figures)
+    own = (normalise_catalogue, classify_text, extract_attributes, identity_blocks, block_rare_token, identity_pairs, damm_check, convert_units, ledger_verify, ledger_tampered, text_auc, identity_prf, match_pairs, pair_features, uncertainty_queue, fs_match_weight, knn_pairs, tfidf_topk, retrieve_topk, golden_records, vendor_names, issued_serials, change_journal, planted_traps, signature_recall, search_page, chunk_documents, relations, bloom_encode, company_report, executive_figures)
     return {f.__name__: f for f in own}
 
 
@@ -210,6 +264,17 @@ def oracle_sql() -> dict[str, str]:
         "identity_prf": f"""{truth}, r AS (SELECT t.id, t.signature AS c, CAST(p_partkey % 8 AS VARCHAR) || '/' || CAST(p_size AS VARCHAR) AS g FROM t JOIN part ON t.id = p_partkey WHERE signature IS NOT NULL),
             n AS (SELECT (SELECT SUM({pairs}) FROM (SELECT COUNT(*) AS n FROM r GROUP BY c, g)) AS tp, (SELECT SUM({pairs}) FROM (SELECT COUNT(*) AS n FROM r GROUP BY c)) AS f, (SELECT SUM({pairs}) FROM (SELECT COUNT(*) AS n FROM r GROUP BY g)) AS t)
             SELECT CAST(tp AS BIGINT) AS tp, CAST(f - tp AS BIGINT) AS fp, CAST(t - tp AS BIGINT) AS fn FROM n""",
+        "golden_records": f"{truth} SELECT MIN(id) AS cluster, MIN(class_code) AS class_code, MIN(golden) AS std_description, 0 AS conflicts, 'draft' AS status, MIN(id) AS representative, COUNT(*) AS n_members FROM t WHERE signature IS NOT NULL GROUP BY signature",
+        "vendor_names": "SELECT upper(replace(s_name, '#', ' ')) AS vendor_key, 3 * COUNT(*) AS spellings, COUNT(DISTINCT s_suppkey) AS vendors FROM supplier GROUP BY 1",
+        "issued_serials": """WITH asks AS (SELECT p_brand AS family, p_partkey AS request, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 3 = 1), used AS (SELECT DISTINCT p_brand AS family, p_size AS serial FROM part WHERE p_partkey % 3 = 0),
+            most AS (SELECT family, MAX(k) + 60 AS n FROM asks GROUP BY family), every AS (SELECT family, unnest(range(1, n)) AS serial FROM most), free AS (SELECT e.family, e.serial, row_number() OVER (PARTITION BY e.family ORDER BY e.serial) AS k FROM every e ANTI JOIN used u ON e.family = u.family AND e.serial = u.serial)
+            SELECT a.family, a.request, CAST(f.serial AS INTEGER) AS serial FROM asks a JOIN free f ON a.family = f.family AND a.k = f.k""",
+        "change_journal": """WITH m AS (SELECT p_partkey % 7 AS stock, CAST(p_size * p_retailprice * 200 AS DOUBLE) AS value, p_partkey % 11 = 0 AS open, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey % 7 DESC, p_partkey) AS k FROM part),
+            s AS (SELECT CASE WHEN open THEN 'held' WHEN k > 1 AND stock > 0 AND value >= 5000000 THEN 'held' ELSE 'applied' END AS state FROM m), n AS (SELECT COUNT(*) AS c, count_if(state = 'applied') AS a, count_if(state = 'held') AS h FROM s)
+            SELECT 'first' AS batch, c AS changes, 0 AS applied, h AS held, 0 AS skipped, a AS rolled_back, 0 AS drifted, 0 AS left_blocked FROM n UNION ALL SELECT 'second', c, 0, h, a, 0, 0, 0 FROM n""",
+        "planted_traps": f"{truth} SELECT x.class_code AS kind, COUNT(*) AS traps, COUNT(*) AS refused, 1.0E0 AS precision FROM t x JOIN t y ON x.id = y.id - 8 WHERE x.signature <> y.signature GROUP BY x.class_code",
+        "signature_recall": f"{truth}, p AS (SELECT COUNT(*) AS n FROM t x JOIN t y ON x.signature = y.signature AND x.id < y.id) SELECT n AS true_pairs, n AS found_pairs, 1.0E0 AS recall FROM p",
+        "search_page": f"{truth} SELECT id, norm_text, 1 AS phrase_miss, 1 AS code_miss FROM t WHERE id % 4 = 2 AND ' ' || norm_text LIKE '% VALVE%' AND ' ' || norm_text LIKE '% KITZ%' ORDER BY length(norm_text), id LIMIT 25",
         "knn_pairs": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL), u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
             p AS (SELECT a.id, b.id AS near, list_inner_product(a.e, b.e) AS c FROM u a JOIN u b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, near) AS k FROM p) SELECT least(id, near) AS a, greatest(id, near) AS b, round(MAX(c), 6) AS cosine FROM r WHERE k <= 10 GROUP BY 1, 2""",
     }

@@ -30,13 +30,13 @@ _RAW = {
     0: f"'Brg Ball ' || {_SERIES} || {_CODE} || '-2Z, ' || {_BRAND}", 1: f"'GT VLV ' || {S(_NB)} || 'NB; CL ' || {_RATING} || ' WCB FLGD ' || {_BRAND}",
     2: f"'GSKT spiral wound ' || {S(_NB)} || 'NB CLASS ' || {_RATING} || ' SS316-GRAPHITE 3MM THK'", 3: f"'Pipe SMLS ' || {S(_NB)} || 'NB SCH' || {_SCHEDULE} || ' CS-A106B'",
     4: f"'HEX BLT M' || {_THREAD} || 'X1.5 ' || {S('10 * p_size')} || 'MM LG GRADE 8.8 SS304'", 5: f"'CBL ' || {S('1 + p_size % 4')} || 'C X ' || {_CSA} || ' SQMM CU XLPE 1.1 KV'",
-    6: f"'Chemical ' || {_SUBSTANCE} || ', GRADE GR ' || {S('90 + p_size % 10')} || ' PCT'", 7: f"'SFTY HLMT CLASS ' || {_HELMET} || ' ' || {_SHELL} || ' RATCH IS2925'",
+    6: f"'Chemical ' || {_SUBSTANCE} || ', GRADE GR ' || {S('90 + p_size % 4')} || ' PCT'", 7: f"'SFTY HLMT CLASS ' || {_HELMET} || ' ' || {_SHELL} || ' RATCH IS2925'",
 }
 _NORMAL = {
     0: f"'BEARING BALL ' || {_SERIES} || {_CODE} || '-2Z ' || {_BRAND}", 1: f"'GATE VALVE ' || {S(_NB)} || 'NB CLASS ' || {_RATING} || ' WCB FLANGED ' || {_BRAND}",
     2: f"'GASKET SPIRAL WOUND ' || {S(_NB)} || 'NB CLASS ' || {_RATING} || ' SS316-GRAPHITE 3MM THICKNESS'", 3: f"'PIPE SEAMLESS ' || {S(_NB)} || 'NB SCH' || {_SCHEDULE} || ' CS-A106B'",
     4: f"'HEXAGON BOLT M' || {_THREAD} || 'X1.5 ' || {S('10 * p_size')} || 'MM LENGTH GRADE 8.8 SS304'", 5: f"'CABLE ' || {S('1 + p_size % 4')} || 'C X ' || {_CSA} || ' SQUARE MILLIMETRE COPPER XLPE 1.1 KILOVOLT'",
-    6: f"'CHEMICAL ' || {_SUBSTANCE} || ' GRADE GR ' || {S('90 + p_size % 10')} || ' PCT'", 7: f"'SAFETY HELMET CLASS ' || {_HELMET} || ' ' || {_SHELL} || ' RATCHET IS2925'",
+    6: f"'CHEMICAL ' || {_SUBSTANCE} || ' GRADE GR ' || {S('90 + p_size % 4')} || ' PCT'", 7: f"'SAFETY HELMET CLASS ' || {_HELMET} || ' ' || {_SHELL} || ' RATCHET IS2925'",
 }
 CODES = ("bearing.ball.deep_groove", "valve.gate", "gasket.spiral_wound", "pipe.seamless", "fastener.bolt.hex", "cable.power", "chemical.reagent", "ppe.helmet")
 #: True identity values in the order of the schema's attributes; None where the text can't tell all of them.
@@ -47,6 +47,14 @@ _SIGNATURE = {
 _BLOCK = {0: S("5 * (4 + p_size % 17)"), 1: S(_NB), 2: S(_NB), 3: S(_NB), 4: S("10 * p_size"), 5: _CSA, 6: _SUBSTANCE, 7: "CAST(NULL AS VARCHAR(12))"}
 
 
+#: What a golden record of the row's material reads.
+_GOLDEN = {
+    0: f"'BEARING, BALL DEEP GROOVE, ' || {S('5 * (4 + p_size % 17)')} || 'MM BORE, ' || {{od}} || 'MM OD, ' || {{width}} || 'MM W, ZZ, ' || {_BRAND} || ' ' || {_SERIES} || {_CODE} || '2Z'", 1: f"'VALVE, GATE, ' || {S(_NB)} || 'NB, CLASS ' || {_RATING} || ', WCB, FLANGED, ' || {_BRAND}",
+    2: f"'GASKET, SPIRAL WOUND, ' || {S(_NB)} || 'NB, CLASS ' || {_RATING} || ', SS316-GRAPHITE, 3MM THK'", 3: f"'PIPE, SEAMLESS, ' || {S(_NB)} || 'NB, SCH' || {_SCHEDULE} || ', CS-A106B'", 4: f"'BOLT, HEX HEAD, M' || {_THREAD} || 'X1.5, ' || {S('10 * p_size')} || 'MM LG, GRADE 8.8, SS304'",
+    5: f"'CABLE, POWER, ' || {S('1 + p_size % 4')} || 'C X ' || {_CSA} || 'SQMM, CU, XLPE, 1100V'", 6: f"'CHEMICAL, ' || {_SUBSTANCE} || ', GR GRADE, ' || {S('90 + p_size % 4')} || 'PCT'", 7: "'-'",
+}
+
+
 def by_kind(cases: dict[int, str]) -> str:
     return f"CASE {_KIND} " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + " END"
 
@@ -69,4 +77,4 @@ RAW = f"""SELECT p_partkey AS id, {pick('p_partkey % 4', 'north', 'east', 'south
     CASE WHEN p_partkey % 5 < 2 THEN 'BOX' ELSE 'Nos.' END AS uom, CAST(NULL AS DATE) AS last_purchase FROM part"""
 TRUTH = f"""SELECT p_partkey AS id, {by_kind(_NORMAL)} AS norm_text, {by_kind({k: f"'{c}'" for k, c in enumerate(CODES)})} AS class_code, 'EA' AS uom_base,
     CASE WHEN p_partkey % 5 = 0 THEN 10.0E0 WHEN p_partkey % 5 = 1 THEN 4.0E0 ELSE 1.0E0 END AS pack_qty, CASE WHEN {_KIND} IN (0, 1) THEN {_BRAND} END AS brand,
-    {by_kind(_BLOCK)} AS block_value, {signature()} AS signature FROM part"""
+    {by_kind(_BLOCK)} AS block_value, {signature()} AS signature, {by_kind({k: v.format(od=bearing_sizes(0), width=bearing_sizes(1)) for k, v in _GOLDEN.items()})} AS golden FROM part"""
