@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordlists as W
-from .columns import col, group, lookup, words
+from .columns import col, group, let, lookup, words
 
 SEPARATORS, DASHES, SPACES = r"[,;:|()\[\]{}\"'`~]+", r"(?<=\s)-+(?=\s)|(?<=\s)-+$|^-+(?=\s)", r"\s+"
 BOX = "(?:" + "|".join(sorted(W.CONTAINERS, key=lambda w: (-len(w), w))) + ")"
@@ -158,3 +158,40 @@ def vendor_names(vendors: DataFrame, name_col: str = "name") -> DataFrame:
     """(vendor_key, display): the spelling met most often, of equals the first in order."""
     counts = vendors.select(vendor_key(name_col).alias("vendor_key"), F.trim(F.col(name_col)).alias("name")).where("vendor_key <> ''").groupBy("vendor_key", "name").agg(F.count("*").alias("n"))
     return counts.groupBy("vendor_key").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("display"))
+
+
+#: Pieces this short are joined to a neighbouring numeral; letters of a run before digits that are a word of their own (fixed values).
+FRAGMENT, RUN = 2, 5
+
+
+def repaired(text: Column | str, vocabulary: list[str]) -> Column:
+    """A marking as a reader of plates damages it, mended: halves of a numeral joined, O, I and l beside a digit read as digits, long
+    words parted from digits that follow, run-together words of the vocabulary parted."""
+    tokens = F.filter(F.split(F.coalesce(col(text), F.lit("")), r"\s+"), lambda w: w != "")
+
+    def join(state: Column, w: Column) -> Column:
+        last = F.element_at(state["done"], -1)
+        halves = (F.size(state["done"]) > 0) & state["open"] & F.coalesce(last, F.lit("")).rlike(r"\d$") & w.rlike(r"^\d") & ((F.length(last) <= FRAGMENT) | (F.length(w) <= FRAGMENT))
+        whole = F.concat(F.slice(state["done"], 1, F.greatest(F.size(state["done"]) - 1, F.lit(0))), F.array(F.concat(last, w)))
+        return F.struct(F.when(halves, whole).otherwise(F.concat(state["done"], F.array(w))).alias("done"), (~halves).alias("open"))
+
+    joined = F.aggregate(tokens, F.struct(F.array().cast("array<string>").alias("done"), F.lit(True).alias("open")), join, lambda s: s["done"])
+
+    def read(w: Column) -> Column:
+        def step(out: Column, i: Column) -> Column:
+            c = F.substring(w, i, F.lit(1))
+            beside = out.rlike(r"\d$") | F.substring(w, i + 1, F.lit(1)).rlike(r"\d")
+            return F.concat(out, F.when(beside & (c == "O"), "0").when(beside & c.isin("I", "l"), "1").otherwise(c))
+
+        return F.when(w.rlike(r"\d"), F.aggregate(F.sequence(F.lit(1), F.length(w)), F.lit(""), step)).otherwise(w)
+
+    def part(w: Column) -> Column:
+        edges = r"^([^A-Za-z]*)(.*?)([^A-Za-z]*)$"
+        core, known = F.regexp_extract(w, edges, 2), words(vocabulary)
+        cuts = F.filter(F.sequence(F.lit(3), F.length(core) - 3), lambda k: F.array_contains(known, F.substring(core, F.lit(1), k)) & F.array_contains(known, F.substring(core, k + 1, F.length(core))))
+        may = (F.length(core) >= 6) & core.rlike("^[A-Za-z]+$") & ~F.array_contains(known, core)
+        two = let(F.get(cuts, F.lit(0)), lambda k: F.concat(F.regexp_extract(w, edges, 1), F.substring(core, F.lit(1), k), F.lit(" "), F.substring(core, k + 1, F.length(core)), F.regexp_extract(w, edges, 3)))
+        return F.when(may, F.coalesce(two, w)).otherwise(w)
+
+    clear = F.split(F.array_join(F.transform(joined, lambda w: F.regexp_replace(read(w), rf"(?<=[A-Z]{{{RUN}}})(?=\d)", " ")), " "), " ")
+    return F.array_join(F.transform(clear, part), " ")

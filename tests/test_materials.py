@@ -420,3 +420,63 @@ def test_sinks(spark, tmp_path):
     assert box.put(b"one") == d and box.get(d) == b"one"
     box.void(d, "wrong file")
     assert box.get(d) is None
+
+
+def test_private_linkage(spark, run):
+    from concordat.operators import privacy
+
+    items = run.tables["items"]
+    a, b = privacy.encode(items.where("company = 'A'"), b"k"), privacy.encode(items.where("company = 'B'"), b"k")
+    alias = {r["alias"]: r["id"] for r in items.select("id", kernels.pseudonym(F.concat_ws(":", "company", F.col("id").cast("string")), b"k").alias("alias")).collect()}
+    got = {(alias[r["left"]], alias[r["right"]]): r["dice"] for r in privacy.compare(a, b, least=0.0).collect()}
+    bits = {r["alias"]: set(r["bits"]) for r in a.union(b).collect()}
+    name = {v: k for k, v in alias.items()}
+    assert len(got) == a.count() * b.count()
+    for (x, y), d in got.items():
+        p, q = bits[name[x]], bits[name[y]]
+        assert d == pytest.approx(2 * len(p & q) / (len(p) + len(q)), abs=1e-6)
+    assert got[7, 8] == 1 and privacy.compare(a, b).where("match").count() >= 1
+    truth = spark.createDataFrame([(name[7], name[8]), (name[0], name[1])], "left string, right string")
+    assert privacy.evaluate(privacy.compare(a, b), truth).first()["recall"] >= 0.5
+    assert [r[0] for r in spark.createDataFrame([("ab",), ("abcd",), (None,)], "t string").select(privacy.gram_features(F.col("t"))).collect()] == [["  a", " ab", "ab ", "b  "], ["abc", "bcd"], ["   ", "   "]]
+    assert privacy.scope("auditor", "A") is None and privacy.scope("buyer", "A") == "A" and privacy.scope("buyer", None) == ""
+
+
+def test_automatic_issue(spark):
+    from concordat.operators import privacy
+
+    clusters = spark.createDataFrame([(i, 1 + (i - 1) // 2) for i in range(1, 10)], "id long, cluster long")
+    row = lambda a, b, anchor="mpn", agreement=1.0, veto=(), verdict="duplicate", band="high": (a, b, anchor, agreement, list(veto), verdict, band)
+    scored = spark.createDataFrame([row(1, 2), row(3, 4, anchor=None), row(5, 6, agreement=0.5), row(7, 8, band="grey")], "a long, b long, anchor string, agreement double, vetoed_by array<string>, verdict string, band string")
+    classes_of = clusters.select("cluster").distinct().withColumn("class_code", F.lit("x"))
+    gate = privacy.auto_issue(clusters, scored, classes_of, spark.createDataFrame([("x", 0.99)], "class_code string, precision double"))
+    assert {r["cluster"]: r["reason"] for r in gate.collect()} == {1: None, 2: "not anchored", 3: "no full agreement", 4: "waits for review", 5: "one member"}
+    assert {r["reason"]: r["clusters"] for r in privacy.reason_tally(gate).collect()}["issued"] == 1
+    low = privacy.auto_issue(clusters, scored, classes_of, spark.createDataFrame([("x", 0.9)], "class_code string, precision double"))
+    assert low.where("cluster = 1").first()["reason"] == "class precision"
+    d = privacy.differing(spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, {"a": "1", "b": "3"}), (3, {"a": "1"})], "id int, attrs map<string,string>"))
+    assert [(r["attr"], r["values"]) for r in d.collect()] == [("b", 3)]
+
+
+def test_markings_are_mended(spark):
+    cases = {"BEARING 63 13": "BEARING 6313", "17OMM": "170MM", "FLO-GV01634": "FLO-GV01634", "BUTTWELD51.1": "BUTTWELD 51.1", "KITZ -GATEVALVE": "KITZ -GATE VALVE", "SS316": "SS316", "6 2 05": "62 05", "1l5I": "1151", None: ""}
+    vocabulary = ["GATE", "VALVE", "BEARING", "BUTTWELD"]
+    for text, want in cases.items():
+        assert one(spark, text, normalise.repaired("t", vocabulary)) == want, text
+
+
+def test_similarity_queries(spark, small):
+    """Queries without SQL against the functions they apply, over their whole result."""
+    from concordat.plans import catalog, frames
+
+    for name in ("token_set_similarity", "bloom_dice_overlap"):
+        rows = catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()
+        text = {r["item"]: r["description"] for r in frames.items(spark, "/root/testdata/sf0.001").collect()}
+        assert rows
+        for r in rows:
+            x, y = text[r["item_a"]], text[r["item_b"]]
+            if name == "token_set_similarity":
+                assert r["similarity"] == kernels.token_set_ratio(x, y)
+            else:
+                p, q = (set(kernels.bloom_positions(t.split(" "), b"shared key")) for t in (x, y))
+                assert r["dice"] == pytest.approx(2 * len(p & q) / (len(p) + len(q))) and r["dice"] >= 0.75
