@@ -139,7 +139,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
         if who:
             yield close()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share an id are ranged by a hash of their texts, so that they need not meet in one task
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     made = written(ordered.mapInArrow(tidy(run), MANIFEST), f"{folder}/manifest")
     # one long per partition comes to the driver; within a partition a window adds its shards up
     before, bases = 0, {}
@@ -180,7 +182,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 def token_file_rows(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the corpus to a fresh folder under spark.checkpoint.dir and read it back.
 
-    Null and empty texts hold the end id alone. Rows of one id stand together, ordered by text; a null id comes first. Extra
+    Null and empty texts hold the end id alone. Rows of one id stand together, ordered by a hash of their text and then by it; a
+    null id comes first. Extra
     columns are not stored. An empty table writes no file and gives no row.
     """
     return read_token_files(write_token_files(docs, path, shared_folder(docs.sparkSession, "tokens"), end_id, id_col, text_col))

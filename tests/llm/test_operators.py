@@ -391,6 +391,14 @@ def test_token_files(odd, documents):
             at += len(ids[d])
 
 
+def test_token_files_of_repeated_ids(spark):
+    """Rows of one id, and of none, stand together and without gaps; every row is there."""
+    rows = [(7, f"text {i % 9}") for i in range(60)] + [(None, "a"), (None, None), (3, "x"), (9, "y")]
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.token_file_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer_path("word_bpe_49k.json")).collect())
+    assert [d for _, d, _ in got] == [None, None, 3, *[7] * 60, 9]
+    assert [s for s, _, _ in got] == [0, *np.cumsum([n for _, _, n in got])[:-1].tolist()]
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 15, 16, 17, 24, 31, 32])
 def test_bit_packing(bits):
     import io
