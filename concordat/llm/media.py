@@ -3,7 +3,7 @@
 A rolling gear hash over 32 bytes cuts a payload where its low bits are zero, so equal stretches of different payloads give
 equal chunks. Each chunk is stored as a zstandard frame of its own, so its stored bytes depend on the chunk alone. Every map
 task writes its own frames to one pack file and lists them; a Spark join on the SHA-256 digests picks one place for each chunk,
-a second job moves the chosen frames to the final packs as they are, and each document keeps an ordered list of digests.
+a second job moves what is wanted of packs that are mostly copies, and each document keeps an ordered list of digests.
 
 A document's stored form is its chunk list and its chunks' frames, in order; frames that documents share lie on disk once.
 Reading takes the frames from the packs by byte range, hashes them as the stored form, decodes them, verifies every digest, and
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, open_fs, shared_folder, table_batch, tidy, written
+from .common import bounded_batches, drop, open_fs, shared_folder, table_batch, tidy, written
 
 SAMPLE_BLOCK, FILL = 576, b"\xff"
 LEAST, MOST, MASK = 512, 16384, np.uint32((1 << 11) - 1 << 21)
 WINDOW, SEED = 32, 8
 #: Bytes of a pack that a reader fetches at once, windows and open files that it keeps.
 BLOCK, KEPT, LEVEL = 1 << 18, 24, 9
+#: The wanted share of a pack's bytes below which it is written anew.
+SPARSE = 0.5
 GEAR = np.random.default_rng(SEED).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 MAGIC = b"CMED"
 PLACE = [T.StructField("pack", T.StringType()), T.StructField("at", T.LongType()), T.StructField("held", T.LongType())]
@@ -165,9 +167,13 @@ def list_chunks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
 
 def store_chunks(listed: DataFrame, folder: str) -> DataFrame:
-    """Second job: one place per digest; its bytes move to a final pack, and the raw packs go. Returns digest and place."""
+    """Second job: one place per digest. Packs of which less than SPARSE is wanted are written anew and go; the others stay as they
+    are, so that no second copy of everything ever lies on disk. Returns digest and place."""
     place = F.struct("pack", "at", "held")
-    chosen = listed.groupBy("digest").agg(F.min(place).alias("p")).select("digest", "p.*")
+    chosen = written(listed.groupBy("digest").agg(F.min(place).alias("p")).select("digest", "p.*"), f"{folder}/chosen")
+    whole = listed.groupBy("pack").agg(F.max(F.col("at") + F.col("held")).alias("total"))
+    wanted = chosen.groupBy("pack").agg(F.sum("held").alias("wanted"))
+    sparse = written(whole.join(wanted, "pack", "left").where(F.coalesce("wanted", F.lit(0)) < SPARSE * F.col("total")).select("pack"), f"{folder}/sparse")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -192,9 +198,12 @@ def store_chunks(listed: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield moved()
 
-    final = written(chosen.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(tidy(run), MOVED), f"{folder}/stored")
-    fs, root = open_fs(f"{folder}/raw")
-    fs.delete_dir(root)
+    moving = chosen.join(sparse, "pack", "left_semi").select("digest", "pack", "at", "held").repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(tidy(run), MOVED)
+    final = written(chosen.join(sparse, "pack", "left_anti").select(*MOVED.names).unionByName(moving), f"{folder}/stored")
+    for row in sparse.toLocalIterator():  # one row per pack, that is per map task, at most
+        store, path = open_fs(row["pack"])
+        store.delete_file(path)
+    drop(f"{folder}/chosen", f"{folder}/sparse")
     return final
 
 
