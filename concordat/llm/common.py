@@ -66,6 +66,13 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def rest(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that the heap which an earlier stage left grown goes back to the system, for the Python
+    workers of the next. One small task per core; it reads and changes nothing."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def drop(*folders: str) -> None:
     """Remove tables that no later step reads."""
     for folder in folders:

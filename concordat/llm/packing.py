@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table_batch, tidy
+from .common import bounded_batches, rest, table_batch, tidy
 from .tokens import word_tokenizer
 
 #: Documents per group on average, the seed of the dealing.
@@ -113,5 +113,6 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = 40
     padding). Null text: the end id alone. Repeated rows are packed as often as they occur, rows that share an id each by its
     text, rows with a null id like others. Extra columns are dropped. An empty table packs to nothing.
     """
+    rest(docs.sparkSession)
     groups = max(1, -(-docs.count() // GROUP_DOCS))
     return pack(pieces(docs, path, end_id, length, id_col, text_col), groups, length, id_col)

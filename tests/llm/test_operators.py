@@ -432,6 +432,21 @@ def test_media(odd, documents):
         assert len(got) == len(texts_of(df))
 
 
+@pytest.mark.parametrize("sparse", [0.0, 0.5, 1.1])
+def test_packs_are_written_anew_or_stay(spark, monkeypatch, sparse):
+    """Texts that several tasks share, whichever packs go: every payload is read back, shared chunks lie in one place."""
+    monkeypatch.setattr(media, "SPARSE", sparse)
+    rows = [(i, "shared text " * 900 if i % 3 else f"own text {i} " * 40) for i in range(60)]
+    folder = media.shared_folder(spark, "media")
+    listed = media.list_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), folder)
+    stored = media.store_chunks(listed, folder)
+    assert stored.count() == stored.select("digest").distinct().count() == listed.select("digest").distinct().count()
+    got = {r["doc_id"]: r["payload_sha256"] for r in media.read_media(listed, stored).collect()}
+    assert got == {i: hashlib.sha256(media.payload_of(t)[0]).hexdigest() for i, t in rows}
+    left = {r["pack"].rsplit("/", 2)[1] for r in stored.select("pack").distinct().collect()}
+    assert left == ({"raw"} if sparse == 0 else {"packs"} if sparse > 1 else left)
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(8)
     data = rng.integers(0, 256, 200_000, np.uint8).tobytes()
