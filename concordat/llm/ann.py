@@ -25,6 +25,8 @@ from .common import bounded_batches, map_text, shared_folder, table_batch, writt
 SAMPLE, ROUNDS, TRIALS, REACH, BLOCK, PENDING, SEED = 20_000, 15, 100, 0.97, 4096, 1 << 20, 6
 #: Centroids per half: as many as give cells of PER_CELL vectors, between these two. The most bounds the driver's list of cells.
 LEAST, MOST, PER_CELL = 16, 256, 50
+#: Groups of cells that travel together: a query is sent once to each group that holds a cell of its walk, however fine the cells.
+SHARDS = 16
 
 
 def centroids_for(total: int) -> int:
@@ -209,39 +211,57 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
     def cells_of(rows: list):
         return pa.array([cells_in_order(np.asarray(r, np.float64), halves, held, need) if len(r) == dims else [-len(r)] for r in rows], pa.list_(pa.int32()))
 
-    # a large cell lies in several blocks, each of which every query of the cell meets
-    blocks = counts.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    asked = queries.select("vec_id", "v", F.explode(map_text(cells_of, T.ArrayType(T.IntegerType()), F.col("v"))).alias("cell")).join(blocks, "cell")
-    asked = asked.select("vec_id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-    found = indexed.join(blocks, "cell").select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"))
+    def shard_of(cell: Column) -> Column:
+        """Cells of one centroid of the first half go together; other widths, whose cell is -width, are shards of their own."""
+        return F.when(cell >= 0, F.pmod(F.floor(cell / width), F.lit(SHARDS)).cast("int")).otherwise(cell)
+
+    # a large shard lies in several blocks, each of which every query of the shard meets
+    placed = indexed.withColumn("shard", shard_of(F.col("cell")))
+    blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    walks = queries.select("vec_id", "v", map_text(cells_of, T.ArrayType(T.IntegerType()), F.col("v")).alias("walk"))
+    asked = walks.select("vec_id", "v", "walk", F.explode(F.array_distinct(F.transform("walk", shard_of))).alias("shard")).join(blocks, "shard")
+    asked = asked.select("vec_id", "v", F.filter("walk", lambda c: shard_of(c) == F.col("shard")).alias("cells"), "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
+    found = placed.join(blocks, "shard").select("vec_id", "v", F.array("cell").alias("cells"), "shard", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
-        now, ids, m = None, None, None
-        held_ids: list[int] = []
-        held_v: list[np.ndarray] = []
-        for batch in batches:  # sorted by cell and block, vectors before queries
+        now, held_rows, by_cell = None, [], None
+        for batch in batches:  # sorted by shard and block, vectors before queries
             if not batch.num_rows:
                 continue
-            cell, block, asks, who = (np.asarray(batch.column(c).to_pylist()) for c in ("cell", "block", "asks", "vec_id"))
-            v = batch.column("v")
-            ends = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(int)) != 0)) + 1).tolist(), len(cell)]
+            shard, block, asks, who = (np.asarray(batch.column(c).to_pylist()) for c in ("shard", "block", "asks", "vec_id"))
+            v, walk = batch.column("v"), batch.column("cells")
+            ends = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(int)) != 0)) + 1).tolist(), len(shard)]
             for a, b in zip(ends, ends[1:], strict=False):
-                key = (int(cell[a]), int(block[a]))
+                key = (int(shard[a]), int(block[a]))
                 own = matrix(v.slice(a, b - a), dims if key[0] >= 0 else -key[0])
+                lists = walk.slice(a, b - a)
+                cells = lists.flatten().to_numpy()
                 if key != now:
-                    now, held_ids, held_v, m = key, [], [], None
+                    now, held_rows, by_cell = key, [], None
                 if not asks[a]:
-                    held_ids += who[a:b].tolist()
-                    held_v.append(own)
-                elif held_ids:
-                    if m is None:
-                        ids, first = np.unique(np.asarray(held_ids), return_index=True)
-                        m = np.concatenate(held_v)[first]
-                    best.add(ids, m, who[a:b], own)
+                    held_rows.append((who[a:b], own, cells))
+                elif held_rows:
+                    if by_cell is None:
+                        by_cell = grouped(*(np.concatenate(x) for x in zip(*held_rows, strict=True)))
+                    asker = np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
+                    order = np.argsort(cells, kind="stable")
+                    each, first = np.unique(cells[order], return_index=True)
+                    for c, rows in zip(each.tolist(), np.split(asker[order], first[1:]), strict=True):
+                        if c in by_cell:
+                            best.add(*by_cell[c], who[a:b][rows], own[rows])
         q, i, s = best.rows()
         for a in range(0, len(q), 50_000):
             yield table_batch(PAIR, query_id=q[a : a + 50_000].tolist(), vec_id=i[a : a + 50_000].tolist(), score=s[a : a + 50_000].tolist())
 
-    met = found.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks").mapInArrow(run, PAIR)
+    met = found.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks").mapInArrow(run, PAIR)
     return best_of(met, k)
+
+
+def grouped(ids: np.ndarray, m: np.ndarray, cells: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """cell -> (ids in order, their vectors)."""
+    order = np.lexsort((ids, cells))
+    ids, m, cells = ids[order], m[order], cells[order]
+    each, first = np.unique(cells, return_index=True)
+    ends = np.append(first[1:], len(cells))
+    return {c: (ids[a:b], m[a:b]) for c, a, b in zip(each.tolist(), first.tolist(), ends.tolist(), strict=True)}
