@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 import re
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from ..storage import drop, fresh, open_fs, shared_folder, written  # noqa: F401  (the operators take them from here)
 
 #: Rows and bytes that cross to a Python worker at once; long texts make a batch close early.
 BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
@@ -34,38 +32,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder (URI) under spark.checkpoint.dir, which driver and executors share. Unset: a temporary one on a local
-    master, as in tests; an error on a cluster, whose machines share no local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='concordat-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, folder: str) -> DataFrame:
-    """Write a table in the shared folder and read it again: the lineage ends there and lost executors cost nothing. The
-    write's shuffle files go as soon as it is done."""
-    spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.mode("overwrite").parquet(folder)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def rest(spark: SparkSession) -> None:
     """Executors collect their garbage, so that the heap which an earlier stage left grown goes back to the system, for the Python
     workers of the next. One small task per core; it reads and changes nothing."""
@@ -73,31 +39,6 @@ def rest(spark: SparkSession) -> None:
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
 
 
-def drop(*folders: str) -> None:
-    """Remove tables that no later step reads."""
-    for folder in folders:
-        store, path = open_fs(folder)
-        if store.get_file_info(path).type.name == "Directory":
-            store.delete_dir(path)
-
-
-def fresh(name: str, df: DataFrame) -> str:
-    """A column name that the table doesn't have, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def open_fs(uri: str):
-    """(file system, path) for a URI; plain paths are local."""
-    from pyarrow import fs
-
-    if "://" not in uri:
-        uri = f"file://{os.path.abspath(uri.removeprefix('file:'))}"
-    return fs.FileSystem.from_uri(uri)
-
-
 def map_text(fn: Callable[[list], pa.StructArray], kind: T.StructType, *columns: Column) -> Column:
     """A struct column made from whole batches: fn gets one Python list per column."""
 
