@@ -13,6 +13,7 @@ from ..functions.normalise import normalise_rows, vendor_key
 from ..operators import blocking, chain, embedding, extraction, learning, linkage, matching, migration, reports, search, standardise
 from ..session import ship
 from ..sources import synthetic
+from ..storage import shared_folder, written
 from . import pipeline
 
 
@@ -30,6 +31,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("mpn_norm", codes.part_number("mpn"))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """items(), written once for queries that join them several times."""
+    return written(items(spark, sf_dir), shared_folder(spark, "items"))
+
+
 def normalise_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_rows(raw(spark, sf_dir)).select("id", "norm_text", "norm_hash", "lang", "uom_base", "pack_qty")
 
@@ -98,10 +104,12 @@ def identity_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.pairwise(clusters, truth.join(rows.select("id"), "id", "left_semi")).select("tp", "fp", "fn")
 
 
+def scored(rows: DataFrame) -> DataFrame:
+    return matching.score_pairs(blocking.candidate_pairs(blocking.key_rows(rows).where("pass in ('identity', 'class_band')")), rows)
+
+
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir)
-    pairs = blocking.candidate_pairs(blocking.key_rows(rows).where("pass in ('identity', 'class_band')"))
-    return matching.score_pairs(pairs, rows)
+    return scored(stored(spark, sf_dir))
 
 
 def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +117,8 @@ def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.pair_features(scored_pairs(spark, sf_dir), items(spark, sf_dir))
+    rows = stored(spark, sf_dir)
+    return learning.pair_features(scored(rows), rows)
 
 
 def uncertainty_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +126,7 @@ def uncertainty_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fs_match_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir)
+    rows = stored(spark, sf_dir)
     found = linkage.predict(linkage.fit(rows), linkage.rule_pairs(rows), rows)
     return found.select("a", "b", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
@@ -139,7 +148,7 @@ def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir).withColumn("cluster", extraction.identity_signature(F.col("class_code"), F.col("attrs"))).where("cluster is not null")
+    rows = stored(spark, sf_dir).withColumn("cluster", extraction.identity_signature(F.col("class_code"), F.col("attrs"))).where("cluster is not null")
     heads = rows.groupBy("cluster").agg(F.min("id").alias("head"))
     return standardise.golden_records(rows.join(heads, "cluster").drop("cluster").withColumnRenamed("head", "cluster")).select("cluster", "class_code", "std_description", "conflicts", "status", "representative", "n_members")
 
@@ -177,7 +186,7 @@ def change_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one class whose identity differs, by class: how many the matcher refuses to merge."""
-    rows = items(spark, sf_dir)
+    rows = stored(spark, sf_dir)
     known = rows.select("id", "class_code", extraction.identity_signature(F.col("class_code"), F.col("attrs")).alias("s"))
     a, b = known.select(F.col("id").alias("a"), F.col("class_code").alias("kind"), F.col("s").alias("sa")), known.select((F.col("id") - 8).alias("a"), F.col("id").alias("b"), F.col("s").alias("sb"))
     traps = a.join(b, "a").where("sa <> sb").select("a", "b", "kind", F.lit("distinct").alias("expected"))
@@ -186,7 +195,7 @@ def planted_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signature_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the pairs whose true identity agrees, those that the blocking passes on band and identity make."""
-    rows = items(spark, sf_dir)
+    rows = stored(spark, sf_dir)
     found = blocking.candidate_pairs(blocking.key_rows(rows).where("pass in ('class_band', 'identity')"), None)
     truth = rows.sparkSession.sql(f"SELECT id, signature FROM ({synthetic.TRUTH.replace('FROM part', 'FROM {part}')}) WHERE signature IS NOT NULL", part=table(spark, sf_dir, "part"))
     true = truth.select("signature", F.col("id").alias("a")).join(truth.select("signature", F.col("id").alias("b")), "signature").where("a < b")
@@ -204,8 +213,8 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = pipeline.Run(spark, raw(spark, sf_dir), "")
-    rows = items(spark, sf_dir)
-    run.tables = {"items": rows, "clusters": rows.select("id", F.col("id").alias("cluster")), "scored": scored_pairs(spark, sf_dir)}
+    rows = stored(spark, sf_dir)
+    run.tables = {"items": rows, "clusters": rows.select("id", F.col("id").alias("cluster")), "scored": scored(rows)}
     return pipeline.related(run)
 
 
