@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, language_id, media, ngram_join, packing, quality, token_counts, token_files, url_filter
+from . import ann, bpe, language_id, media, mixing, ngram_join, packing, quality, token_counts, token_files, url_filter
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -61,6 +61,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_packing, op3_ngram_join, op4_language_id, op5_bpe_round_trip, op6_nearest, op7_token_files, op8_media_chunks, op9_url_filter, op10_quality, pipeline)
+    own = (op1_token_counts, op2_packing, op3_ngram_join, op4_language_id, op5_bpe_round_trip, op6_nearest, op7_token_files, op8_media_chunks, op9_url_filter, op10_quality, op13_mixing, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -103,5 +107,23 @@ FROM n LEFT JOIN m USING (doc_id) LEFT JOIN l ON m.rep = l.x
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size FROM documents),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+-- shares are dealt again and again among the sources that have not stopped
+r AS (SELECT 0 AS step, source, source_size, weight, false AS stopped, CAST(0 AS DOUBLE) AS target FROM z
+      UNION ALL
+      SELECT step + 1, source, source_size, weight, stopped OR share >= 3 * source_size, CASE WHEN stopped OR share >= 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE share END
+      FROM (SELECT *, CAST((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (stopped) OVER (), 0)) * weight AS DOUBLE) / sum(weight) FILTER (NOT stopped) OVER () AS share FROM r)
+      WHERE step <= (SELECT count(*) FROM z)),
+t AS (SELECT source, source_size, target, CAST(coalesce(floor(target / source_size * 4294967296), 0) AS HUGEINT) AS rate,
+             CAST(('0x' || substr(md5('0:' || coalesce('=' || source, '')), 1, 8)) AS HUGEINT) AS off FROM r WHERE step = (SELECT max(step) FROM r)),
+b AS (SELECT *, (size >> greatest(length(bin(size)) - 10, 0)) << greatest(length(bin(size)) - 10, 0) AS part, coalesce(substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), '') AS slot FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY part, slot, size, doc_id) AS k FROM b)
+SELECT doc_id, size, source_size, target, CAST(c * size AS BIGINT) AS taken, CAST(c AS BIGINT) AS copies
+FROM (SELECT k.*, source_size, target, (off + rate * k) // 4294967296 - (off + rate * (k - 1)) // 4294967296 AS c FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL, "op3_ngram_join": OP3_SQL}
+    return {"op13_mixing": OP13_SQL, "op9_url_filter": OP9_SQL, "op3_ngram_join": OP3_SQL}
