@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, language_id, media, mixing, ngram_join, packing, quality, token_counts, token_files, url_filter
+from . import ann, bpe, language_id, media, mixing, ngram_join, packing, quality, target_encoding, token_counts, token_files, url_filter
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -61,6 +61,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_encoding.encode_sales(*(table(spark, sf_dir, n) for n in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_packing, op3_ngram_join, op4_language_id, op5_bpe_round_trip, op6_nearest, op7_token_files, op8_media_chunks, op9_url_filter, op10_quality, op13_mixing, pipeline)
+    own = (op1_token_counts, op2_packing, op3_ngram_join, op4_language_id, op5_bpe_round_trip, op6_nearest, op7_token_files, op8_media_chunks, op9_url_filter, op10_quality, op11_target_encoding, op13_mixing, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -107,6 +111,30 @@ FROM n LEFT JOIN m USING (doc_id) LEFT JOIN l ON m.rep = l.x
 """
 
 
+OP11_SQL = r"""
+WITH f AS (SELECT sale_id, CAST(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+        lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT sale_id FROM sales WHERE sale_id IS NOT NULL)),
+g AS (SELECT l.sale_id, coalesce(l.item_id, -1) AS item_id, coalesce(l.vendor_id, -1) AS vendor_id, coalesce(s.client_id, -1) AS client_id, s.sold_at AS t, f.fold,
+             count(*) AS n, count(*) FILTER (l.flag = 'returned') AS s
+      FROM sale_lines l JOIN sales s ON l.sale_id = s.sale_id JOIN f ON f.sale_id = s.sale_id WHERE s.sold_at IS NOT NULL GROUP BY ALL),
+h AS (SELECT g.*, coalesce(i.kind, '-') AS kind, coalesce(CAST(v.nation_id AS VARCHAR), '-') AS nation, coalesce(c.segment, '-') AS segment
+      FROM g LEFT JOIN items i USING (item_id) LEFT JOIN vendors v USING (vendor_id) LEFT JOIN clients c USING (client_id)),
+e AS (SELECT c, k, t, fold, sum(n) AS n, sum(s) AS s FROM (SELECT 'all' AS c, '' AS k, t, fold, n, s FROM h UNION ALL SELECT 'kind', kind, t, fold, n, s FROM h UNION ALL SELECT 'nation', nation, t, fold, n, s FROM h
+      UNION ALL SELECT 'segment', segment, t, fold, n, s FROM h UNION ALL SELECT 'item', CAST(item_id AS VARCHAR), t, fold, n, s FROM h UNION ALL SELECT 'vendor', CAST(vendor_id AS VARCHAR), t, fold, n, s FROM h
+      UNION ALL SELECT 'client', CAST(client_id AS VARCHAR), t, fold, n, s FROM h) GROUP BY ALL),
+b AS (SELECT c, k, t, fold, coalesce(sum(n) OVER a, 0) - coalesce(sum(n) OVER o, 0) AS n, coalesce(sum(s) OVER a, 0) - coalesce(sum(s) OVER o, 0) AS s FROM e
+      WINDOW a AS (PARTITION BY c, k ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), o AS (PARTITION BY c, k, fold ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)),
+r AS (SELECT h.sale_id, h.item_id, h.vendor_id, h.n AS n_lines, h.s AS n_returned, b0.n AS n0, b0.s AS s0, b1.n AS n1, b1.s AS s1, b2.n AS n2, b2.s AS s2, b3.n AS n3, b3.s AS s3, bi.n AS item_n, bi.s AS si, bv.n AS vendor_n, bv.s AS sv, bc.n AS client_n, bc.s AS sc
+      FROM h JOIN b b0 ON b0.c = 'all' AND b0.t = h.t AND b0.fold = h.fold JOIN b b1 ON b1.c = 'kind' AND b1.k = kind AND b1.t = h.t AND b1.fold = h.fold JOIN b b2 ON b2.c = 'nation' AND b2.k = nation AND b2.t = h.t AND b2.fold = h.fold
+      JOIN b b3 ON b3.c = 'segment' AND b3.k = segment AND b3.t = h.t AND b3.fold = h.fold JOIN b bi ON bi.c = 'item' AND bi.k = CAST(item_id AS VARCHAR) AND bi.t = h.t AND bi.fold = h.fold
+      JOIN b bv ON bv.c = 'vendor' AND bv.k = CAST(vendor_id AS VARCHAR) AND bv.t = h.t AND bv.fold = h.fold JOIN b bc ON bc.c = 'client' AND bc.k = CAST(client_id AS VARCHAR) AND bc.t = h.t AND bc.fold = h.fold),
+p0 AS (SELECT *, CASE WHEN n0 < 1 THEN 500000 ELSE (1000000 * s0 + 50 * 500000) // (n0 + 50) END AS p FROM r),
+p1 AS (SELECT *, CASE WHEN n1 < 1 THEN p ELSE (1000000 * s1 + 50 * p) // (n1 + 50) END AS pk, CASE WHEN n2 < 1 THEN p ELSE (1000000 * s2 + 50 * p) // (n2 + 50) END AS pn, CASE WHEN n3 < 1 THEN p ELSE (1000000 * s3 + 50 * p) // (n3 + 50) END AS ps FROM p0)
+SELECT sale_id, item_id, vendor_id, n_lines, n_returned, CAST(item_n AS BIGINT) AS item_n, CAST(CASE WHEN item_n < 1 THEN pk ELSE (1000000 * si + 50 * pk) // (item_n + 50) END AS BIGINT) AS item_rate,
+       CAST(vendor_n AS BIGINT) AS vendor_n, CAST(CASE WHEN vendor_n < 1 THEN pn ELSE (1000000 * sv + 50 * pn) // (vendor_n + 50) END AS BIGINT) AS vendor_rate,
+       CAST(client_n AS BIGINT) AS client_n, CAST(CASE WHEN client_n < 1 THEN ps ELSE (1000000 * sc + 50 * ps) // (client_n + 50) END AS BIGINT) AS client_rate FROM p1
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size FROM documents),
 z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
@@ -126,4 +154,4 @@ FROM (SELECT k.*, source_size, target, (off + rate * k) // 4294967296 - (off + r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_mixing": OP13_SQL, "op9_url_filter": OP9_SQL, "op3_ngram_join": OP3_SQL}
+    return {"op11_target_encoding": OP11_SQL, "op13_mixing": OP13_SQL, "op9_url_filter": OP9_SQL, "op3_ngram_join": OP3_SQL}
