@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, language_id, media, mixing, ngram_join, packing, quality, target_encoding, token_counts, token_files, url_filter
+from . import alignment, ann, bpe, language_id, media, mixing, ngram_join, packing, quality, target_encoding, token_counts, token_files, url_filter
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -65,6 +65,10 @@ def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_encoding.encode_sales(*(table(spark, sf_dir, n) for n in ("sale_lines", "sales", "items", "vendors", "clients")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_packing, op3_ngram_join, op4_language_id, op5_bpe_round_trip, op6_nearest, op7_token_files, op8_media_chunks, op9_url_filter, op10_quality, op11_target_encoding, op13_mixing, pipeline)
+    own = (op1_token_counts, op2_packing, op3_ngram_join, op4_language_id, op5_bpe_round_trip, op6_nearest, op7_token_files, op8_media_chunks, op9_url_filter, op10_quality, op11_target_encoding, op12_alignment, op13_mixing, pipeline)
     return {f.__name__: f for f in own}
 
 
