@@ -31,7 +31,7 @@ from .common import bounded_batches, give_back, kept_state, release_idle, shared
 
 SPACE = "▁"
 #: White space, as both tokenizers understand it; chunks end where it begins with a space or line feed.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(rf"(?<=[^{WHITE}])(?=[ \n])")
 #: Fixed value: the pattern of byte-level vocabularies with "use_regex".
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
