@@ -122,18 +122,22 @@ def normalise_rows(rows: DataFrame, text_col: str = "description", uom_col: str
     pack, rest = pack_quantity("_upper")
     unit, qty = base_unit(uom_col, pack) if uom_col else (F.lit(None).cast("string"), F.coalesce(pack, F.lit(1.0)))
     if house is not None:
-        upper = upper.join(house.select(F.col("company").alias("_company"), F.col("words").alias("_words")), F.col(company_col) == F.col("_company"), "left")
+        own = house.where("company is not null").select(F.col("company").alias("_company"), F.col("words").alias("_own"))
+        shared = house.where("company is null").select(F.col("words").alias("_shared"))  # one row at most
+        upper = upper.join(own, F.col(company_col) == F.col("_company"), "left").join(F.broadcast(shared), how="left").withColumn("_words", F.coalesce("_own", "_shared"))
     flat = upper.select(*rows.columns, *(["_words"] if house is not None else []), flattened(rest).alias("_flat"), language(F.coalesce(F.col(text_col), F.lit(""))).alias("lang"), unit.alias("uom_base"), qty.alias("pack_qty"))
     norm = flat.withColumn("norm_text", expanded(F.col("_flat"), F.col("_words") if house is not None else None))
     return norm.select(*rows.columns, "norm_text", F.sha2("norm_text", 256).alias("norm_hash"), "lang", "uom_base", "pack_qty")
 
 
 def house_words(entries: DataFrame) -> DataFrame:
-    """(company, words) of active entries (company or null for all, word, meaning, active): a company's own word goes before one
-    that all share. Companies without a word of their own have the shared ones where they are named in ``entries``."""
+    """(company, words) of active entries (company or null for all, word, meaning, active): a company's own words on top of those that
+    all share. The row of no company has the shared words, which hold for every company that has none of its own, and for rows without
+    a company."""
     live = entries.where("active").select("company", F.upper("word").alias("word"), "meaning")
     companies = live.where("company is not null").select("company").distinct()
     every = live.where("company is not null").withColumn("rank", F.lit(1)).unionByName(live.where("company is null").drop("company").crossJoin(F.broadcast(companies)).withColumn("rank", F.lit(0)))
+    every = every.unionByName(live.where("company is null").withColumn("rank", F.lit(0)))
     best = every.groupBy("company", "word").agg(F.max_by("meaning", F.struct("rank", "meaning")).alias("meaning"))
     return best.groupBy("company").agg(F.map_from_entries(F.collect_list(F.struct("word", "meaning"))).alias("words"))
 

@@ -98,11 +98,10 @@ class Memo:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def get(self, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-        from ..storage import open_fs, written
+        from ..storage import exists, written
 
         path = f"{self.folder}/{name}-{key}"
-        store, local = open_fs(f"{path}/_SUCCESS")
-        if store.get_file_info(local).type.name == "File":
+        if exists(self.spark, f"{path}/_SUCCESS"):
             return self.spark.read.parquet(path)
         return written(make(), path)
 

@@ -18,7 +18,7 @@ from ..functions import codes
 from ..functions.classes import SCHEMA, MaterialClass
 from ..functions.normalise import normalise_rows
 from ..operators import blocking, embedding, equivalence, extraction, graph, linkage, matching, standardise
-from ..storage import open_fs, shared_folder, written
+from ..storage import exists, shared_folder, written
 
 
 @dataclass
@@ -124,8 +124,7 @@ def start(spark: SparkSession, raw: DataFrame, folder: str | None = None, earlie
     base: dict[str, DataFrame] = {}
     if earlier is not None:
         for name in ("items", "scored", "clusters"):
-            store, path = open_fs(f"{earlier}/{name}/_SUCCESS")
-            if store.get_file_info(path).type.name == "File":
+            if exists(spark, f"{earlier}/{name}/_SUCCESS"):
                 base[name] = spark.read.parquet(f"{earlier}/{name}")
     if len(base) < 3:
         base = {}

@@ -55,22 +55,14 @@ def bounded(path: str, most: int = MOST_BYTES) -> bytes:
     return bytes(out)
 
 
-def encoding_of(path: str, probe: int = 1 << 20) -> str:
-    """UTF-8, or windows-1252 if the file's beginning is no UTF-8 (a character that the probe cuts off doesn't count)."""
-    store, name = open_fs(path)
-    with store.open_input_stream(name) as f:
-        data = f.read(probe)
-    try:
-        data.decode("utf-8")
-    except UnicodeDecodeError as e:
-        if e.start < len(data) - 4 or len(data) < probe:
-            return WINDOWS
-    return "UTF-8"
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8, or windows-1252 if any line of the file, or of the folder's files, is no UTF-8. Lines are looked at where they lie."""
+    return WINDOWS if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as strings, header first, quoted line breaks allowed; the encoding is told from the file unless given."""
-    found = encoding or encoding_of(path)
+    """All columns as strings, header first, quoted line breaks allowed; the encoding is told from the whole file unless given."""
+    found = encoding or encoding_of(spark, path)
     df = spark.read.csv(path, header=True, inferSchema=False, encoding=NEAR if found == WINDOWS else found, multiLine=True, escape='"')
     names = [c.lstrip("\ufeff").strip() for c in df.columns]
     if found == WINDOWS:

@@ -1,14 +1,26 @@
-"""Tables between steps: written to the shared folder and read again, so that lineage ends and lost executors cost nothing."""
+"""Tables between steps: written to the shared folder and read again, so that lineage ends and lost executors cost nothing.
+
+Paths are resolved once, by Hadoop's file systems, as Spark resolves them: a path without a scheme belongs to the default file
+system of the session, wherever that is. What the driver lists or removes goes through Hadoop too. Tasks that write files of their own
+format get whole URIs and open them with pyarrow's file systems.
+"""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Hadoop's names of stores that pyarrow knows by others.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+#: The folder of a local session without spark.checkpoint.dir, by application.
+_LOCAL: dict[str, str] = {}
+#: Writes that hold the clean-up setting, and what it was before the first of them.
+_HELD, _LOCK = {"writes": 0, "before": None}, threading.Lock()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -18,42 +30,70 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='concordat-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='concordat-')}"
+            spark.sparkContext.setCheckpointDir(_LOCAL[app])
+        base = _LOCAL[app]
+    return qualified(spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole URI of a path, as Spark would resolve it."""
+    fs, at = hadoop(spark, path)
+    return fs.makeQualified(at).toString()
 
 
 def written(df: DataFrame, folder: str) -> DataFrame:
-    """Write a table and read it again. The write's shuffle files go as soon as it is done."""
+    """Write a table and read it again. The write's shuffle files go as soon as it is done; several threads may write at once."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    with _LOCK:
+        if not _HELD["writes"]:
+            _HELD["before"] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _HELD["writes"] += 1
     try:
         df.write.mode("overwrite").parquet(folder)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        with _LOCK:
+            _HELD["writes"] -= 1
+            if not _HELD["writes"]:
+                spark.conf.unset(CLEANUP) if _HELD["before"] is None else spark.conf.set(CLEANUP, _HELD["before"])
     return spark.read.schema(df.schema).parquet(folder)
 
 
 def open_fs(uri: str):
-    """(file system, path) for a URI; plain paths are local."""
+    """(pyarrow's file system, path) of a URI. On the driver a path without a scheme is resolved by the session; elsewhere, and without
+    one, it is local."""
     from pyarrow import fs
 
-    if "://" not in uri:
-        uri = f"file://{os.path.abspath(uri.removeprefix('file:'))}"
-    return fs.FileSystem.from_uri(uri)
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        uri = qualified(spark, uri)
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), os.path.abspath(uri)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = hadoop(spark, path)
+    return fs.exists(at)
 
 
 def drop(*folders: str) -> None:
     """Remove tables that no later step reads."""
     for folder in folders:
-        store, path = open_fs(folder)
-        if store.get_file_info(path).type.name == "Directory":
-            store.delete_dir(path)
+        fs, at = hadoop(SparkSession.active(), folder)
+        fs.delete(at, True)
 
 
 def fresh(name: str, df: DataFrame) -> str:
