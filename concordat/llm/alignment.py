@@ -36,7 +36,7 @@ CUT = re.compile(rf"(?<=[^{WHITE}])(?=[ \n])")
 #: Fixed value: the pattern of byte-level vocabularies with "use_regex".
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that a worker remembers, twice; characters that are cut, and that are encoded, at once; transitions remembered.
-CHUNKS, STRETCH, PART, TRANSITIONS = 250_000, 1 << 20, 1 << 18, 2_000_000
+CHUNKS, STRETCH, PART, TRANSITIONS = 400_000, 1 << 20, 1 << 18, 2_000_000
 #: Pairs up to which counts are held by every task; beyond, they are joined.
 HELD_PAIRS = 4_000_000
 
