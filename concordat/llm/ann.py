@@ -2,7 +2,8 @@
 
 The two halves of a vector are quantised apart, by k-means on a bounded sample; a vector's cell is the pair of its halves'
 centroids. A query walks the cells with a heap by the sum of its halves' distances to the two centroids, until the cells it
-has passed hold enough vectors. Every vector is indexed. Within a cell the queries meet all its vectors in a matrix product in
+has passed hold enough vectors. Every vector is indexed. Cells lie in blocks in their order; a query is sent once to each block that
+holds a cell of its walk, and to no other. Within a cell the queries meet all its vectors in a matrix product in
 double precision on the original components, cell by cell and block by block, and each block hands on its best few.
 """
 
@@ -21,12 +22,10 @@ from pyspark.sql.window import Window
 from .common import bounded_batches, map_text, shared_folder, table_batch, written
 
 #: Rows that train the centroids, k-means rounds; queries that calibrate the walk, the share of their true neighbours it must
-#: reach; vectors of one cell that one task multiplies; pairs a task holds before it keeps the best only.
+#: reach; vectors of a block, which meet queries together; pairs a task holds before it keeps the best only.
 SAMPLE, ROUNDS, TRIALS, REACH, BLOCK, PENDING, SEED = 20_000, 15, 100, 0.97, 4096, 1 << 20, 6
 #: Centroids per half: as many as give cells of PER_CELL vectors, between these two. The most bounds the driver's list of cells.
 LEAST, MOST, PER_CELL = 16, 256, 50
-#: Groups of cells that travel together: a query is sent once to each group that holds a cell of its walk, however fine the cells.
-SHARDS = 16
 
 
 def centroids_for(total: int) -> int:
@@ -150,6 +149,22 @@ def exact(base: DataFrame, qids: np.ndarray, qs: np.ndarray, k: int) -> DataFram
     return best_of(base.select("vec_id", "v").mapInArrow(run, PAIR).dropDuplicates(["query_id", "vec_id"]), k)
 
 
+def blocks_of(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """(first block, number of blocks) of each cell. Cells lie in order, so those of one centroid are neighbours: small ones fill
+    a block together, one of more than BLOCK vectors has blocks of its own. Vectors of other widths (negative cells) share none."""
+    first, parts, block, held = {}, {}, 0, 0
+    for cell in sorted(sizes):
+        n = sizes[cell]
+        if held and (held + n > BLOCK or cell < 0 or n > BLOCK):
+            block, held = block + 1, 0
+        first[cell], parts[cell] = block, -(-n // BLOCK)
+        if n > BLOCK or cell < 0:
+            block, held = block + parts[cell], 0
+        else:
+            held += n
+    return first, parts
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REACH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k nearest among all other rows.
 
@@ -208,33 +223,40 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
         reached = sorted(passed[r["query_id"]][r["cell"]] for r in near)
     need = reached[min(len(reached) - 1, int(reach * len(reached)))] if reached else 1
 
-    def cells_of(rows: list):
-        return pa.array([cells_in_order(np.asarray(r, np.float64), halves, held, need) if len(r) == dims else [-len(r)] for r in rows], pa.list_(pa.int32()))
+    first, parts = blocks_of(held | {-d: n for d, n in widths.items() if d != dims})
+
+    def blocks_asked(rows: list):
+        """Per query the blocks that hold a cell of its walk, each with those cells."""
+        out = []
+        for r in rows:
+            by_block: dict[int, list[int]] = {}
+            for c in cells_in_order(np.asarray(r, np.float64), halves, held, need) if len(r) == dims else [-len(r)]:
+                for b in range(first[c], first[c] + parts[c]):
+                    by_block.setdefault(b, []).append(c)
+            out.append([{"block": b, "cells": c} for b, c in by_block.items()])
+        return pa.array(out, pa.list_(pa.struct([("block", pa.int32()), ("cells", pa.list_(pa.int32()))])))
 
-    def shard_of(cell: Column) -> Column:
-        """Cells of one centroid of the first half go together; other widths, whose cell is -width, are shards of their own."""
-        return F.when(cell >= 0, F.pmod(F.floor(cell / width), F.lit(SHARDS)).cast("int")).otherwise(cell)
+    def block_of(cells: list, part: list):
+        return pa.array([first[c] + p % parts[c] for c, p in zip(cells, part, strict=True)], pa.int32())
 
-    # a large shard lies in several blocks, each of which every query of the shard meets
-    placed = indexed.withColumn("shard", shard_of(F.col("cell")))
-    blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    walks = queries.select("vec_id", "v", map_text(cells_of, T.ArrayType(T.IntegerType()), F.col("v")).alias("walk"))
-    asked = walks.select("vec_id", "v", "walk", F.explode(F.array_distinct(F.transform("walk", shard_of))).alias("shard")).join(blocks, "shard")
-    asked = asked.select("vec_id", "v", F.filter("walk", lambda c: shard_of(c) == F.col("shard")).alias("cells"), "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-    found = placed.join(blocks, "shard").select("vec_id", "v", F.array("cell").alias("cells"), "shard", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"))
+    asked_kind = T.ArrayType(T.StructType([T.StructField("block", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    asked = queries.select("vec_id", "v", F.explode(map_text(blocks_asked, asked_kind, F.col("v"))).alias("b")).select("vec_id", "v", "b.cells", "b.block", F.lit(True).alias("asks"))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).cast("int")
+    found = indexed.select("vec_id", "v", F.array("cell").alias("cells"), map_text(block_of, T.IntegerType(), F.col("cell"), part).alias("block"), F.lit(False).alias("asks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
         now, held_rows, by_cell = None, [], None
-        for batch in batches:  # sorted by shard and block, vectors before queries
+        for batch in batches:  # sorted by block, vectors before queries
             if not batch.num_rows:
                 continue
-            shard, block, asks, who = (np.asarray(batch.column(c).to_pylist()) for c in ("shard", "block", "asks", "vec_id"))
+            block, asks, who = (np.asarray(batch.column(c).to_pylist()) for c in ("block", "asks", "vec_id"))
             v, walk = batch.column("v"), batch.column("cells")
-            ends = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(int)) != 0)) + 1).tolist(), len(shard)]
+            size = v.value_lengths().to_numpy()  # a block's vectors have one width
+            ends = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(asks.astype(int)) != 0)) + 1).tolist(), len(block)]
             for a, b in zip(ends, ends[1:], strict=False):
-                key = (int(shard[a]), int(block[a]))
-                own = matrix(v.slice(a, b - a), dims if key[0] >= 0 else -key[0])
+                key = int(block[a])
+                own = matrix(v.slice(a, b - a), int(size[a]))
                 lists = walk.slice(a, b - a)
                 cells = lists.flatten().to_numpy()
                 if key != now:
@@ -254,7 +276,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
         for a in range(0, len(q), 50_000):
             yield table_batch(PAIR, query_id=q[a : a + 50_000].tolist(), vec_id=i[a : a + 50_000].tolist(), score=s[a : a + 50_000].tolist())
 
-    met = found.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks").mapInArrow(run, PAIR)
+    met = found.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks").mapInArrow(run, PAIR)
     return best_of(met, k)
 
 

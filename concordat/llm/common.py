@@ -32,13 +32,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def rest(spark: SparkSession) -> None:
-    """Executors collect their garbage, so that the heap which an earlier stage left grown goes back to the system, for the Python
-    workers of the next. One small task per core; it reads and changes nothing."""
-    n = max(1, spark.sparkContext.defaultParallelism)
-    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
-
-
 def map_text(fn: Callable[[list], pa.StructArray], kind: T.StructType, *columns: Column) -> Column:
     """A struct column made from whole batches: fn gets one Python list per column."""
 

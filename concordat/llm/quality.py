@@ -172,5 +172,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     rows are judged alike and stay; an empty table gives an empty one.
     """
     model = learn(docs, labels, id_col, text_col)
-    judged = docs.select(F.struct(*docs.columns).alias("_d"), quality(F.col(text_col), model).alias("_r"))
+    judged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"), quality(F.col(text_col), model).alias("_r"))
     return judged.where(F.col("_r.predicted") == 1).select("_d.*")

@@ -22,11 +22,11 @@ PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER
 #: What words hold besides ASCII: the other characters of PLAIN, and of their lower-case forms.
 OTHER = [*range(0xA1, 0x2B0), 0x307, 0x2C65, 0x2C66, *range(0x2010, 0x2030)]
 #: Pieces a worker remembers, characters whose words are looked up at once.
-PIECES, STRETCH = 300_000, 1 << 22
+PIECES, STRETCH = 200_000, 1 << 21
 
 
 class WordTokenizer:
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
