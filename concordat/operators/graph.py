@@ -40,7 +40,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def refine(members: DataFrame, refusals: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(component, id, part): a component split until no part holds a refused pair.
+    """(component, id, part): a component split until no part holds a refused pair, of refusals that are given as pairs (such as
+    reviewers' decisions); refining.refine_items works out what the matcher refuses.
 
     Members are placed in the order of their accepted links (a, b), most first, then of ids; each joins the first part that has
     nobody it refuses. Components of fewer than three stay whole. members: component, id; refusals: component, a, b. Placing is
@@ -71,7 +72,8 @@ def refine(members: DataFrame, refusals: DataFrame, links: DataFrame | None = No
             where.append((c, i, k))
         return pd.DataFrame(where, columns=["component", "id", "part"])
 
-    split = ranked.join(torn, "component", "left_semi").groupBy("component").cogroup(no.join(torn, "component", "left_semi").groupBy("component")).applyInPandas(place, "component long, id long, part int")
+    kind = f"component {dict(members.dtypes)['component']}, id {dict(members.dtypes)['id']}, part int"
+    split = ranked.join(torn, "component", "left_semi").groupBy("component").cogroup(no.join(torn, "component", "left_semi").groupBy("component")).applyInPandas(place, kind)
     return members.join(torn, "component", "left_anti").select("component", "id", F.lit(0).alias("part")).unionByName(split)
 
 

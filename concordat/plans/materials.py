@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, kernels, numbers
 from ..functions.normalise import normalise_rows, vendor_key
-from ..operators import blocking, chain, embedding, extraction, learning, linkage, matching, migration, reports, search, standardise
+from ..operators import blocking, chain, embedding, extraction, graph, learning, linkage, matching, migration, refining, reports, search, standardise
 from ..session import ship
 from ..sources import synthetic
 from ..storage import shared_folder, written
@@ -185,12 +185,15 @@ def change_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one class whose identity differs, by class: how many the matcher refuses to merge."""
+    """Pairs of one class whose identity differs, by class: how many clusters keep apart though each of them is linked."""
     rows = stored(spark, sf_dir)
     known = rows.select("id", "class_code", extraction.identity_signature(F.col("class_code"), F.col("attrs")).alias("s"))
     a, b = known.select(F.col("id").alias("a"), F.col("class_code").alias("kind"), F.col("s").alias("sa")), known.select((F.col("id") - 8).alias("a"), F.col("id").alias("b"), F.col("s").alias("sb"))
     traps = a.join(b, "a").where("sa <> sb").select("a", "b", "kind", F.lit("distinct").alias("expected"))
-    return learning.veto_metrics(traps, matching.score_pairs(traps.select("a", "b"), rows))
+    links = scored(rows).where("verdict = 'duplicate'").select("a", "b").unionByName(traps.select("a", "b"))  # as if every trap were linked
+    links = written(links, shared_folder(spark, "trap_links"))
+    found = refining.refine_items(graph.connected_components(rows.select("id"), links), rows, links)
+    return learning.veto_metrics(traps, graph.clusters_of(found))
 
 
 def signature_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

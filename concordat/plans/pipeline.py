@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.classes import SCHEMA, MaterialClass
 from ..functions.normalise import normalise_rows
-from ..operators import blocking, embedding, equivalence, extraction, graph, linkage, matching, standardise
+from ..operators import blocking, embedding, equivalence, extraction, graph, linkage, matching, refining, standardise
 from ..storage import exists, shared_folder, written
 
 
@@ -83,9 +83,7 @@ def clusters(run: Run) -> DataFrame:
     rows, judged = run.tables["items"], run.tables["scored"]
     links = judged.where("verdict = 'duplicate'").select("a", "b")
     found = graph.connected_components(rows.select("id"), links)
-    own = lambda s: found.select(F.col("id").alias(s), F.col("component").alias(f"c{s}"))
-    refused = judged.where("verdict in ('distinct', 'conflict')").select("a", "b").join(own("a"), "a").join(own("b"), "b").where("ca = cb").select(F.col("ca").alias("component"), "a", "b")
-    parts = graph.clusters_of(graph.refine(found, refused, links))
+    parts = graph.clusters_of(refining.refine_items(found, rows, links, run.schema))
     return parts if run.frozen is None else graph.regroup(run.earlier["clusters"], parts, run.frozen)
 
 
