@@ -190,8 +190,8 @@ def planted_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = rows.select("id", "class_code", extraction.identity_signature(F.col("class_code"), F.col("attrs")).alias("s"))
     a, b = known.select(F.col("id").alias("a"), F.col("class_code").alias("kind"), F.col("s").alias("sa")), known.select((F.col("id") - 8).alias("a"), F.col("id").alias("b"), F.col("s").alias("sb"))
     traps = a.join(b, "a").where("sa <> sb").select("a", "b", "kind", F.lit("distinct").alias("expected"))
-    links = scored(rows).where("verdict = 'duplicate'").select("a", "b").unionByName(traps.select("a", "b"))  # as if every trap were linked
-    links = written(links, shared_folder(spark, "trap_links"))
+    traps = written(traps, shared_folder(spark, "traps"))
+    links = traps.select("a", "b")  # as if every trap were a duplicate
     found = refining.refine_items(graph.connected_components(rows.select("id"), links), rows, links)
     return learning.veto_metrics(traps, graph.clusters_of(found))
 

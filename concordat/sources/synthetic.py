@@ -61,9 +61,9 @@ def by_kind(cases: dict[int, str]) -> str:
 
 def bearing_sizes(place: int) -> str:
     """CASE over series and bore code of the outer diameter (0) or the width (1)."""
-    from ..operators.extraction import SERIES
+    from ..operators.extraction import BEARINGS
 
-    rows = [(k, c, d.split("x")[place]) for k, s in enumerate(("60", "62", "63")) for c, d in enumerate(SERIES[s].split()) if c >= 4]
+    rows = [(("60", "62", "63").index(n[:2]), int(n[2:]), d[place + 1]) for n, d in BEARINGS.items() if int(n[2:]) >= 4]
     return "CASE (p_size % 3) * 100 + 4 + p_size % 17 " + " ".join(f"WHEN {k * 100 + c} THEN '{v}'" for k, c, v in rows) + " END"
 
 
