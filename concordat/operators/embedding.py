@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import shared_folder, written
+from . import neighbours
+from .neighbours import nearest_in_class  # noqa: F401
 
-#: Character n-grams, least documents of a term, most terms, most dimensions, rows of a block that meets another.
-GRAMS, LEAST, TERMS, DIMS, BLOCK = (3, 5), 2, 200_000, 192, 2048
+#: Character n-grams, least documents of a term, most terms, most dimensions.
+GRAMS, LEAST, TERMS, DIMS = (3, 5), 2, 200_000, 192
 
 
 def char_grams(text: Column, least: int = GRAMS[0], most: int = GRAMS[1]) -> Column:
@@ -64,10 +66,8 @@ def top_documents(corpus: DataFrame, queries: DataFrame, k: int = 4, least: floa
     only passages that share a word meet a query."""
     rows, vocabulary = weights(corpus.select("id", "text"), word_grams(F.col("text")))
     asked = queries.select(F.col("query").alias("id"), F.explode(word_grams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    q = weighted(asked, vocabulary, False).select(F.col("id").alias("query"), "term", F.col("weight").alias("qw"))
-    scores = rows.join(q, "term").groupBy("query", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score")).where(F.col("score") > least)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    q = weighted(asked, vocabulary, False).select(F.col("id").alias("query"), "term", "weight")
+    return neighbours.top_by_terms(rows, q, k, least)
 
 
 @dataclass(frozen=True)
@@ -121,40 +121,6 @@ def fit(docs: DataFrame, dims: int = DIMS, terms: int = TERMS, least: int = LEAS
     return Embedding(numbered, found.V.toArray())
 
 
-def nearest_in_class(vectors: DataFrame, k: int = 50) -> DataFrame:
-    """(a, b, cosine) with a < b: pairs of which one is among the other's k nearest in its class.
-
-    vectors: id, class_code, vector (unit length). Exact: a class is cut into blocks of about BLOCK rows, each two blocks meet in
-    one task as a matrix product, and a task hands on k rows per row and block, never all pairs.
-    """
-    counts = vectors.groupBy("class_code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = vectors.join(counts, "class_code").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.select("class_code", "id", "vector", "block", other.alias("other")).select("class_code", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "vector")
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = part["x"].iloc[0], part["y"].iloc[0]
-        part = part.sort_values("id")
-        left, right = (part[part["block"] == b] for b in (x, y))
-        out = []
-        for own, rest in ((left, right),) if x == y else ((left, right), (right, left)):
-            if not len(own) or not len(rest):
-                continue
-            s = np.stack(own["vector"].to_list()) @ np.stack(rest["vector"].to_list()).T
-            ids, others = own["id"].to_numpy(), rest["id"].to_numpy()
-            s[ids[:, None] == others[None, :]] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            got = np.take_along_axis(s, best, 1)
-            ok = got > -np.inf
-            out.append(pd.DataFrame({"id": np.repeat(ids, best.shape[1])[ok.ravel()], "near": others[best][ok], "cosine": got[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "near": [], "cosine": []})
-
-    kind = f"id {dict(vectors.dtypes)['id']}, near {dict(vectors.dtypes)['id']}, cosine double"
-    met = dealt.groupBy("class_code", "x", "y").applyInPandas(meet, kind)
-    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "near"))).where(F.col("rank") <= k)
-    return best.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-
-
 def chunks(docs: DataFrame, words: int = 160, least: int = 40) -> DataFrame:
     """(id, heading, piece, text): documents cut at Markdown headings and after ``words`` words; pieces of ``least`` characters or
     fewer are left out."""
