@@ -7,15 +7,18 @@ a hash of its rows, and each two blocks meet in a task of their own, so no task
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalise import content_tokens
+from ..storage import shared_folder, written
 from . import extraction
 
 # The passes in order, with their caps.
 CAPS = {"mpn": 300, "gtin": 300, "text": 300, "class_band": 150, "token": 100, "identity": 200}
 BLOCK = 512
+#: Parts of a stored key index; an increment reads those that its keys fall into.
+BUCKETS = 256
 
 
 def key_rows(items: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -39,9 +42,7 @@ def sized(rows: DataFrame, caps: dict[str, int] | None = CAPS) -> DataFrame:
 
 def candidate_pairs(rows: DataFrame, caps: dict[str, int] | None = CAPS) -> DataFrame:
     """(a, b, pass): each pair a < b once, under the first pass that makes it."""
-    order = F.lit(len(CAPS))
-    for k, name in enumerate(CAPS):
-        order = F.when(F.col("pass") == name, k).otherwise(order)
+    order = pass_order()
     live = rows.join(sized(rows, caps).where("n > 1 and (cap is null or n <= cap)"), ["pass", "key"])
     live = live.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pass", "key", "id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
@@ -51,6 +52,91 @@ def candidate_pairs(rows: DataFrame, caps: dict[str, int] | None = CAPS) -> Data
     return first.select("a", "b", "pass")
 
 
+class KeyIndex:
+    """The key rows (pass, key, id) of earlier runs, stored by buckets of keys, one generation per run: the folders, oldest first.
+
+    A generation also holds the ids that it replaced; older rows of these ids count no more.
+    """
+
+    def __init__(self, spark: SparkSession, folders: list[str], replaced: tuple[str, ...] = ()):
+        self.spark, self.folders, self.replaced = spark, folders, replaced
+
+    def add(self, rows: DataFrame, replaced: DataFrame, folder: str) -> KeyIndex:
+        """This index with a new generation of key rows; replaced: (id)."""
+        cut = rows.select("pass", "key", "id").withColumn("bucket", bucket())
+        cut.repartition("bucket").sortWithinPartitions("bucket", "pass", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows")
+        replaced.select("id").write.mode("overwrite").parquet(f"{folder}/replaced")
+        return KeyIndex(self.spark, [*self.folders, folder])
+
+    def before(self) -> KeyIndex:
+        """The index without its last generation, and without the ids that it replaced."""
+        return KeyIndex(self.spark, self.folders[:-1], tuple(self.folders[-1:]))
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """(pass, key, id) of all generations; with ``buckets``, of these parts alone."""
+        out = None
+        for k, folder in enumerate(self.folders):
+            rows = self.spark.read.parquet(f"{folder}/rows")
+            if buckets is not None:
+                rows = rows.where(F.col("bucket").isin(buckets))
+            rows = rows.select("pass", "key", "id")
+            for later in (*self.folders[k + 1 :], *self.replaced):
+                rows = rows.join(self.spark.read.parquet(f"{later}/replaced"), "id", "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("pass", "key"), F.lit(BUCKETS)).cast("int")
+
+
+def pairs_of_increment(index: KeyIndex, fresh: DataFrame, caps: dict[str, int] | None = CAPS) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b, pass) of which a side is fresh, lapsed (a, b)): with the pairs of earlier runs less the lapsed ones, what a full
+    run would make.
+
+    index: earlier key rows, without the fresh ids; fresh: the new key rows. Only the buckets of new keys are read, and each fresh row
+    meets its keys' rows, not these one another. A key that grows past its cap makes no pairs any more; the earlier pairs that no other
+    key makes lapse.
+    """
+    fresh = written(fresh.select("pass", "key", "id"), shared_folder(index.spark, "fresh_keys"))
+    touched = [r["b"] for r in fresh.select(bucket().alias("b")).distinct().collect()]  # BUCKETS at most
+    keys = fresh.select("pass", "key").distinct()
+    old = written(index.read(touched).join(keys, ["pass", "key"], "left_semi"), shared_folder(index.spark, "old_keys"))
+    rows = fresh.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False)))
+    sizes = sized(rows, caps).join(old.groupBy("pass", "key").agg(F.count("*").alias("before")), ["pass", "key"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    live = rows.join(sizes.where("n > 1 and (cap is null or n <= cap)").select("pass", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["pass", "key"])
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    ours = live.where("fresh").select("pass", "key", F.col("id").alias("x"), each)  # a fresh row goes to every block of its key
+    theirs = live.select("pass", "key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("y"))
+    met = ours.join(theirs, ["pass", "key", "block"]).where("x <> y")
+    found = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min_by("pass", F.struct(pass_order(), F.col("pass"))).alias("pass"))
+    grown = sizes.where("cap is not null and before > 1 and before <= cap and n > cap").select("pass", "key")
+    return found, lapsed(index, old, fresh, written(grown, shared_folder(index.spark, "grown")), caps)
+
+
+def lapsed(index: KeyIndex, old: DataFrame, fresh: DataFrame, grown: DataFrame, caps: dict[str, int] | None) -> DataFrame:
+    """(a, b): earlier pairs that only keys in ``grown`` made."""
+    members = old.join(grown, ["pass", "key"], "left_semi")  # a cap's rows a key at most
+    pairs = members.select("pass", "key", F.col("id").alias("a")).join(members.select("pass", "key", F.col("id").alias("b")), ["pass", "key"]).where("a < b").select("a", "b").distinct()
+    if not grown.limit(1).count():
+        return pairs
+    pairs = written(pairs, shared_folder(index.spark, "grown_pairs"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = written(index.read().join(ids, "id", "left_semi"), shared_folder(index.spark, "grown_rows"))
+    shared = own.withColumnRenamed("id", "a").join(pairs, "a").join(own.withColumnRenamed("id", "b"), ["b", "pass", "key"])
+    shared = shared.join(grown, ["pass", "key"], "left_anti").select("pass", "key", "a", "b")
+    now = index.read().unionByName(fresh).join(shared.select("pass", "key").distinct(), ["pass", "key"], "left_semi")
+    still = shared.join(sized(now, caps).where("cap is null or n <= cap").select("pass", "key"), ["pass", "key"], "left_semi").select("a", "b").distinct()
+    return pairs.join(still, ["a", "b"], "left_anti")
+
+
+def pass_order() -> Column:
+    order = F.lit(len(CAPS))
+    for k, name in enumerate(CAPS):
+        order = F.when(F.col("pass") == name, k).otherwise(order)
+    return order
+
+
 def blocking_report(rows: DataFrame, caps: dict[str, int] | None = CAPS) -> DataFrame:
     """(pass, keys, largest, oversized, skipped_rows, pairs): what each pass makes and what its cap leaves out."""
     s = sized(rows, caps).withColumn("over", F.coalesce(F.col("n") > F.col("cap"), F.lit(False)))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import let
 from ..storage import shared_folder, written
 from . import neighbours
 from .neighbours import nearest_in_class  # noqa: F401
@@ -37,9 +38,10 @@ def char_grams(text: Column, least: int = GRAMS[0], most: int = GRAMS[1]) -> Col
 
 def word_grams(text: Column) -> Column:
     """Words of two characters or more, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b\w\w+\b"), F.lit(0))
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
-    return F.concat(words, pairs)
+    def with_pairs(words: Column) -> Column:
+        return F.concat(words, F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w)))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"\b\w\w+\b"), F.lit(0)), with_pairs)  # the words are found once
 
 
 def weights(docs: DataFrame, terms: Column, least: int = 1, most: int | None = None, sublinear: bool = False) -> tuple[DataFrame, DataFrame]:

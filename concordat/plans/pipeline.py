@@ -1,8 +1,9 @@
 """The whole run over a catalogue: normalise, read, block, score, cluster, refine, fuse, relate. Stages are a list that callers may
 change; each takes the run and returns a table, which is written before the next reads it.
 
-An incremental run has the tables of an earlier one: new rows are normalised and read alone, blocked against everything, and only
-pairs that touch a new row are scored. Without earlier tables the run is a full one.
+An incremental run has the tables of an earlier one: new and changed rows are normalised and read alone, their keys meet the stored key
+index, and only pairs that touch one of them are scored; earlier pairs of a changed row, and those whose only keys have outgrown their
+caps, go. Without earlier tables the run is a full one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
@@ -35,6 +36,7 @@ class Run:
     vectors: bool = False
     link: bool = False
     earlier: dict[str, DataFrame] = field(default_factory=dict)
+    index: list[str] = field(default_factory=list)  # folders of the key index, oldest first
     tables: dict[str, DataFrame] = field(default_factory=dict)
     seconds: dict[str, float] = field(default_factory=dict)
 
@@ -44,10 +46,20 @@ class Run:
 
 
 def items(run: Run) -> DataFrame:
-    new = run.raw if not run.incremental else run.raw.join(run.earlier["items"].select("id"), "id", "left_anti")
+    new = run.raw
+    if run.incremental:  # rows that are new, or say something else than before
+        seen = run.earlier["items"].select("id", row_hash(run).alias("_h"))
+        new = run.raw.withColumn("_h", row_hash(run)).join(seen, ["id", "_h"], "left_anti").drop("_h")
     norm = normalise_rows(new, house=run.house)
     read = extraction.extract_rows(norm, schema=run.schema).withColumn("mpn_norm", codes.part_number("mpn")).withColumn("fresh", F.lit(True))
-    return read if not run.incremental else run.earlier["items"].withColumn("fresh", F.lit(False)).unionByName(read)
+    if not run.incremental:
+        return read
+    read = written(read, f"{run.folder}/fresh_items")
+    return run.earlier["items"].join(read.select("id"), "id", "left_anti").withColumn("fresh", F.lit(False)).unionByName(read)
+
+
+def row_hash(run: Run) -> Column:
+    return F.xxhash64(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in run.raw.columns if c != "id"))
 
 
 def with_vectors(run: Run) -> DataFrame:
@@ -59,7 +71,16 @@ def with_vectors(run: Run) -> DataFrame:
 
 def pairs(run: Run) -> DataFrame:
     rows = run.tables["vectors"]
-    found = blocking.candidate_pairs(blocking.key_rows(rows), run.caps)
+    fresh = written(blocking.key_rows(rows.where("fresh")), f"{run.folder}/fresh_keys")
+    replaced = rows.where("fresh").select("id")
+    index = blocking.KeyIndex(run.spark, run.index)
+    now = index.add(fresh, replaced, f"{run.folder}/key_index")
+    run.spark.createDataFrame(list(enumerate(now.folders)), "generation int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{run.folder}/key_folders")
+    if not run.incremental:
+        found = blocking.candidate_pairs(fresh, run.caps)
+    else:
+        found, gone = blocking.pairs_of_increment(now.before(), fresh, run.caps)
+        run.tables["lapsed"] = written(gone, f"{run.folder}/lapsed")
     if "vector" in rows.columns:
         near = embedding.nearest_in_class(rows.where("vector is not null").select("id", "class_code", "vector")).select("a", "b")
         found = found.unionByName(near.join(found, ["a", "b"], "left_anti").withColumn("pass", F.lit("ann")))
@@ -70,13 +91,20 @@ def pairs(run: Run) -> DataFrame:
     return found
 
 
+def kept_pairs(run: Run) -> DataFrame:
+    """Scored pairs of the earlier run that still stand."""
+    new = run.tables["items"].where("fresh").select("id")
+    old = run.earlier["scored"].join(run.tables["lapsed"], ["a", "b"], "left_anti")
+    return old.join(new.select(F.col("id").alias("a")), "a", "left_anti").join(new.select(F.col("id").alias("b")), "b", "left_anti")
+
+
 def scored(run: Run) -> DataFrame:
     rows, found = run.tables["vectors"], run.tables["pairs"]
     linked = None
     if run.link and not run.incremental and rows.limit(50).count() == 50:
         linked = linkage.predict(linkage.fit(rows), found.select("a", "b"), rows)
     out = matching.score_pairs(found, rows, run.schema, linked)
-    return out if not run.incremental else run.earlier["scored"].unionByName(out)
+    return out if not run.incremental else kept_pairs(run).unionByName(out)
 
 
 def clusters(run: Run) -> DataFrame:
@@ -124,11 +152,12 @@ def start(spark: SparkSession, raw: DataFrame, folder: str | None = None, earlie
         for name in ("items", "scored", "clusters"):
             if exists(spark, f"{earlier}/{name}/_SUCCESS"):
                 base[name] = spark.read.parquet(f"{earlier}/{name}")
-    if len(base) < 3:
-        base = {}
-    if "items" in base:
-        base["items"] = base["items"].drop("fresh")
-    return execute(Run(spark, raw, folder or shared_folder(spark, "run"), earlier=base, **options))
+    whole = len(base) == 3 and exists(spark, f"{earlier}/key_folders/_SUCCESS")
+    if not whole:
+        return execute(Run(spark, raw, folder or shared_folder(spark, "run"), **options))
+    base["items"] = base["items"].drop("fresh")
+    index = [r["folder"] for r in spark.read.parquet(f"{earlier}/key_folders").orderBy("generation").collect()]  # one per run
+    return execute(Run(spark, raw, folder or shared_folder(spark, "run"), earlier=base, index=index, **options))
 
 
 def accounting(run: Run) -> DataFrame:
