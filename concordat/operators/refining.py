@@ -124,21 +124,23 @@ def degrees(links: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def refine_items(members: DataFrame, items: DataFrame, links: DataFrame, schema: dict[str, MaterialClass] = SCHEMA) -> DataFrame:
+def refine_items(members: DataFrame, items: DataFrame, links: DataFrame | None, schema: dict[str, MaterialClass] = SCHEMA) -> DataFrame:
     """(component, id, part): complete linkage on the whole refusal relation.
 
     Two members refuse each other if their brands are known and differ, or if they are of one class and an identity attribute
     mismatches or a rating is out of its band; a low score refuses nobody. Members are placed by their links, most first, then by id;
     each joins the first part that holds nobody it refuses. Components of fewer than three stay whole, as do those of one profile.
 
-    members: component, id; items: id, class_code, attrs; links (a, b): the accepted pairs. Ids and components of any type; members
-    without an item refuse nobody, repeated members count once.
+    members: component, id; items: id, class_code, attrs; links (a, b): the accepted pairs, or None if members have their ``degree``, which
+    may then differ between components. Ids and components of any type; members without an item refuse nobody, repeated members count once.
     """
-    members = members.select("component", "id").distinct()
+    ranked = members.select("component", "id", *(["degree"] if links is None else [])).distinct()
+    members = ranked.select("component", "id")
     sized = members.groupBy("component").agg(F.count("*").alias("n")).where("n >= 3").select("component")
     brand = F.nullif(F.try_element_at("attrs", F.lit("brand")), F.lit(""))
     own = items.select("id", F.coalesce("class_code", F.lit(UNCLASSIFIED)).alias("class_code"), brand.alias("brand"), values(F.col("class_code"), F.col("attrs"), schema).alias("values"))
-    known = members.join(sized, "component", "left_semi").join(own, "id", "left").join(degrees(links), "id", "left")
+    ranked = ranked if links is None else ranked.join(degrees(links), "id", "left")
+    known = ranked.join(sized, "component", "left_semi").join(own, "id", "left")
     known = known.withColumn("order", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), "id")).withColumn("profile", F.to_json(F.struct("class_code", "brand", "values")))
     folded = known.groupBy("component", "profile").agg(F.first("class_code").alias("class_code"), F.first("brand").alias("brand"), F.first("values").alias("values"), F.min("order").alias("order"))
     several = folded.groupBy("component").agg(F.count("*").alias("profiles")).where("profiles > 1").select("component")
