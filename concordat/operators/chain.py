@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .prefix import placed
 
 GENESIS = "0" * 64
 EVENTS = "chain string, seq long, prev_hash string, hash string, payload string"
@@ -35,7 +36,8 @@ def event_hash(seq: Column, prev: Column, payload: Column) -> Column:
 def append(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Events (chain, seq, prev_hash, hash, payload) for new rows (chain, place, payload), after the head of each stored chain.
 
-    Within a chain rows follow ``place``. The first event of a chain is number 0. One chain is one task's work, row by row.
+    Within a chain rows follow ``place``. The first event of a chain is number 0. Each hash needs the one before, so a chain's new rows
+    are one task's work; they pass one by one, and none but the last hash is kept.
     """
     heads = None
     if stored is not None:
@@ -43,28 +45,32 @@ def append(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     rows = new.select("chain", "place", "payload")
     rows = rows.join(heads, "chain", "left") if heads is not None else rows.withColumn("head_seq", F.lit(None).cast("long")).withColumn("head_hash", F.lit(None).cast("string"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["place", "payload"])
-        first = part["head_seq"].iloc[0]
-        seq, prev = (0, GENESIS) if pd.isna(first) else (int(first) + 1, part["head_hash"].iloc[0])
-        out = []
-        for chain, payload in zip(part["chain"], part["payload"], strict=True):
-            made = hashlib.sha256(f"{seq}|{prev}|{payload}".encode()).hexdigest()
-            out.append((chain, seq, prev, made, payload))
-            seq, prev = seq + 1, made
-        return pd.DataFrame(out, columns=["chain", "seq", "prev_hash", "hash", "payload"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seq, prev = (), 0, GENESIS
+        for part in batches:  # sorted by chain and place; a chain may go on in the next batch
+            out = []
+            for chain, payload, first, head in zip(part["chain"], part["payload"], part["head_seq"], part["head_hash"], strict=True):
+                if now != (chain,):
+                    now = (chain,)
+                    seq, prev = (0, GENESIS) if pd.isna(first) else (int(first) + 1, head)
+                made = hashlib.sha256(f"{seq}|{prev}|{payload}".encode()).hexdigest()
+                out.append((chain, seq, prev, made, payload))
+                seq, prev = seq + 1, made
+            yield pd.DataFrame(out, columns=["chain", "seq", "prev_hash", "hash", "payload"])
 
-    return rows.groupBy("chain").applyInPandas(fold, EVENTS)
+    return rows.repartition("chain").sortWithinPartitions("chain", "place", "payload").mapInPandas(fold, EVENTS)
 
 
 def verify(events: DataFrame) -> DataFrame:
     """Per chain: events, head_seq, head_hash, valid, first_break (its seq) and reason.
 
     An event breaks its chain if its number isn't its place (one was removed, added or moved), if its prev_hash isn't the hash of
-    the event before it, or if its own hash doesn't follow from what it holds (it was altered).
+    the event before it, or if its own hash doesn't follow from what it holds (it was altered). A chain is checked in ranges of its
+    events, each in a task of its own; the ranges' counts and last hashes meet in a frame of one row per range. That its newest events
+    were cut off shows only against a head that was kept elsewhere: see anchored().
     """
-    w = Window.partitionBy("chain").orderBy("seq", "hash")
-    rows = events.withColumn("expected", F.row_number().over(w) - 1).withColumn("before", F.coalesce(F.lag("hash").over(w), F.lit(GENESIS)))
+    rows = placed(events.select("chain", "seq", "prev_hash", "hash", "payload"), ["chain"], ["seq", "hash"], {"before": "hash"})
+    rows = rows.withColumnRenamed("place", "expected").withColumn("before", F.when(F.col("expected") == 0, GENESIS).otherwise(F.col("before")))
     reason = F.when(F.col("seq") != F.col("expected"), "sequence").when(F.col("prev_hash") != F.col("before"), "link").when(F.col("hash") != event_hash(F.col("seq"), F.col("prev_hash"), F.col("payload")), "payload")
     rows = rows.withColumn("reason", F.when(F.col("prev_hash").isNull() | F.col("hash").isNull() | F.col("payload").isNull(), "payload").otherwise(reason))
     broken = F.when(F.col("reason").isNotNull(), F.struct("expected", "seq", "reason"))
@@ -72,6 +78,14 @@ def verify(events: DataFrame) -> DataFrame:
     return out.select("chain", "events", F.col("head.seq").alias("head_seq"), F.col("head.hash").alias("head_hash"), F.col("b").isNull().alias("valid"), F.col("b.seq").cast("long").alias("first_break"), F.col("b.reason").alias("reason"))
 
 
+def anchored(verified: DataFrame, anchors: DataFrame) -> DataFrame:
+    """verify()'s rows with ``cut_off``: whether the chain ends before, or elsewhere than at, a head (chain, seq, hash) that was kept apart,
+    or is gone altogether. A chain that went on since has to hold the kept head at its place, so pass that event's hash with it."""
+    kept = anchors.select("chain", F.col("seq").alias("_s"), F.col("hash").alias("_h"))
+    cut = F.col("_s").isNotNull() & (F.col("head_seq").isNull() | (F.col("head_seq") < F.col("_s")) | ((F.col("head_seq") == F.col("_s")) & (F.col("head_hash") != F.col("_h"))))
+    return verified.join(kept, "chain", "full").withColumn("cut_off", cut).drop("_s", "_h")
+
+
 def voided(events: DataFrame) -> DataFrame:
     """(chain, seq) of the events that a later event voids; an event is voided by naming it, never removed."""
     return events.select("chain", F.get_json_object("payload", "$.voids_seq").try_cast("long").alias("seq")).where("seq is not null").distinct()

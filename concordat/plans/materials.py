@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, kernels, numbers
 from ..functions.normalise import normalise_rows, vendor_key
-from ..operators import blocking, chain, embedding, extraction, graph, learning, linkage, matching, migration, refining, reports, search, standardise
+from ..operators import blocking, chain, embedding, equivalence, extraction, graph, learning, linkage, matching, migration, refining, reports, search, standardise
 from ..session import ship
 from ..sources import synthetic
 from ..storage import shared_folder, written
@@ -122,7 +122,9 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uncertainty_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.uncertain(scored_pairs(spark, sf_dir).where("verdict = 'review'"), 0).select("a", "b", "confidence", "drawn")
+    """The first page of all scored pairs by how uncertain they are, with some drawn from beyond it."""
+    scored = written(scored_pairs(spark, sf_dir).select("a", "b", "confidence"), shared_folder(spark, "scored"))
+    return learning.uncertain(scored).select("a", "b", "confidence", "drawn")
 
 
 def fs_match_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +216,16 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "piece", "text")
 
 
+VALVE_RULES = """class: valve.gate
+equivalent_if: [size_nb_mm ==, body_material ==]
+substitutable_if:
+  - pressure_class >=
+"""
+
+
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = pipeline.Run(spark, raw(spark, sf_dir), "")
+    """Substitutes among the valves: of one size and material, the higher rating in place of the lower."""
+    run = pipeline.Run(spark, raw(spark, sf_dir), "", rules=equivalence.parse_rules(VALVE_RULES))
     rows = stored(spark, sf_dir)
     run.tables = {"items": rows, "clusters": rows.select("id", F.col("id").alias("cluster")), "scored": scored(rows)}
     return pipeline.related(run)

@@ -325,7 +325,7 @@ def test_learning(spark, run):
     report = {r["gate"]: r["passed"] for r in reports.scorecard(learning.gate_report(spark.createDataFrame([("blocking_recall", 0.99), ("automation_rate", 0.1)], "gate string, value double"))).collect()}
     assert report == {"automation_rate": False, "blocking_recall": True, "duplicate_precision": False, "veto_precision": False}
     assert learning.automation_rate(scored).first()["pairs"] == 12
-    q = learning.uncertain(scored, 0, 5)
+    q = learning.uncertain(scored, size=5)
     assert q.count() == 5 and q.where("drawn").count() == 1
 
 
