@@ -5,10 +5,6 @@ TRUTH = "p AS (SELECT doc_id, sha256_hex(norm) AS grp, sha256_hex(replace(norm,
 
 SQL = {
     "exact_text_duplicates": "SELECT norm_hash, COUNT(*) AS copies, MIN(doc_id) AS first_doc FROM (SELECT doc_id, sha256_hex(norm) AS norm_hash FROM texts) GROUP BY norm_hash HAVING COUNT(*) > 1",
-    "block_exact_key": """WITH k AS (SELECT item, class || '|' || brand || '|' || name AS k FROM items), b AS (SELECT item, k, COUNT(*) OVER (PARTITION BY k) AS n FROM k)
-        SELECT a.item AS item_a, c.item AS item_b FROM b a JOIN b c ON a.k = c.k AND a.item < c.item WHERE a.n BETWEEN 2 AND 300""",
-    "block_class_band": """WITH b AS (SELECT item, class, size_mm, COUNT(*) OVER (PARTITION BY class, size_mm) AS n FROM items) SELECT a.item AS item_a, c.item AS item_b FROM b a JOIN b c ON a.class = c.class AND a.size_mm = c.size_mm AND a.item < c.item WHERE a.n BETWEEN 2 AND 150""",
-    "block_identity": """WITH b AS (SELECT item, class, brand, size_mm, COUNT(*) OVER (PARTITION BY class, brand, size_mm) AS n FROM items) SELECT a.item AS item_a, c.item AS item_b FROM b a JOIN b c ON a.class = c.class AND a.brand = c.brand AND a.size_mm = c.size_mm AND a.item < c.item WHERE a.n BETWEEN 2 AND 200""",
     "blocking_stats": """WITH k AS (SELECT 'exact' AS pass, COUNT(*) AS n, 300 AS cap FROM items GROUP BY class, brand, name UNION ALL SELECT 'class_band', COUNT(*), 150 FROM items GROUP BY class, size_mm
         UNION ALL SELECT 'identity', COUNT(*), 200 FROM items GROUP BY class, brand, size_mm UNION ALL SELECT 'token', COUNT(*), 100 FROM items GROUP BY class, name)
         SELECT pass, COUNT(*) AS buckets, count_if(n > cap) AS oversized_buckets, MAX(n) AS largest_bucket, CAST(SUM(CASE WHEN n BETWEEN 2 AND cap THEN n * (n - 1) / 2 ELSE 0 END) AS BIGINT) AS pairs FROM k GROUP BY pass""",

@@ -13,27 +13,27 @@ from ..functions.normalise import content_tokens, latin, normal_text
 from ..functions.wordlists import ABBREVIATIONS
 from . import embedding, extraction, matching
 
-#: Words of a question that are read, and of its expansion; suggestions and their least likeness (fixed values).
-RAW_WORDS, ALL_WORDS, LIKE, SUGGESTIONS, VOCABULARY_LEAST = 6, 8, 0.78, 3, 5
+#: Suggestions and their least likeness (fixed values).
+LIKE, SUGGESTIONS, VOCABULARY_LEAST = 0.78, 3, 5
 
 
-def query_words(text: str) -> list[str]:
-    """Words of a search: Latin letters, capitals, abbreviations spelled out, the first of them."""
-    raw = re.sub(r"[^\w./-]+", " ", latin(text or "").upper()).split()[:RAW_WORDS]
-    return " ".join(ABBREVIATIONS.get(w, w) for w in raw).split()[:ALL_WORDS]
+def query_words(text: str, most: int | None = None) -> list[str]:
+    """Words of a search: Latin letters, capitals, abbreviations spelled out; all of them, or of the first ``most`` that were typed."""
+    raw = re.sub(r"[^\w./-]+", " ", latin(text or "").upper()).split()[:most]
+    return " ".join(ABBREVIATIONS.get(w, w) for w in raw).split()
 
 
 def starts_word(text: Column, word: str) -> Column:
     return F.concat(F.lit(" "), F.upper(text)).contains(f" {word}")
 
 
-def search(items: DataFrame, text: str = "", company: str | None = None, class_code: str | None = None) -> DataFrame:
+def search(items: DataFrame, text: str = "", company: str | None = None, class_code: str | None = None, most: int | None = None) -> DataFrame:
     """Rows whose text begins words with all words asked for, or whose code or part number begins with the question; filters that
     are not given let everything through. phrase_miss and code_miss (0 or 1), then length, order the result.
 
-    items: id, norm_text, legacy_code, mpn_norm, company, class_code.
+    items: id, norm_text, legacy_code, mpn_norm, company, class_code. most: words of the question that count, all unless given.
     """
-    words, bare = query_words(text), re.sub(r"[^A-Z0-9]", "", (text or "").upper())
+    words, bare = query_words(text, most), re.sub(r"[^A-Z0-9]", "", (text or "").upper())
     out = items
     if company is not None:
         out = out.where(F.col("company") == company)

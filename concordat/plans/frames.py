@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels, numbers
 from ..functions.normalise import normal_text
-from ..operators import graph
+from ..operators import blocking, graph
 from ..session import ship
 from ..streaming import incremental
 from .roles import with_roles
@@ -36,6 +36,27 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(items(spark, sf_dir).select(F.col("item").alias("id")), size_links(spark, sf_dir)).select(F.col("id").alias("item"), "component")
 
 
+KEYS = {"block_exact_key": ("class", "brand", "name"), "block_class_band": ("class", "size_mm"), "block_identity": ("class", "brand", "size_mm")}
+
+
+def key_pairs(spark: SparkSession, sf_dir: str, columns: tuple[str, ...]) -> DataFrame:
+    """All pairs of parts alike in the columns; a hot key is cut into blocks, and no key is left out."""
+    rows = items(spark, sf_dir).select(F.lit("key").alias("pass"), F.to_json(F.struct(*columns)).alias("key"), F.col("item").alias("id"))
+    return blocking.candidate_pairs(rows, None).select(F.col("a").alias("item_a"), F.col("b").alias("item_b"))
+
+
+def block_exact_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_pairs(spark, sf_dir, KEYS["block_exact_key"])
+
+
+def block_class_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_pairs(spark, sf_dir, KEYS["block_class_band"])
+
+
+def block_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_pairs(spark, sf_dir, KEYS["block_identity"])
+
+
 def refine_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = connected_components(spark, sf_dir).select("component", F.col("item").alias("id"))
     i = items(spark, sf_dir).select(F.col("item").alias("id"), "price").join(found, "id")
@@ -95,13 +116,14 @@ def ext_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (connected_components, refine_components, token_set_similarity, evidence_score, bloom_dice_overlap, normalize_text, parse_number, ext_sliding)}
+    return {f.__name__: f for f in (block_exact_key, block_class_band, block_identity, connected_components, refine_components, token_set_similarity, evidence_score, bloom_dice_overlap, normalize_text, parse_number, ext_sliding)}
 
 
 def oracle_sql():
     components = with_roles("""WITH RECURSIVE e AS (SELECT a.item AS x, b.item AS y FROM items a JOIN items b ON a.class = b.class AND a.brand = b.brand AND a.item <> b.item AND abs(a.size_mm - b.size_mm) <= 1),
         c AS (SELECT item AS x, item AS y FROM items UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x) SELECT x AS item, MIN(y) AS component FROM c GROUP BY x""")
-    return {
+    alike = lambda columns: with_roles(f"SELECT a.item AS item_a, b.item AS item_b FROM items a JOIN items b ON {' AND '.join(f'a.{c} = b.{c}' for c in columns)} AND a.item < b.item")
+    return {name: alike(columns) for name, columns in KEYS.items()} | {
         "connected_components": components.replace("WITH items AS", "WITH RECURSIVE items AS").replace(", RECURSIVE e AS", ", e AS"),
         "parse_number": """SELECT p_partkey, v AS value, CASE k WHEN 1 THEN v - 1.5E0 WHEN 4 THEN v - 0.5E0 ELSE v END AS low, CASE k WHEN 1 THEN v + 1.5E0 WHEN 4 THEN v + 0.5E0 ELSE v END AS high, CASE k WHEN 1 THEN 'range' WHEN 4 THEN 'tolerance' ELSE 'point' END AS kind
             FROM (SELECT p_partkey, p_size % 5 AS k, CASE p_size % 5 WHEN 0 THEN p_size + 0.5E0 WHEN 1 THEN (2 * p_size + 3) / 2.0E0 WHEN 2 THEN 1000.0E0 + p_size WHEN 3 THEN p_size / 4.0E0 ELSE CAST(p_size AS DOUBLE) END AS v FROM part)""",

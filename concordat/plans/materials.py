@@ -209,7 +209,7 @@ def signature_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).withColumn("legacy_code", F.concat(F.lit("L"), F.col("id")))
-    return search.page(search.search(rows, "vlv kitz", company="south"), 0, 25)[0].select("id", "norm_text", "phrase_miss", "code_miss")
+    return search.page(search.search(rows, "vlv kitz"), 0, 25)[0].select("id", "norm_text", "phrase_miss", "code_miss")
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'first' AS batch, c AS changes, 0 AS applied, h AS held, 0 AS skipped, a AS rolled_back, 0 AS drifted, 0 AS left_blocked FROM n UNION ALL SELECT 'second', c, 0, h, a, 0, 0, 0 FROM n""",
         "planted_traps": f"{truth} SELECT x.class_code AS kind, COUNT(*) AS traps, COUNT(*) AS refused, 1.0E0 AS precision FROM t x JOIN t y ON x.id = y.id - 8 WHERE x.signature <> y.signature GROUP BY x.class_code",
         "signature_recall": f"{truth}, p AS (SELECT COUNT(*) AS n FROM t x JOIN t y ON x.signature = y.signature AND x.id < y.id) SELECT n AS true_pairs, n AS found_pairs, 1.0E0 AS recall FROM p",
-        "search_page": f"{truth} SELECT id, norm_text, 1 AS phrase_miss, 1 AS code_miss FROM t WHERE id % 4 = 2 AND ' ' || norm_text LIKE '% VALVE%' AND ' ' || norm_text LIKE '% KITZ%' ORDER BY length(norm_text), id LIMIT 25",
+        "search_page": f"{truth} SELECT id, norm_text, 1 AS phrase_miss, 1 AS code_miss FROM t WHERE ' ' || norm_text LIKE '% VALVE%' AND ' ' || norm_text LIKE '% KITZ%' ORDER BY length(norm_text), id LIMIT 25",
         "knn_pairs": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL), u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
             p AS (SELECT a.id, b.id AS near, list_inner_product(a.e, b.e) AS c FROM u a JOIN u b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, near) AS k FROM p) SELECT least(id, near) AS a, greatest(id, near) AS b, round(MAX(c), 6) AS cosine FROM r WHERE k <= 10 GROUP BY 1, 2""",
     }
