@@ -171,6 +171,21 @@ def confident_refusals(scored: DataFrame, most: int = 5000) -> DataFrame:
     return scored.where("verdict = 'distinct'").orderBy(F.desc("score"), "a", "b").limit(most)
 
 
+def trimmed(scored: DataFrame, refusals: int = 5000) -> DataFrame:
+    """What a run stores of its pairs: those worth keeping, and the refusals of highest score as examples of what is not the same."""
+    rest = confident_refusals(scored, refusals).select("a", "b")
+    kept = worth_keeping(scored)
+    return kept.unionByName(scored.join(F.broadcast(rest), ["a", "b"], "left_semi").join(kept.select("a", "b"), ["a", "b"], "left_anti").select(scored.columns))
+
+
+def undecided(pairs: DataFrame, decided: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) that nobody has decided on, whichever way round the decision (a, b) names them."""
+    if decided is None:
+        return pairs
+    known = decided.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()
+    return pairs.join(known, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
+
+
 def adjudicate(scored: DataFrame) -> DataFrame:
     """(a, b, lean, reason): what the stored evidence speaks for, first that holds."""
     lean = F.when(F.col("verdict") == "conflict", "split").when(F.size("vetoed_by") > 0, "split").when(F.col("verdict") == "distinct", "split").when(F.col("thin"), "unsure").when(F.coalesce(F.col("agreement"), F.lit(0.0)) < 1, "unsure").otherwise("merge")

@@ -19,7 +19,7 @@ from ..functions import codes
 from ..functions.classes import SCHEMA, MaterialClass
 from ..functions.normalise import normalise_rows
 from ..operators import blocking, embedding, equivalence, extraction, graph, linkage, matching, refining, standardise
-from ..storage import exists, shared_folder, written
+from ..storage import drop, exists, shared_folder, written
 
 
 @dataclass
@@ -32,6 +32,7 @@ class Run:
     rules: list = field(default_factory=list)
     crossrefs: DataFrame | None = None
     frozen: DataFrame | None = None
+    decided: DataFrame | None = None  # (a, b) of reviewers' decisions, which no queue asks for again
     caps: dict | None = field(default_factory=lambda: blocking.CAPS)
     vectors: bool = False
     link: bool = False
@@ -103,8 +104,12 @@ def scored(run: Run) -> DataFrame:
     linked = None
     if run.link and not run.incremental and rows.limit(50).count() == 50:
         linked = linkage.predict(linkage.fit(rows), found.select("a", "b"), rows)
-    out = matching.score_pairs(found, rows, run.schema, linked)
-    return out if not run.incremental else kept_pairs(run).unionByName(out)
+    every = written(matching.score_pairs(found, rows, run.schema, linked), f"{run.folder}/scored_all")
+    run.tables["tally"] = written(every.groupBy("route", "verdict").agg(F.count("*").alias("pairs"), F.count_if(F.size("vetoed_by") > 0).alias("vetoed")), f"{run.folder}/tally")
+    kept = matching.trimmed(every if not run.incremental else kept_pairs(run).unionByName(every))
+    out = written(kept, f"{run.folder}/scored_kept")
+    drop(f"{run.folder}/scored_all")  # most pairs are refused and tell nothing; the tally counts them
+    return out
 
 
 def clusters(run: Run) -> DataFrame:
@@ -125,8 +130,9 @@ def related(run: Run) -> DataFrame:
 
 
 def queue(run: Run) -> DataFrame:
-    """(a, b, kind, assignee): grey pairs and conflicts, all sure duplicates, and the 500 surest of the vetoed pairs (a sample)."""
-    judged = run.tables["scored"]
+    """(a, b, kind, assignee): grey pairs and conflicts, all sure duplicates, and the 500 surest of the vetoed pairs (a sample); none
+    that has been decided."""
+    judged = matching.undecided(run.tables["scored"], run.decided)
     kind = F.when(F.col("verdict") == "conflict", "conflict").when(F.col("verdict") == "review", "grey").when(F.col("band") == "high", "high")
     open_tasks = judged.withColumn("kind", kind).where("kind is not null").select("a", "b", "kind")
     low = judged.where("size(vetoed_by) > 0 and verdict = 'distinct'").orderBy(F.desc("score"), "a", "b").limit(500).select("a", "b", F.lit("low sample").alias("kind"))
