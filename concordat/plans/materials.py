@@ -187,13 +187,13 @@ def change_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one class whose identity differs, by class: how many clusters keep apart though each of them is linked."""
+    """Pairs of one class whose identity differs, by class: how many clusters keep apart though all rows of a class are linked in a row."""
     rows = stored(spark, sf_dir)
     known = rows.select("id", "class_code", extraction.identity_signature(F.col("class_code"), F.col("attrs")).alias("s"))
     a, b = known.select(F.col("id").alias("a"), F.col("class_code").alias("kind"), F.col("s").alias("sa")), known.select((F.col("id") - 8).alias("a"), F.col("id").alias("b"), F.col("s").alias("sb"))
-    traps = a.join(b, "a").where("sa <> sb").select("a", "b", "kind", F.lit("distinct").alias("expected"))
-    traps = written(traps, shared_folder(spark, "traps"))
-    links = traps.select("a", "b")  # as if every trap were a duplicate
+    pairs = written(a.join(b, "a"), shared_folder(spark, "neighbours"))
+    traps = pairs.where("sa <> sb").select("a", "b", "kind", F.lit("distinct").alias("expected"))
+    links = pairs.select("a", "b")  # as if all neighbours of a class were duplicates
     found = refining.refine_items(graph.connected_components(rows.select("id"), links), rows, links)
     return learning.veto_metrics(traps, graph.clusters_of(found))
 
