@@ -229,7 +229,7 @@ def test_kernels_by_definition():
 def test_neighbours_and_passages(spark, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(embedding, "BLOCK", 16)
+    monkeypatch.setattr(embedding.neighbours, "BLOCK", 16)
     x = np.random.default_rng(0).normal(size=(90, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, "c" if i % 3 else "d", v) for i, v in enumerate(x.tolist())], "id long, class_code string, vector array<double>")
