@@ -38,10 +38,10 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import frames, materials
+    from . import frames, materials, pairs
 
     out = {name: (lambda spark, sf_dir, sql=pair[0]: run_sql(spark, sf_dir, sql)) for name, pair in statements().items()}
-    return out | frames.queries() | materials.queries()
+    return out | frames.queries() | pairs.queries() | materials.queries()
 
 
 def oracle_sql() -> dict[str, str]:

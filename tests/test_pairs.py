@@ -4,7 +4,11 @@ import io
 from contextlib import redirect_stdout
 from itertools import combinations
 
+import duckdb
+import pytest
+
 from concordat.operators import blocking
+from concordat.plans import catalog, pairs
 
 
 def plan_of(df):
@@ -49,3 +53,29 @@ def test_gains_equal_pairs(spark):
                 want[k + 1] = want.get(k + 1, 0) + 1
                 break
     assert {r["pass"]: r["gained"] for r in blocking.gains(rows, passes).collect()} == want
+
+
+@pytest.mark.parametrize("name", sorted(pairs.queries()))
+def test_queries_on_pairs_stay_in_their_tasks(spark, small, name):
+    """What is shuffled is rows and counts: below the meeting of groups by blocks of keys nothing is exchanged but what an aggregate has counted."""
+    tree = plan_of(pairs.queries()[name](spark, small)).split("Physical Plan")[1].split("\n\n\n")[0]
+    above = tree[: tree.index("SortMergeJoin")] if "SortMergeJoin" in tree else ""
+    for k, line in enumerate(lines := above.splitlines()):
+        if "Exchange" in line and "Broadcast" not in line:
+            assert "HashAggregate" in lines[k + 1] or "ObjectHashAggregate" in lines[k + 1]
+    assert ("SortMergeJoin" in tree) == (name != "blocking_pass_gain") and "BroadcastHashJoin" not in tree
+
+
+def test_copies_of_parts_and_missing_makers(spark, tmp_path):
+    rows = [(i, f"n{i % 2}", None if i % 5 == 0 else f"b{i % 3}", "t", i % 4, float(i % 4)) for i in range(30)]
+    df = spark.createDataFrame([*rows, *((i + 30, *r) for i, *r in rows)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    df.coalesce(1).write.parquet(str(tmp_path / "part"))
+    file = next((tmp_path / "part").glob("*.parquet"))
+    file.rename(tmp_path / "part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    for name in ("auto_issue_gate", "queue_facets", "blocking_pass_gain", "blocking_recall", "adjudicate_pairs", "trap_accuracy"):
+        found = catalog.queries()[name](spark, str(tmp_path))
+        cur = con.execute(catalog.oracle_sql()[name])
+        order = [found.columns.index(c[0]) for c in cur.description]
+        assert sorted((repr(tuple(r[k] for k in order)) for r in found.collect())) == sorted(map(repr, cur.fetchall())), name
