@@ -88,3 +88,11 @@ def test_serials_beyond_six_digits_have_no_code(spark, tmp_path):
     want = duckdb.connect().execute(catalog.oracle_sql()["damm_check"].replace("FROM part", f"FROM '{tmp_path}/part.parquet'")).fetchall()
     got = [tuple(r) for r in catalog.queries()["damm_check"](spark, str(tmp_path)).select("p_partkey", "code", "valid").collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(valid for _, _, valid in got) == 3
+
+
+def test_recall_of_groups_equals_recall_of_pairs(spark):
+    truth = spark.createDataFrame([(f"g{i % 3}", i) for i in range(30)], "group string, id long")
+    rows = spark.createDataFrame([(p, f"{i % n}", i) for i in range(28) for p, n in (("class_band", 5), ("identity", 4))], "pass string, key string, id long")
+    pairs_of = truth.withColumnRenamed("id", "a").join(truth.withColumnRenamed("id", "b"), "group").where("a < b")
+    want = blocking.recall(pairs_of, blocking.candidate_pairs(rows, None)).first()
+    assert blocking.recall_of_groups(truth, rows).first() == want and 0 < want["recall"] < 1
