@@ -19,7 +19,7 @@ from ..functions import codes
 from ..functions.classes import SCHEMA, MaterialClass
 from ..functions.normalise import normalise_rows
 from ..operators import blocking, embedding, equivalence, extraction, graph, linkage, matching, refining, standardise
-from ..storage import drop, exists, shared_folder, written
+from ..storage import drop, exists, once, shared_folder, written
 
 
 @dataclass
@@ -51,8 +51,8 @@ def items(run: Run) -> DataFrame:
     if run.incremental:  # rows that are new, or say something else than before
         seen = run.earlier["items"].select("id", row_hash(run).alias("_h"))
         new = run.raw.withColumn("_h", row_hash(run)).join(seen, ["id", "_h"], "left_anti").drop("_h")
-    norm = normalise_rows(new, house=run.house)
-    read = extraction.extract_rows(norm, schema=run.schema).withColumn("mpn_norm", codes.part_number("mpn")).withColumn("fresh", F.lit(True))
+    own = ["description", "uom", *(["company"] if run.house is not None else [])]  # what a text's reading depends on
+    read = once(new, own, lambda texts: extraction.extract_rows(normalise_rows(texts, house=run.house), schema=run.schema).withColumn("mpn_norm", codes.part_number("mpn"))).withColumn("fresh", F.lit(True))
     if not run.incremental:
         return read
     read = written(read, f"{run.folder}/fresh_items")
