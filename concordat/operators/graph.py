@@ -19,16 +19,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Only edges are rewritten. A round hangs every larger neighbour of a node on its least one, then every smaller one; the
     rounds end when the edges stay as they are, however many that takes (their number grows with the logarithm of the longest
-    path). Each round is written to the shared folder and the one before it removed.
+    path). Each round is written to the shared folder and the one before it removed. Nothing is broadcast: rounds are small in a file, not
+    as a task holds them.
     """
     folder = shared_folder(nodes.sparkSession, "components")
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
     k, before = 0, None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hung = both.join(least_neighbours(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        hung = both.join(least_neighbours(both).hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = hung.groupBy("a").agg(F.min("b").alias("m"))
-        small = hung.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = hung.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         k += 1
         e = written(small.where("a <> b").distinct(), f"{folder}/{k}")
         drop(f"{folder}/{k - 1}")
@@ -36,7 +37,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return nodes.join(e.select(F.col("a").alias("id"), F.col("b").alias("_root")), "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
+    return nodes.join(e.select(F.col("a").alias("id"), F.col("b").alias("_root")).hint("merge"), "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
 
 
 def refine(members: DataFrame, refusals: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -80,7 +81,7 @@ def refine(members: DataFrame, refusals: DataFrame, links: DataFrame | None = No
 def clusters_of(parts: DataFrame) -> DataFrame:
     """(id, cluster): a part's cluster is its least member."""
     heads = parts.groupBy("component", "part").agg(F.min("id").alias("cluster"))
-    return parts.join(heads, ["component", "part"]).select("id", "cluster")
+    return parts.join(heads.hint("merge"), ["component", "part"]).select("id", "cluster")
 
 
 def regroup(clusters: DataFrame, fresh: DataFrame, frozen: DataFrame) -> DataFrame:

@@ -139,8 +139,8 @@ def refine_items(members: DataFrame, items: DataFrame, links: DataFrame | None,
     sized = members.groupBy("component").agg(F.count("*").alias("n")).where("n >= 3").select("component")
     brand = F.nullif(F.try_element_at("attrs", F.lit("brand")), F.lit(""))
     own = items.select("id", F.coalesce("class_code", F.lit(UNCLASSIFIED)).alias("class_code"), brand.alias("brand"), values(F.col("class_code"), F.col("attrs"), schema).alias("values"))
-    ranked = ranked if links is None else ranked.join(degrees(links), "id", "left")
-    known = ranked.join(sized, "component", "left_semi").join(own, "id", "left")
+    ranked = ranked if links is None else ranked.join(degrees(links).hint("merge"), "id", "left")
+    known = ranked.join(sized.hint("merge"), "component", "left_semi").join(own.hint("merge"), "id", "left")
     known = known.withColumn("order", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), "id")).withColumn("profile", F.to_json(F.struct("class_code", "brand", "values")))
     folded = known.groupBy("component", "profile").agg(F.first("class_code").alias("class_code"), F.first("brand").alias("brand"), F.first("values").alias("values"), F.min("order").alias("order"))
     several = folded.groupBy("component").agg(F.count("*").alias("profiles")).where("profiles > 1").select("component")
@@ -157,7 +157,7 @@ def refine_items(members: DataFrame, items: DataFrame, links: DataFrame | None,
                 out.append(parts.place(class_code or UNCLASSIFIED, brand or None, listed))
             yield pd.DataFrame({"component": rows["component"], "profile": rows["profile"], "part": out})
 
-    dealt = folded.join(several, "component", "left_semi").repartition("component").sortWithinPartitions("component", "order.d", "order.id")
+    dealt = folded.join(several.hint("merge"), "component", "left_semi").repartition("component").sortWithinPartitions("component", "order.d", "order.id")
     placed = dealt.select("component", "profile", "class_code", "brand", "values").mapInPandas(place, kind)
-    torn = known.select("component", "id", "profile").join(placed, ["component", "profile"]).select("component", "id", "part")
-    return members.join(torn, ["component", "id"], "left").select("component", "id", F.coalesce("part", F.lit(0)).alias("part"))
+    torn = known.select("component", "id", "profile").join(placed.hint("merge"), ["component", "profile"]).select("component", "id", "part")
+    return members.join(torn.hint("merge"), ["component", "id"], "left").select("component", "id", F.coalesce("part", F.lit(0)).alias("part"))
