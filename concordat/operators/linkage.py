@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
-from . import extraction, matching
+from ..storage import shared_folder, written
+from . import blocking, extraction, matching
 
 #: Exact comparisons and the similarity steps of texts (fixed values), the share of true pairs that the part-number rule finds, the
 #: pairs drawn for chance agreement, the probability a prediction needs, rounds of the maximisation, the step that ends it.
@@ -32,12 +33,21 @@ class Model:
         return float(np.log2(self.m[name][level] / self.u[name][level]))
 
 
-def rule_pairs(items: DataFrame) -> DataFrame:
-    """(a, b) that agree on the part number, on the text, or on class and blocking value."""
+def folded(items: DataFrame) -> blocking.Copies:
+    """Items alike in all that is compared, and in what the rules block on."""
+    return blocking.Copies(items, ["mpn_norm", "gtin", "class_code", "attrs", "norm_text", "norm_hash"])
+
+
+def rule_keys(items: DataFrame) -> DataFrame:
+    """(pass, key, id): part number, text, class and blocking value."""
     band = F.concat("class_code", F.lit("|"), extraction.block_value(F.col("class_code"), F.col("attrs")))
-    keys = items.select("id", F.explode(F.array(F.concat(F.lit("m|"), "mpn_norm"), F.concat(F.lit("t|"), "norm_hash"), F.concat(F.lit("b|"), band))).alias("key")).where("key is not null")
-    left, right = keys.select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"))
-    return left.join(right, "key").where("a < b").select("a", "b").distinct()
+    keys = F.array(*(F.struct(F.lit(p).alias("pass"), k.alias("key")) for p, k in (("mpn", F.col("mpn_norm")), ("text", F.col("norm_hash")), ("class_band", band))))
+    return items.select("id", F.explode(keys).alias("k")).select("k.pass", "k.key", "id").where("key is not null")
+
+
+def rule_pairs(items: DataFrame) -> DataFrame:
+    """(a, b) that agree on the part number, on the text, or on class and blocking value: each once, keys of any size in blocks."""
+    return blocking.candidate_pairs(rule_keys(items), None).select("a", "b")
 
 
 def levels(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -59,8 +69,8 @@ COMPARED = (*EXACT, "text")
 
 
 def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct level combinations and how many pairs have each."""
-    got = rows.groupBy(*COMPARED).agg(F.count("*").alias("n")).collect()  # at most 3^4 * 6 rows
+    """Distinct level combinations and how many pairs have each; a row stands for n pairs."""
+    got = rows.groupBy(*COMPARED).agg(F.sum("n").alias("n")).collect()  # at most 3^4 * 6 rows
     return np.asarray([[r[c] for c in COMPARED] for r in got], int).reshape(-1, len(COMPARED)), np.asarray([r["n"] for r in got], float)
 
 
@@ -70,21 +80,37 @@ def shares(combos: np.ndarray, n: np.ndarray, k: int, size: int) -> np.ndarray:
     return out / out.sum()
 
 
-def fit(items: DataFrame) -> Model:
-    """Chance agreement from random pairs, then maximisation over the pairs of rule_pairs().
+def weighed(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """levels() of pairs (a, b, n) of heads, beside n."""
+    pairs = written(pairs.select("a", "b", "n"), shared_folder(heads.sparkSession, "weighed"))
+    return levels(pairs, heads).join(pairs.hint("merge"), ["a", "b"])
+
+
+def fit(items: DataFrame, copies: blocking.Copies | None = None) -> Model:
+    """Chance agreement from random pairs, then maximisation over the pairs of rule_pairs(). Pairs of copies are compared once and
+    counted as often as they occur; copies: folded() items, if they are known.
 
-    Random pairs are drawn by hash: each row meets the next ones in the order of a hash, DRAWN pairs in all (a bounded sample).
+    Random pairs are drawn by hash: each row meets the next ones in the order of a hash, DRAWN pairs in all, or one a row.
     """
+    copies = copies or folded(items)
+    heads, spark = copies.heads, items.sparkSession
+    stands = written(copies.members.unionByName(heads.select(F.col("id").alias("head"), "id")), shared_folder(spark, "stands"))
     total = items.count()
     near = max(1, min(20, round(DRAWN / max(total, 1))))
     drawn = items.select("id", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(max(1, total // 4096))).alias("bin")).withColumn("h", F.xxhash64("id", F.lit(7)))
     w = Window.partitionBy("bin").orderBy("h", "id")
     chance = drawn.select("id", F.array(*(F.lead("id", k).over(w) for k in range(1, near + 1))).alias("next")).select("id", F.explode("next").alias("b")).where("b is not null").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-    combos, n = counted(levels(chance, items))
+    for side in ("a", "b"):
+        chance = chance.join(stands.select(F.col("id").alias(side), F.col("head").alias(f"_{side}")).hint("merge"), side)
+    chance = chance.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.count("*").alias("n"))
+    combos, n = counted(weighed(chance, heads))
     u = {c: (shares(combos, n, k, depth(c)) if len(n) else np.full(depth(c), 1 / depth(c))) for k, c in enumerate(COMPARED)}
 
-    pairs = rule_pairs(items)
-    combos, n = counted(levels(pairs, items))
+    times = lambda s: heads.select(F.col("id").alias(s), F.col("copies").alias(f"n{s}")).hint("merge")
+    unlike = rule_pairs(heads).join(times("a"), "a").join(times("b"), "b").select("a", "b", F.expr("na * nb").alias("n"))
+    met = rule_keys(heads).select("id").distinct().hint("merge")
+    alike = heads.where("copies > 1").join(met, "id", "left_semi").select(F.col("id").alias("a"), F.col("id").alias("b"), F.expr("copies * (copies - 1) div 2").alias("n"))
+    combos, n = counted(weighed(unlike.unionByName(alike), heads))
     by_number = n[combos[:, 0] == 1].sum() if len(n) else 0.0
     all_pairs = max(total * (total - 1) / 2, 1.0)
     prior = float(min(0.5, max(by_number / RULE_RECALL, 1.0) / all_pairs))
