@@ -135,11 +135,16 @@ def refine_items(members: DataFrame, items: DataFrame, links: DataFrame | None,
     may then differ between components. Ids and components of any type; members without an item refuse nobody, repeated members count once.
     """
     ranked = members.select("component", "id", *(["degree"] if links is None else [])).distinct()
-    members = ranked.select("component", "id")
-    sized = members.groupBy("component").agg(F.count("*").alias("n")).where("n >= 3").select("component")
     brand = F.nullif(F.try_element_at("attrs", F.lit("brand")), F.lit(""))
     own = items.select("id", F.coalesce("class_code", F.lit(UNCLASSIFIED)).alias("class_code"), brand.alias("brand"), values(F.col("class_code"), F.col("attrs"), schema).alias("values"))
     ranked = ranked if links is None else ranked.join(degrees(links).hint("merge"), "id", "left")
+    return refine_profiles(ranked, own)
+
+
+def refine_profiles(ranked: DataFrame, own: DataFrame) -> DataFrame:
+    """refine_items() of members (component, id, degree) by profiles (id, class_code, brand, values) that are known: VALUE tells what values hold."""
+    members = ranked.select("component", "id")
+    sized = members.groupBy("component").agg(F.count("*").alias("n")).where("n >= 3").select("component")
     known = ranked.join(sized.hint("merge"), "component", "left_semi").join(own.hint("merge"), "id", "left")
     known = known.withColumn("order", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), "id")).withColumn("profile", F.to_json(F.struct("class_code", "brand", "values")))
     folded = known.groupBy("component", "profile").agg(F.first("class_code").alias("class_code"), F.first("brand").alias("brand"), F.first("values").alias("values"), F.min("order").alias("order"))
