@@ -66,3 +66,16 @@ def test_prices_split_as_refused_pairs_do(spark):
     no = [(a % 2, a, b) for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2 and price[a] and price[b] and abs(price[a] - price[b]) > 0.5 * max(price[a], price[b])]
     want = {r["id"]: r["part"] for r in graph.refine(members, spark.createDataFrame(no, "component long, a long, b long")).collect()}
     assert {r["id"]: r["part"] for r in frames.split_by_price(members, prices).collect()} == want and max(want.values()) > 0
+
+
+def test_copies_of_parts_are_not_expanded(spark, small, tmp_path):
+    from concordat.plans import pairs
+
+    part = spark.read.parquet(f"{small}/part.parquet").where("p_partkey < 600")
+    part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 600)).unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 1200)).write.parquet(str(tmp_path / "part.parquet"))
+    part.write.parquet(str(tmp_path / "one" / "part.parquet"))
+    row = lambda r: (r["item_a"], r["item_b"], r["verdict"], r["band"])
+    one = {row(r) for r in pairs.score_pairs(spark, str(tmp_path / "one")).collect()}
+    got = pairs.score_pairs(spark, str(tmp_path)).collect()
+    assert {row(r) for r in got if not r["copy"]} == one and one
+    assert {r["item_b"]: r["item_a"] for r in got if r["copy"]} == {k: k % 600 for k in range(600, 1800)} and len(got) == len(one) + 1200
