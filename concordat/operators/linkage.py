@@ -35,7 +35,7 @@ class Model:
 
 def folded(items: DataFrame) -> blocking.Copies:
     """Items alike in all that is compared, and in what the rules block on."""
-    return blocking.Copies(items, ["mpn_norm", "gtin", "class_code", "attrs", "norm_text", "norm_hash"])
+    return blocking.Copies(items, ["mpn_norm", "gtin", "class_code", "attrs", "norm_text", "norm_hash", *(["brand"] if "brand" in items.columns else [])])
 
 
 def rule_keys(items: DataFrame) -> DataFrame:
