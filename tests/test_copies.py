@@ -79,3 +79,15 @@ def test_copies_of_parts_are_not_expanded(spark, small, tmp_path):
     got = pairs.score_pairs(spark, str(tmp_path)).collect()
     assert {row(r) for r in got if not r["copy"]} == one and one
     assert {r["item_b"]: r["item_a"] for r in got if r["copy"]} == {k: k % 600 for k in range(600, 1800)} and len(got) == len(one) + 1200
+
+
+def test_no_pair_of_unlike_parts_is_written(spark, small, monkeypatch):
+    """Pairs may be far more than parts: only the parts that stand for copies are written."""
+    from concordat.plans import pairs
+
+    made = []
+    real = blocking.written
+    monkeypatch.setattr(blocking, "written", lambda df, folder: (made.append(df.columns), real(df, folder))[1])
+    for query in (pairs.score_pairs, pairs.evidence_score):
+        assert query(spark, small).where("not copy").count() > 0
+    assert made == [["id", "class", "name", *pairs.COLUMNS, "last", "copies"]] * 2
