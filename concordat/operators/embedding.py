@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import let
-from ..storage import shared_folder, written
+from ..storage import shared_folder, tasks, written
 from . import neighbours
 from .neighbours import nearest_in_class  # noqa: F401
 
 #: Character n-grams, least documents of a term, most terms, most dimensions.
 GRAMS, LEAST, TERMS, DIMS = (3, 5), 2, 200_000, 192
+#: Words whose idf every task knows when it bounds the lengths of documents; documents of a part.
+FREQUENT, PART_DOCS = 200_000, 4096
 
 
 def char_grams(text: Column, least: int = GRAMS[0], most: int = GRAMS[1]) -> Column:
@@ -65,11 +67,54 @@ def weighted(counts: DataFrame, vocabulary: DataFrame, sublinear: bool) -> DataF
 
 def top_documents(corpus: DataFrame, queries: DataFrame, k: int = 4, least: float = 0.02) -> DataFrame:
     """(query, rank, id, score): passages (id, text) nearest to each query (query, text) by the cosine of their word weights;
-    only passages that share a word meet a query."""
-    rows, vocabulary = weights(corpus.select("id", "text"), word_grams(F.col("text")))
-    asked = queries.select(F.col("query").alias("id"), F.explode(word_grams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    q = weighted(asked, vocabulary, False).select(F.col("id").alias("query"), "term", "weight")
-    return neighbours.top_by_terms(rows, q, k, least)
+    only passages that share a word meet a query. Exact up to 12 decimals, to which scores are rounded; ties to the smaller id.
+
+    A document's words never leave its part: texts are dealt to parts once, and what is shuffled besides is each part's vocabulary and few
+    rows a query and part. A document's length is bounded by the idf of the FREQUENT most frequent words, as all others lie between that
+    of the last of them and that of a single document; who can't reach the k-th best of a part, and then of all, by its bounds is left,
+    and the lengths of the others are computed from the whole vocabulary.
+    """
+    spark = corpus.sparkSession
+    folder = shared_folder(spark, "words")
+    n = corpus.count()
+    parts = max(tasks(spark), -(-n // PART_DOCS))
+    terms, idf = word_grams(F.col("text")), lambda df: F.log(F.lit(1.0 + n) / (1 + df)) + 1
+    docs = corpus.select("id", "text")
+    dealt = docs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    asked = queries.select("query", F.explode(word_grams(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("tf"))
+    asked = written(asked, f"{folder}/asked")
+    # what is missing in the vocabulary is a word of one document, or of none if it was asked for
+    df = docs.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = df.join(asked.select("term", F.lit(True).alias("asked")).distinct(), "term", "left").where("df > 1 or asked")
+    df = written(df.select("term", "df"), f"{folder}/vocabulary")
+    frequent = written(df.orderBy(F.desc("df"), "term").limit(FREQUENT), f"{folder}/frequent")
+    held = frequent.agg(F.count("*").alias("n"), F.min("df").alias("df")).first()
+    most = F.lit(held["df"] if held["n"] == FREQUENT else 1)
+    q = df.join(asked, "term").withColumn("w", F.col("tf") * idf(F.col("df")))
+    length = q.groupBy("query").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    q = written(q.join(length, "query").select("query", "term", (F.col("w") / F.col("length") * idf(F.col("df"))).alias("x")), f"{folder}/weights")
+
+    counted = dealt.select("part", "id", F.explode(terms).alias("term")).groupBy("part", "id", "term").agg(F.count("*").alias("tf"))
+    square = lambda other: F.pow(F.col("tf") * idf(F.coalesce("df", other)), 2)
+    own = Window.partitionBy("part", "id")
+    sized = counted.join(F.broadcast(frequent), "term", "left").select("part", "id", "term", "tf", F.sqrt(F.sum(square(most)).over(own)).alias("low"), F.sqrt(F.sum(square(F.lit(1))).over(own)).alias("high"))
+    met = sized.join(q, "term").groupBy("part", "query", "id", "low", "high").agg(F.sum(F.col("tf") * F.col("x")).alias("dot"))
+    bound = met.select("part", "query", "id", "dot", (F.col("dot") / F.col("high")).alias("sure"), (F.col("dot") / F.col("low") * (1 + 1e-9)).alias("can"))
+
+    def reaching(rows: DataFrame, *group: str) -> DataFrame:
+        """Rows that can reach the k-th sure score of their group."""
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("sure")))
+        floor = F.max(F.when(F.col("place") == k, F.col("sure"))).over(Window.partitionBy(*group))
+        return rows.withColumn("place", place).withColumn("floor", floor).where((F.col("can") >= least) & (F.col("floor").isNull() | (F.col("can") >= F.col("floor")))).drop("place", "floor")
+
+    near = written(reaching(bound, "part", "query"), f"{folder}/near")
+    near = written(reaching(near, "query").select("query", "id", "dot"), f"{folder}/nearest")
+    few = docs.join(near.select("id").distinct(), "id", "left_semi").select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    few = written(few, f"{folder}/few")
+    exact = few.join(df.join(few.select("term").distinct(), "term", "left_semi"), "term", "left").groupBy("id").agg(F.sqrt(F.sum(square(F.lit(1)))).alias("norm"))
+    total = near.join(exact, "id").select("query", "id", F.round(F.col("dot") / F.col("norm"), 12).alias("score")).where(F.col("score") > least)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return total.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
 @dataclass(frozen=True)

@@ -94,3 +94,30 @@ def test_top_documents(spark):
     q = spark.createDataFrame([(7, "gate valve flanged"), (8, "nothing known"), (9, "bearing")], "query long, text string")
     got = [(r["query"], r["rank"], r["id"]) for r in embedding.top_documents(docs, q).orderBy("query", "rank").collect()]
     assert got == [(7, 1, 3), (7, 2, 1), (9, 1, 2)]
+
+
+@pytest.mark.parametrize("frequent", [5, 100_000])
+def test_documents_are_found_by_bounds(spark, monkeypatch, frequent):
+    """Whatever number of words every task knows, the nearest documents are those of all words' weights; no row of a document and word is written."""
+    monkeypatch.setattr(embedding, "FREQUENT", frequent)
+    monkeypatch.setattr(embedding, "PART_DOCS", 20)
+    r = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{int(t)}" for t in r.zipf(1.4, n) if t < 3000)
+    docs = [(k, text(int(r.integers(0, 60)))) for k in range(300)]
+    docs += [(1000 + k, docs[k][1]) for k in range(40)] + [(2000, "")]
+    asked = [(k, docs[k][1]) for k in range(0, 300, 30)] + [(900, "w1 w2"), (901, "unknown words")]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "query long, text string")
+    made = []
+    real = embedding.written
+    monkeypatch.setattr(embedding, "written", lambda df, folder: (made.append(real(df, folder)), made[-1])[1])
+    got = {(x["query"], x["rank"]): (x["id"], round(x["score"], 9)) for x in embedding.top_documents(d, q).collect()}
+    assert frequent < 100 or not any({"id", "term"} <= set(t.columns) and t.select("id").distinct().count() > 150 for t in made)
+    rows, vocabulary = embedding.weights(d, embedding.word_grams(F.col("text")))
+    counts = q.select(F.col("query").alias("id"), F.explode(embedding.word_grams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    weighed = embedding.weighted(counts, vocabulary, False).select(F.col("id").alias("query"), F.col("term"), F.col("weight").alias("qw"))
+    s = rows.join(weighed, "term").groupBy("query", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("s")).where("s > 0.02").toPandas()
+    want = {}
+    for query, part in s.groupby("query"):
+        best = sorted((-round(v, 12), i) for i, v in zip(part["id"], part["s"], strict=True))[:4]
+        want |= {(query, k + 1): (i, round(-v, 9)) for k, (v, i) in enumerate(best)}
+    assert got == want and len(want) > 30
