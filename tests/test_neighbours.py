@@ -121,3 +121,24 @@ def test_documents_are_found_by_bounds(spark, monkeypatch, frequent):
         best = sorted((-round(v, 12), i) for i, v in zip(part["id"], part["s"], strict=True))[:4]
         want |= {(query, k + 1): (i, round(-v, 9)) for k, (v, i) in enumerate(best)}
     assert got == want and len(want) > 30
+
+
+def test_cosines_of_a_class_are_whole(spark, monkeypatch):
+    """A class of many blocks gives every pair once, and no task holds a class."""
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    monkeypatch.setattr(neighbours, "FEW", 7)
+    r = np.random.default_rng(5)
+    x = [v.tolist() for v in r.normal(size=(150, 8))]
+    x[4], x[9] = None, [1.0, None, *[0.5] * 6]
+    label = ["big" if i % 5 else "small" for i in range(150)]
+    label[17] = None
+    df = spark.createDataFrame([(i, label[i], x[i]) for i in range(150)], "id long, class_code string, vector array<float>").repartition(3)
+    got = {(v["a"], v["b"]): v["cosine"] for v in neighbours.cosines_in_class(df).collect()}
+    assert set(got) == {(a, b) for a in range(150) for b in range(a + 1, 150) if label[a] is not None and label[a] == label[b]}
+    assert neighbours.cosines_in_class(df).count() == len(got)
+    for (a, b), c in got.items():
+        if {a, b} & {4, 9}:
+            assert c is None
+        else:
+            p, q = (np.asarray(x[i], np.float32).astype(float) for i in (a, b))
+            assert abs(c - p @ q / np.linalg.norm(p) / np.linalg.norm(q)) < 1e-6
