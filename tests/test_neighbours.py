@@ -142,3 +142,14 @@ def test_cosines_of_a_class_are_whole(spark, monkeypatch):
         else:
             p, q = (np.asarray(x[i], np.float32).astype(float) for i in (a, b))
             assert abs(c - p @ q / np.linalg.norm(p) / np.linalg.norm(q)) < 1e-6
+
+
+def test_only_rows_that_ask_look_for_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "CELL", 25)
+    x = clustered(4, 400, 10, 1.0, 3)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(400), "class_code": "c", "vector": x.tolist()}))
+    got = neighbours.k_nearest(df, 5, F.col("id") % 50 == 0).toPandas()
+    want = brute(list(range(400)), ["c"] * 400, x, 5)
+    assert set(got["id"]) == set(range(0, 400, 50)) and len(got) == 40
+    assert all(np.allclose(sorted(-rows["cosine"]), want[i], atol=1e-9) for i, rows in got.groupby("id"))
