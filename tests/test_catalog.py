@@ -55,6 +55,13 @@ def test_kernels():
     assert kernels.transliterate("Ünï ﬁ") == "Uni fi"
 
 
+def test_similarity_of_pairs_that_come_again(spark):
+    texts = ["ball valve steel", "steel valve", "gate valve", "", None]
+    rows = [(a, b) for a in texts for b in texts] * 2
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", kernels.similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r["s"] for r in got] == [kernels.token_set_ratio(a, b) for a, b in rows]
+
+
 def test_evidence_score(spark, small):
     rows = [(1, 2, "ball valve steel", "steel valve ball", 3, 4, 0, False, False), (1, 3, "ball valve steel", "zzz", 3, 4, 0, False, False), (1, 4, "bolt", "bolt", 0, 0, 0, False, False), (1, 5, "bolt", "bolt", 4, 4, 1, False, True)]
     df = spark.createDataFrame(rows, "item_a long, item_b long, text_a string, text_b string, matched long, compared long, vetoes long, other_maker boolean, anchor boolean")
