@@ -153,3 +153,16 @@ def test_only_rows_that_ask_look_for_neighbours(spark, monkeypatch):
     want = brute(list(range(400)), ["c"] * 400, x, 5)
     assert set(got["id"]) == set(range(0, 400, 50)) and len(got) == 40
     assert all(np.allclose(sorted(-rows["cosine"]), want[i], atol=1e-9) for i, rows in got.groupby("id"))
+
+
+def test_every_row_has_its_neighbours_in_knn_pairs(spark, tmp_path):
+    from concordat.plans import materials
+
+    x = np.random.default_rng(6).normal(size=(70, 8)).astype(np.float32)
+    ids = [50 * k + 7 for k in range(70)]  # none is divisible by 50
+    spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = x / np.linalg.norm(x, axis=1)[:, None]
+    s = c @ c.T
+    np.fill_diagonal(s, -2)
+    want = {tuple(sorted((ids[i], ids[j]))) for i in range(70) for j in np.argsort(-s[i])[:10]}
+    assert {(r["a"], r["b"]) for r in materials.knn_pairs(spark, str(tmp_path)).collect()} == want
