@@ -33,6 +33,20 @@ def test_no_key_is_too_large_to_score(spark):
     assert len(got) == 1 + 2 * 299 and got[(0, 1)] == (False, "distinct") and sum(copy for copy, _ in got.values()) == 598
 
 
+def test_rows_without_a_band_meet_their_class(spark):
+    """A number, a text, or a class of rows that no band tells apart is enough for two rows to be scored."""
+    row = lambda k, code, attrs, text, mpn=None, gtin=None: (k, code, attrs, text, text, mpn, gtin)
+    valve = lambda nb: {"size_nb_mm": nb, "pressure_class": "150", "body_material": "WCB", "end_connection": "FLANGED"}
+    rows = [
+        row(1, "ppe.helmet", {"helmet_class": "A"}, "SAFETY HELMET CLASS A"), row(2, "ppe.helmet", {"helmet_class": "A"}, "HELMET CLASS A IS2925"), row(3, "ppe.helmet", {"helmet_class": "A"}, "SAFETY HELMET CLASS A"),
+        row(4, "valve.gate", valve("50"), "GATE VALVE 50NB"), row(5, "valve.gate", valve("80"), "GATE VALVE 80NB"), row(6, "valve.gate", {"body_material": "WCB"}, "VALVE WCB"),
+        row(7, "pipe.seamless", {"nps_mm": "25"}, "PIPE 25NB", "P1"), row(8, "pipe.seamless", {"nps_mm": "50"}, "PIPE 50NB", "P1"), row(9, "unclassified", {}, "ITEM", None, "G1"), row(10, "unclassified", {}, "THING", None, "G1"), row(11, "unclassified", {}, "OTHER"),
+    ]
+    copies, _, scored = materials.folded_scores(spark.createDataFrame(rows, KIND))
+    got = {(r["a"], r["b"]): r["verdict"] for r in copies.unfolded(scored).collect()}
+    assert set(got) == {(1, 2), (1, 3), (4, 6), (5, 6), (7, 8), (9, 10)} and got[1, 3] == "review" and got[9, 10] == "duplicate"
+
+
 def test_model_counts_every_pair_of_copies(spark):
     rows = valves(spark, 40)
     pairs = linkage.rule_pairs(rows)
