@@ -125,13 +125,9 @@ def probe(items: DataFrame, description: str, vector: list[float] | None = None,
 
 
 def retrieve(golden: DataFrame, question: str, most: int = 5, least: float = 0.55) -> DataFrame:
-    """(cluster, std_description, likeness): golden records most like a question by the token-set ratio; records that share no word
-    with it are not compared."""
-    words = query_words(question)
-    asked = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    near = golden.where(F.arrays_overlap(F.split(F.upper(F.regexp_replace("std_description", ",", " ")), r"\s+"), asked))
-    like = kernels.similarity(F.lit(" ".join(words)), F.upper(F.regexp_replace("std_description", ",", " ")))
-    return near.select("cluster", "std_description", like.alias("likeness")).where(F.col("likeness") >= least).orderBy(F.desc("likeness"), "cluster").limit(most)
+    """(cluster, std_description, likeness): golden records most like a question by the token-set ratio, all of them compared."""
+    like = kernels.similarity(F.lit(" ".join(query_words(question))), F.upper(F.regexp_replace("std_description", ",", " ")))
+    return golden.select("cluster", "std_description", like.alias("likeness")).where(F.col("likeness") >= least).orderBy(F.desc("likeness"), "cluster").limit(most)
 
 
 def passages(corpus: DataFrame, question: str, most: int = 4, least: float = 0.02) -> DataFrame:

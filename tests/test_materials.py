@@ -465,6 +465,12 @@ def test_markings_are_mended(spark):
         assert one(spark, text, normalise.repaired("t", vocabulary)) == want, text
 
 
+def test_records_that_share_no_word_are_retrieved(spark):
+    golden = spark.createDataFrame([(1, "VALVE"), (2, "PIPE, SEAMLESS"), (3, "VALVES, GATE"), (4, None)], "cluster long, std_description string")
+    got = [(r["cluster"], r["likeness"]) for r in search.retrieve(golden, "valves").collect()]
+    assert got == [(3, 1.0), (1, pytest.approx(10 / 11))]
+
+
 def test_similarity_queries(spark, small):
     """Queries without SQL against the functions they apply, over their whole result."""
     from concordat.plans import catalog, frames
