@@ -471,6 +471,15 @@ def test_records_that_share_no_word_are_retrieved(spark):
     assert got == [(3, 1.0), (1, pytest.approx(10 / 11))]
 
 
+def test_filters_leave_with_their_bits(spark):
+    from concordat.plans import materials
+
+    rows = {r["id"]: r for r in materials.bloom_encode(spark, "/root/testdata/sf0.001").collect()}
+    texts = {r["id"]: r["norm_text"] for r in materials.normal(spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == set(texts) and len({r["alias"] for r in rows.values()}) == len(rows)
+    assert all(r["bits"] == kernels.bloom_positions(texts[k].split(" "), b"shared key") and r["ones"] == len(r["bits"]) for k, r in rows.items())
+
+
 def test_similarity_queries(spark, small):
     """Queries without SQL against the functions they apply, over their whole result."""
     from concordat.plans import catalog, frames
