@@ -117,6 +117,41 @@ def test_evidence_of_odd_parts(spark, tmp_path):
     assert sorted(map(repr, got)) == want and len(want) == pairs.score_pairs(spark, str(tmp_path)).count()
 
 
+def test_ratios_of_blocks_equal_those_of_pairs(monkeypatch):
+    """All texts of a block at once, a few rows at a time, give what two texts alone give, to the last bit."""
+    from random import Random
+
+    from concordat.functions import kernels
+
+    r = Random(1)
+    words = ["a", "bb", "Brand#1", "Brand#22", "SIZE", "1", "12", "é\U0001f600x", "zz" * 40, "qz" * 35, "large", "ring", *(f"w{k}" for k in range(90))]
+    texts = [None, "", "  ", *("  ".join(r.choice(words[: r.choice((12, 102))]) for _ in range(r.randint(1, 8))) for _ in range(60))]
+    want = [[kernels.token_set_ratio(a, b) for b in texts] for a in texts]
+    for at_once in (1, 500, 1 << 17):
+        monkeypatch.setattr(kernels, "AT_ONCE", at_once)
+        assert [row.tolist() for few in kernels.token_set_ratios(texts, texts) for row in few] == want
+        lo = 0
+        for few in kernels.token_set_ratios(texts, texts, half=True):
+            assert few.tolist() == [row[lo:] for row in want[lo : lo + len(few)]]
+            lo += len(few)
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_similarity_is_computed_once_for_a_block(spark, small, tmp_path, monkeypatch, block):
+    """No text is handed to a task pair by pair, and every pair is there once."""
+    from concordat.functions import kernels
+    from concordat.plans import frames
+
+    monkeypatch.setattr(blocking, "BLOCK", block)
+    odd_parts(spark, tmp_path)
+    found = pairs.token_set_similarity(spark, str(tmp_path))
+    assert "ArrowEvalPython" not in plan_of(found)
+    rows = [r for r in frames.items(spark, str(tmp_path)).collect() if r["class"] is not None and r["name"] is not None]
+    want = {(min(a["item"], b["item"]), max(a["item"], b["item"])): kernels.token_set_ratio(a["description"], b["description"]) for a, b in combinations(rows, 2) if (a["class"], a["name"]) == (b["class"], b["name"])}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+
+
 def test_serials_beyond_six_digits_have_no_code(spark, tmp_path):
     df = spark.createDataFrame([(k,) for k in (0, 7, 999_999, 1_000_000, 1_234_567, -5, None)], "p_partkey long")
     df.coalesce(1).write.parquet(str(tmp_path / "part"))
