@@ -152,6 +152,14 @@ def test_similarity_is_computed_once_for_a_block(spark, small, tmp_path, monkeyp
     assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
 
 
+def test_vetoes_are_counted_without_pairs(spark, tmp_path):
+    odd_parts(spark, tmp_path)
+    found = pairs.veto_attribute_counts(spark, str(tmp_path))
+    assert "ids_a" not in plan_of(found)
+    want = duckdb.connect().execute(catalog.oracle_sql()["veto_attribute_counts"].replace("FROM part", f"FROM '{tmp_path}/part.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in found.select("attr", "pairs").collect()) == sorted(want) and len(want) == 2
+
+
 def test_serials_beyond_six_digits_have_no_code(spark, tmp_path):
     df = spark.createDataFrame([(k,) for k in (0, 7, 999_999, 1_000_000, 1_234_567, -5, None)], "p_partkey long")
     df.coalesce(1).write.parquet(str(tmp_path / "part"))
