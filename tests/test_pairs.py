@@ -160,6 +160,26 @@ def test_vetoes_are_counted_without_pairs(spark, tmp_path):
     assert sorted(tuple(r) for r in found.select("attr", "pairs").collect()) == sorted(want) and len(want) == 2
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_private_catalogues_meet_whole(spark, tmp_path, monkeypatch, block):
+    """Parts of other names and classes too, where their filters are alike."""
+    from concordat.functions import kernels
+    from concordat.plans import frames
+
+    monkeypatch.setattr(blocking, "BLOCK", block)
+    monkeypatch.setattr(kernels, "AT_ONCE", 7 if block == 3 else 1 << 17)
+    rows = [(k, f"{'large small hot'.split()[k % 3]} {'ring bolt'.split()[k // 3 % 2]}", f"Brand#{k % 5}", f"T{k % 4}", k % 7, 1.0) for k in range(-20, 60)]
+    rows += [(k + 100, *r) for k, *r in rows[:30]] + [(500, "lone", None, None, None, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    bits = {r["item"]: set(kernels.bloom_positions(r["description"].split(" "), b"shared key")) for r in frames.items(spark, str(tmp_path)).collect()}
+    want = {(a, b): 2 * len(bits[a] & bits[b]) / (len(bits[a]) + len(bits[b])) for a in bits if a % 2 == 0 for b in bits if b % 2}
+    want = {k: v for k, v in want.items() if v >= 0.75}
+    got = [tuple(r) for r in pairs.bloom_dice_overlap(spark, str(tmp_path)).collect()]
+    key = {k: r for k, *r in rows}
+    assert len(got) == len(want) and {(a, b): d for a, b, d in got} == want
+    assert any(key[a][0] != key[b][0] for a, b in want) and any(key[a][2] != key[b][2] for a, b in want)
+
+
 def test_serials_beyond_six_digits_have_no_code(spark, tmp_path):
     df = spark.createDataFrame([(k,) for k in (0, 7, 999_999, 1_000_000, 1_234_567, -5, None)], "p_partkey long")
     df.coalesce(1).write.parquet(str(tmp_path / "part"))
