@@ -144,6 +144,15 @@ def test_cosines_of_a_class_are_whole(spark, monkeypatch):
             assert abs(c - p @ q / np.linalg.norm(p) / np.linalg.norm(q)) < 1e-6
 
 
+def test_vectors_are_sent_to_few_blocks(spark, monkeypatch):
+    """The blocks that a row is sent to grow with the root of its class: 1000 rows, that is 100 times BLOCK, have 10 and not 100."""
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    df = spark.range(1000).selectExpr("id", "'c' as class_code", "array(cast(1 as float), cast(id as float)) as vector")
+    assert neighbours.cosines_in_class(df).count() == 1000 * 999 // 2
+    blocks = spark.range(1000).groupBy().agg(neighbours.blocks_of().alias("blocks")).first()["blocks"]
+    assert blocks == 10
+
+
 def test_only_rows_that_ask_look_for_neighbours(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 40)
     monkeypatch.setattr(neighbours, "CELL", 25)
