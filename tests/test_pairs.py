@@ -152,6 +152,27 @@ def test_similarity_is_computed_once_for_a_block(spark, small, tmp_path, monkeyp
     assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_jaccard_of_blocks(spark, tmp_path, monkeypatch, block):
+    """The words of two parts are not compared pair by pair, and every pair of a class and maker is there once."""
+    from concordat.plans import frames
+
+    monkeypatch.setattr(blocking, "BLOCK", block)
+    odd_parts(spark, tmp_path)
+    found = pairs.token_jaccard(spark, str(tmp_path))
+    assert "array_intersect" not in plan_of(found)
+    rows = [(r["item"], (r["class"], r["brand"]), set(r["description"].split(" "))) for r in frames.items(spark, str(tmp_path)).collect() if r["class"] is not None and r["brand"] is not None]
+    want = {(min(a, b), max(a, b)): len(x & y) / len(x | y) for (a, k, x), (b, m, y) in combinations(rows, 2) if k == m}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+
+
+@pytest.mark.parametrize("n", [1_024, 16_384, 102_400])
+def test_rows_sent_grow_with_the_root(spark, n):
+    """Of one key: the blocks that a row is sent to."""
+    assert blocking.sizes(spark.range(n).selectExpr("1 as k", "id"), ["k"], "id").first()["blocks"] == round((n / 1024) ** 0.5)
+
+
 def test_vetoes_are_counted_without_pairs(spark, tmp_path):
     odd_parts(spark, tmp_path)
     found = pairs.veto_attribute_counts(spark, str(tmp_path))
